@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,5 +33,50 @@ def session(cpus: int | None = None, partitions: int | None = None) -> SparkSess
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/siltstone-{tag}-{uuid.uuid4().hex}"
+
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file through Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Has executors that do not have this package fetch it, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"{home.name}/{p.relative_to(home)}")
+    path = new_path(spark, "code") + ".zip"
+    put_file(spark, path, packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
