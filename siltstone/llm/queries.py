@@ -1,25 +1,73 @@
-"""The queries of this package, one for each operator, over whole tables."""
+"""The queries of this package, one for each operator, over whole tables with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm.packing import pack
-from siltstone.llm.simhash import near_duplicates
+from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, simhash, urlfilter, warc
 from siltstone.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_chats(chats))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op9_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality_rules, op3_chat_formatting, op4_nearest_neighbours, op5_best_fit_packing,
+        op6_source_mixing, op7_fuzzy_line_dedup, op8_url_filter, op9_simhash_near_dedup, op10_warc_bundles,
+    )
+}
+
+#: For the others, tests compare with brute force, an exact round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_formatting": chat.SQL,
+    "op6_source_mixing": mixing.SQL,
+    "op8_url_filter": urlfilter.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -3,36 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import new_path, ship
+
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/siltstone-{tag}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once and lost executors take nothing with them."""
+    ship(df.sparkSession)
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

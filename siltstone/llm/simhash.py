@@ -76,14 +76,15 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(nodes: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
@@ -148,8 +149,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: in
     """
     marks = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes, radius, tile)).withColumnRenamed("node", "fp")
+    roots = components(written(links(nodes, radius, tile), "links")).withColumnRenamed("node", "fp")
     linked = roots.join(nodes, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
     of = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 4096) -> DataFrame:
+    """(doc_id, text_hash, n) of the one document that stays of each group: that with the smallest id, null ids last; n rows are alike."""
+    marks = written(fingerprints(docs, shingle), "fingerprints")
+    nodes = written(marks.select("fp").distinct(), "nodes")
+    roots = components(written(links(nodes, radius, tile), "links")).withColumnRenamed("node", "fp")
+    rows = marks.groupBy("doc_id", "text_hash", "fp").count().join(roots, "fp", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "count")).alias("first")
+    return rows.groupBy(F.coalesce("root", "fp").alias("root")).agg(first).select("first.doc_id", "first.text_hash", F.col("first.count").alias("n"))
