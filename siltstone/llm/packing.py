@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import word_lists, written
 
 END_ID = 1
-#: Words that a worker remembers; beyond it, it starts anew.
-MEMORY = 400_000
+#: Words that a worker remembers, over all its tasks; beyond it, it starts anew.
+MEMORY = 1_200_000
+_encoders: dict[str | None, Encoder] = {}
+
+
+class Words(dict):
+    """Remembers what a function gives for each word."""
+
+    def __init__(self, of: Callable[[bytes], bytes]):
+        self.of = of
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.of(word)
+        return found
 
 
 class Encoder:
@@ -40,7 +52,7 @@ class Encoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.alphabet = {b: b for b in keep} | {b: 256 + k for k, b in enumerate(rest)}
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(self.word)
         self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
@@ -51,6 +63,12 @@ class Encoder:
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
+        if self.plain(text):
+            head = text[:-1]
+            if text.isalpha():
+                return self.part(text.lower())
+            if head.isalpha() and text[-1] in ".,!?;:":
+                return self.part(head.lower()) + self.part(text[-1])
         if self.plain(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return b"".join(map(self.part, self.cut(text.lower())))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,9 +80,6 @@ class Encoder:
             if len(known) > MEMORY:
                 known.clear()
                 self.parts.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
             out += map(known.__getitem__, words)
         return b"".join(out)
 
@@ -75,7 +90,9 @@ def pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Da
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        encoder, end = _encoders[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
