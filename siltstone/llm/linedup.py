@@ -11,44 +11,52 @@ from siltstone.llm.shared import components, written
 SMALL = 32
 
 
+#: One mask for each row of a band: the least of the masked hashes is a MinHash. They differ in the
+#: two highest bits, so that each prefers another quarter of the hashes.
+MASKS = (0x0, 0x4BD1E9955BD1E995, -0x682B14D0E9A99A3B, -0x2014CAD2C3910C8E)
+
+
 def units(line: Column) -> Column:
+    """Text as UTF-16, in which the place of a character is known without counting."""
     return F.encode(line, "UTF-16BE")
 
 
-def shingle_hashes(line: Column, width: int) -> Column:
-    """XXH64 of each run of so many characters (UTF-16 units), as an array; the whole line if it is shorter."""
-    raw = units(line)
-    last = F.greatest(F.lit(0), F.octet_length(raw).cast("int") / 2 - width).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, 2 * i + 1, F.lit(2 * width))))
+def places(raw: str, width: int) -> Column:
+    """Where shingles of so many characters (UTF-16 units) start; 0 alone in a shorter line."""
+    return F.expr(f"sequence(0, greatest(0, cast(octet_length({raw}) div 2 as int) - {width}))")
+
+
+def shingle(raw: str, at: Column, width: int) -> Column:
+    return F.xxhash64(F.substring(F.col(raw), 2 * at + 1, F.lit(2 * width)))
 
 
-def bands(lines: DataFrame, width: int, bits: int, rows: int) -> DataFrame:
-    """(key, id) of lines(id, line): in each of 2^bits ranges of hash values, a key of the line's `rows` least shingle hashes there.
+def shingle_set(raw: str, width: int) -> Column:
+    return F.array_distinct(F.transform(places(raw, width), lambda at: shingle(raw, at, width)))
 
-    The least hashes of a range agree for two lines with about the probability of their similarity to
-    that power, as with a band of as many MinHash functions; one hash a shingle serves all bands.
+
+def bands(lines: DataFrame, width: int, ranges: int, parts: int) -> DataFrame:
+    """(key, id) of lines(id, line): a key of the MinHashes of the line's shingles in each class of hash values, by remainder.
+
+    One hash a shingle serves all classes; the masks give as many MinHashes of a class's shingles, so
+    that two lines agree in a class with about the probability of their similarity to that power. Rows
+    are dealt by id first, so that all shingles of a line are counted down where they are made.
     """
-    part = lambda h: F.shiftright(h, 64 - bits)
-    raw = lines.select("id", units(F.col("line")).alias("u"))
-    last = F.expr(f"greatest(0, cast(octet_length(u) div 2 as int) - {width})")
-    hashed = raw.select("id", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col("u"), 2 * i + 1, F.lit(2 * width)))))).alias("h"))
-    least = hashed.select("id", F.filter("h", lambda x, i: (i < rows) | (part(x) != part(F.get("h", i - rows)))).alias("h"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == 0) | (part(F.get("h", i)) != part(F.get("h", i - 1))))
-    return least.select("id", "h", F.explode(starts).alias("i")).select(
-        F.xxhash64(F.filter(F.slice("h", F.col("i") + 1, rows), lambda x: part(x) == part(F.get("h", "i"))), part(F.get("h", "i"))).alias("key"), "id"
-    )
+    each = lines.repartition(parts, "id").select("id", units(F.col("line")).alias("u")).select("id", "u", F.explode(places("u", width)).alias("at"))
+    hashed = each.select("id", shingle("u", F.col("at"), width).alias("h"))
+    least = hashed.groupBy("id", F.pmod("h", F.lit(ranges)).cast("int").alias("range")).agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)))
+    return least.select(F.xxhash64("range", *(f"m{k}" for k in range(len(MASKS)))).alias("key"), "id")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b, linked) of pairs(a, b): whether the exact Jaccard similarity of their shingle sets is least or more."""
-    of = lines.select("id", "line")
-    both = pairs.join(of.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(of.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("x"), width)).alias("x"), F.array_distinct(shingle_hashes(F.col("y"), width)).alias("y"))
+    of = lines.select("id", units(F.col("line")).alias("u"))
+    both = pairs.join(of.withColumnsRenamed({"id": "a", "u": "x"}), "a").join(of.withColumnsRenamed({"id": "b", "u": "y"}), "b")
+    sets = both.select("a", "b", *(shingle_set(c, width).alias(c) for c in ("x", "y")))
     common = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return common.select("a", "b", (F.col("common") >= least * (F.col("sizes") - F.col("common"))).alias("linked"))
 
 
-def similar(lines: DataFrame, width: int, bits: int, rows: int, least: float) -> DataFrame:
+def similar(lines: DataFrame, width: int, ranges: int, least: float) -> DataFrame:
     """(node, root) for lines(id, line) that share a component of verified links with another.
 
     Smaller ids lead. In each bucket the leader is compared with the others; in buckets where more than
@@ -56,9 +64,10 @@ def similar(lines: DataFrame, width: int, bits: int, rows: int, least: float) ->
     that are compared one by one, so that no link of a bucket is lost, and a large group of near copies
     costs one comparison a member.
     """
-    keyed = written(bands(lines, width, bits, rows), "bands")
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // 200_000)
+    keyed = written(bands(lines, width, ranges, parts), "bands")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    state = written(keyed.join(shared, "key").distinct(), "buckets")
+    state = written(keyed.join(shared, "key"), "buckets")
     near = written(lines.join(state.select("id").distinct(), "id", "left_semi"), "candidates")
     links, left, at_least = None, state, 1
     while True:
@@ -92,7 +101,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, bits: int = 3, rows: int = 4, least: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: int = 12, least: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, removed): for documents that lose lines, the places of those.
 
     Equal lines are one line; similar ones form components, and of each component the first place by
@@ -105,7 +114,7 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, bits: in
     # frequent lines get small ids, which lead
     rank = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n")))).cast("long")
     lines = written(found.select((F.shiftleft(rank, 58) + F.monotonically_increasing_id()).alias("id"), "line", "first", "n"), "lines")
-    roots = similar(lines, width, bits, rows, least)
+    roots = similar(lines, width, ranges, least)
     tagged = lines.select("id", *marks, "first", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
     tagged = written(tagged.filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "id")), "tagged")
     kept = tagged.groupBy("root").agg(F.min("first").alias("kept"))
@@ -115,7 +124,7 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, bits: in
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, bits: int = 3, rows: int = 4, least: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: int = 12, least: float = 0.8) -> DataFrame:
     """docs with text without repeated lines, n_lines (before) and n_removed.
 
     Lines are what stands between line feeds. Those of fewer than min_chars characters are kept: too
@@ -125,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, bits: int
     is empty. A null text stays null with no lines; rows with equal doc_id and text are one document
     and keep the same lines; an empty table gives no rows; other columns are kept as they are.
     """
-    lost = removed_lines(docs, min_chars, width, bits, rows, least).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    lost = removed_lines(docs, min_chars, width, ranges, least).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i))

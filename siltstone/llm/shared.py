@@ -14,13 +14,22 @@ from siltstone.session import new_path, ship
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
+#: With it, the shuffle files of a finished write do not wait for the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once and lost executors take nothing with them."""
     ship(df.sparkSession)
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_lists(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
