@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
 
 FAR = np.float32(np.inf)
+INDEX = ["dim", "shard", "ids", "starts", "vectors", "graph", "entry"]
 
 
 def beam_search(x: np.ndarray, norm: np.ndarray, out: np.ndarray, entry: int, q: np.ndarray, beam: int, hop: int = 4) -> np.ndarray:
@@ -126,8 +127,10 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alp
     shards = {r.dim: -(-r["count"] // shard_rows) for r in vectors.groupBy("dim").count().collect()}
     sizes = vectors.sparkSession.createDataFrame(list(shards.items()), "dim int, shards int")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v, ids = np.stack(rows["v"].to_numpy()).astype(np.float64) + 0.0, rows["vec_id"].to_numpy()
+    def run(rows: pa.Table) -> pa.Table:
+        dim, shard = rows.column("dim")[0].as_py(), rows.column("shard")[0].as_py()
+        v = rows.column("v").combine_chunks().values.to_numpy().reshape(-1, dim) + 0.0
+        ids = rows.column("vec_id").to_numpy()
         o = np.lexsort((ids, *v.T[::-1]))
         v, ids = v[o], ids[o]
         differ = np.concatenate(([True], (v[1:] != v[:-1]).any(1)))
@@ -135,15 +138,17 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alp
         v, ids, differ = v[fresh], ids[fresh], differ[fresh]
         start = np.flatnonzero(differ)
         out, entry = build_graph(raised(v[start]), degree, beam, alpha)
-        blobs = [a.tobytes() for a in (ids, np.append(start, len(ids)).astype(np.int64), v[start], out)]
-        return pd.DataFrame([[rows["dim"].iloc[0], rows["shard"].iloc[0], *blobs, entry]], columns=["dim", "shard", "ids", "starts", "vectors", "graph", "entry"])
+        own = v[start].astype(np.float32)  # kept short if that loses nothing
+        own = own if (own == v[start]).all() else v[start]
+        blobs = [pa.array([a.tobytes()], pa.binary()) for a in (ids, np.append(start, len(ids)).astype(np.int64), own, out)]
+        return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *blobs, pa.array([entry], pa.int32())], names=INDEX)
 
     dealt = vectors.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    index = dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, ids binary, starts binary, vectors binary, graph binary, entry int")
+    index = dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids binary, starts binary, vectors binary, graph binary, entry int")
     return written(index, "graphs"), shards
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, shard_rows: int = 8192, degree: int = 32, build_beam: int = 64, alpha: float = 1.2, block: int = 256) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, shard_rows: int = 4096, degree: int = 32, build_beam: int = 64, alpha: float = 1.2, block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of embeddings(vec_id, embedding) that are found for each of queries.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id, and a row's own id
@@ -168,15 +173,17 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
         .select("dim", "shard", F.col("q.vec_id").alias("query"), F.flatten("q.v").alias("values"))
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                ids, starts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.starts, np.int64)
-                v, out = np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim), np.frombuffer(r.graph, np.int32).reshape(-1, degree)
-                q, own = np.asarray(r.values, np.float64).reshape(-1, r.dim), np.asarray(r.query)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, entry = batch.column("dim")[r].as_py(), batch.column("entry")[r].as_py()
+                ids, starts, raw, out = (batch.column(c)[r].as_buffer() for c in INDEX[2:6])
+                ids, starts, out = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(out, np.int32).reshape(-1, degree)
+                v = np.frombuffer(raw, np.float32 if raw.size == 4 * dim * len(out) else np.float64).reshape(-1, dim).astype(np.float64)
+                q, own = batch.column("values")[r].values.to_numpy().reshape(-1, dim), batch.column("query")[r].values.to_numpy()
                 x = raised(v)
                 scale = np.abs(q).max(1, keepdims=True)
-                found = beam_search(x, np.einsum("ij,ij->i", x, x), out, r.entry, np.pad(q / scale, ((0, 0), (0, 1))).astype(np.float32), beam)
+                found = beam_search(x, np.einsum("ij,ij->i", x, x), out, entry, np.pad(q / scale, ((0, 0), (0, 1))).astype(np.float32), beam)
                 j, place = np.nonzero(found >= 0)
                 at = found[j, place]
                 score = (q[j] * v[at]).sum(1)
@@ -189,8 +196,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
                 j, score, cand = j[o], score[o], cand[o]
                 rank = np.arange(len(j)) - np.searchsorted(j, j)
                 best = rank < k
-                yield pd.DataFrame({"query_id": own[j[best]], "vec_id": cand[best], "score": score[best]})
+                yield pa.RecordBatch.from_arrays([pa.array(own[j[best]]), pa.array(cand[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
-    found = asked.join(index, ["dim", "shard"]).mapInPandas(run, "query_id long, vec_id long, score double")
+    found = asked.join(index, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
