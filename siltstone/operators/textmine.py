@@ -152,8 +152,8 @@ def signatures(files: DataFrame, least: int = 50) -> DataFrame:
         for f in frames:
             t = [token_hashes(x or "") for x in f["text"]]
             s = [minhash(x) if len(x) >= least else None for x in t]
-            keep = [k for k, x in enumerate(s) if x is not None]
-            yield pd.DataFrame({"path": f["path"].iloc[keep], "language": f["language"].iloc[keep], "signature": [s[k].view(np.int64).tolist() for k in keep]})
+            rows = [(p, n, x.view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
+            yield pd.DataFrame(rows, columns=["path", "language", "signature"], dtype=object)
 
     return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>")
 

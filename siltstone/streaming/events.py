@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of Parquet files; times without a zone are taken as UTC, as watermarks need."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def buckets(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
