@@ -59,38 +59,44 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> Da
 def similar(lines: DataFrame, width: int, ranges: int, least: float) -> DataFrame:
     """(node, root) for lines(id, line) that share a component of verified links with another.
 
-    Smaller ids lead. In each bucket the leader is compared with the others; in buckets where more than
-    SMALL are left, one of these leads again. Lines of a bucket that are in different components after
-    that are compared one by one, so that no link of a bucket is lost, and a large group of near copies
-    costs one comparison a member.
+    Smaller ids lead. Each line is compared with the smallest leader of its buckets. Buckets that still
+    hold several components then compare what is not in their leader's with the leader, again with
+    another leader where more than SMALL lines are left, and at last compare lines of different
+    components one by one, so that no link of a bucket is lost, and a large group of near copies costs
+    one or two comparisons a member.
     """
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // 200_000)
     keyed = written(bands(lines, width, ranges, parts), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1").select("key", "a")
     state = written(keyed.join(shared, "key"), "buckets")
     near = written(lines.join(state.select("id").distinct(), "id", "left_semi"), "candidates")
-    links, left, at_least = None, state, 1
-    while True:
-        lead = left.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter(F.col("n") > at_least).drop("n")
-        pairs = left.join(lead, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
-        judged = written(verified(pairs, near, width, least), "verified")
-        found = judged.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        rest = left.join(lead, "key").filter("id != a")
-        left = written(rest.join(found, (rest.a == found.a) & (rest.id == found.b), "left_anti").select("key", "id"), "left")
-        at_least = SMALL
-        if left.groupBy("key").count().filter(F.col("count") > at_least).isEmpty():
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return written(verified(pairs, near, width, least).filter("linked").select("a", "b"), "links")
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """(key, id, root) of buckets with several components."""
+        named = left.join(roots, left.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+        return written(named.join(several, "key"), "mixed")
+
+    links = links_of(state.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a != b").select("a", "b"))
+    roots, left = written(components(links), "components"), state.select("key", "id")
+    left = mixed(roots)
+    while not left.isEmpty():
+        lead = left.groupBy("key").agg(F.min(F.struct("id", "root")).alias("l"), F.count("*").alias("n"))
+        big = lead.filter(F.col("n") > SMALL).select("key", F.col("l.id").alias("a"), F.col("l.root").alias("of"))
+        if big.isEmpty():
             break
-    roots = written(components(links), "components")
-    named = state.join(roots, state.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    named = written(named.join(mixed, "key"), "mixed")
-    one, two = named.withColumnsRenamed({"id": "a", "root": "x"}), named.withColumnsRenamed({"id": "b", "root": "y"})
-    pairs = one.join(two, "key").filter("x < y").select("a", "b").distinct()
-    more = written(verified(pairs, near, width, least).filter("linked").select("a", "b"), "links")
-    if more.isEmpty():
-        return roots
-    return components(links.union(more))
+        pairs = left.join(big, "key").filter("root != of").select("a", F.col("id").alias("b")).distinct()
+        links = links.union(links_of(pairs))
+        roots = written(components(links), "components")
+        # a leader has met all of its bucket and need not come back
+        left = left.join(big.select("key", "a"), "key", "left").filter("a is null or id != a").select("key", "id")
+        left = mixed(roots)
+    one, two = left.withColumnsRenamed({"id": "a", "root": "x"}), left.withColumnsRenamed({"id": "b", "root": "y"})
+    more = links_of(one.join(two, "key").filter("x < y").select("a", "b").distinct())
+    return roots if more.isEmpty() else components(links.union(more))
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -109,19 +115,19 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges:
     that is two independent 64-bit hashes of the line, so that no text is moved for it.
     """
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash")
-    found = occurrences(docs, min_chars).groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    found = occurrences(docs, min_chars).groupBy("line").agg(F.count("*").alias("n"))
     # frequent lines get small ids, which lead
     rank = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n")))).cast("long")
-    lines = written(found.select((F.shiftleft(rank, 58) + F.monotonically_increasing_id()).alias("id"), "line", "first", "n"), "lines")
-    roots = similar(lines, width, ranges, least)
-    tagged = lines.select("id", *marks, "first", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    tagged = written(tagged.filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "id")), "tagged")
-    kept = tagged.groupBy("root").agg(F.min("first").alias("kept"))
-    of = tagged.join(kept, "root").select("h1", "h2", "kept")
-    every = occurrences(docs, min_chars).select("doc_id", "text_hash", "at", *marks)
-    lost = every.join(of, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("removed"))
+    lines = written(found.select((F.shiftleft(rank, 58) + F.monotonically_increasing_id()).alias("id"), "line", "n"), "lines")
+    roots = similar(lines, width, ranges, least).withColumnRenamed("node", "id")
+    tagged = lines.select("id", *marks, "n").join(roots, "id", "left").filter("root is not null or n > 1")
+    of = tagged.select("h1", "h2", F.coalesce("root", "id").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash")
+    every = occurrences(docs, min_chars).select(*marks, place.alias("place"))
+    affected = written(every.join(of, ["h1", "h2"]).select("root", "place"), "places")
+    kept = affected.groupBy("root").agg(F.min("place").alias("kept"))
+    lost = affected.join(kept, "root").filter(~F.col("place").eqNullSafe(F.col("kept")))
+    return lost.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.at").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: int = 12, least: float = 0.8) -> DataFrame:
