@@ -129,7 +129,7 @@ def learn(docs: DataFrame, rows_per_language: int = 20_000) -> Model:
                 sums[name][at] += n
         for name, n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     if not sizes:
         return Model.of({})

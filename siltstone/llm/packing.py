@@ -173,6 +173,21 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return len(rest_a) == 1 and sum(rest_b) <= rest_a[0] or not rest_a and not rest_b
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: for each a, items over capacity - a stand alone, those over half stand apart, and what they leave holds the others of at least a."""
+    n = np.zeros(capacity + 2, np.int64)
+    for k, c in counts.items():
+        n[k] = c
+    many, size = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * np.arange(len(n)))))
+    half, best = capacity // 2 + 1, 0  # [i] counts lengths below i
+    for a in range(half):
+        alone = many[-1] - many[capacity - a + 1]
+        apart, taken = many[capacity - a + 1] - many[half], size[capacity - a + 1] - size[half]
+        rest = (size[half] - size[a]) - (apart * capacity - taken)
+        best = max(best, int(alone + apart + max(0, -(-rest // capacity))))
+    return best
+
+
 def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: int = 300, tries: int = 4000) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """(fillings with how often each is used, lower bound on the bins), from how many items have each length.
 
@@ -184,7 +199,7 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: in
     """
     counts = {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    bound = least_bins(counts, capacity)
     lengths = sorted(counts)
     best: list[tuple[tuple[int, ...], int]] | None = None
     best_bins = 1 << 62
