@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import components, written
 
-#: Buckets with more lines than this that their leader did not link get another leader before lines are compared one by one.
-SMALL = 32
+#: Buckets with more lines than this compare all with a few leaders first, before lines are compared one by one.
+SMALL = 64
+#: So many components of a bucket give a leader in a round.
+LEADERS = 16
+ROWS = 4
 
 
-#: One mask for each row of a band: the least of the masked hashes is a MinHash. They differ in the
-#: two highest bits, so that each prefers another quarter of the hashes.
-MASKS = (0x0, 0x4BD1E9955BD1E995, -0x682B14D0E9A99A3B, -0x2014CAD2C3910C8E)
+def masks(n: int) -> list[int]:
+    """Masks whose highest bits are all different: the least of the masked hashes of a set is another MinHash for each."""
+    bits = max(1, (n - 1).bit_length())
+    out = []
+    for k in range(n):
+        low = (k * 0x9E3779B97F4A7C15) % (1 << (64 - bits))
+        top = int(f"{k:0{bits}b}"[::-1], 2)
+        value = (top << (64 - bits)) | low
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
 
 
 def units(line: Column) -> Column:
@@ -34,17 +44,17 @@ def shingle_set(raw: str, width: int) -> Column:
     return F.array_distinct(F.transform(places(raw, width), lambda at: shingle(raw, at, width)))
 
 
-def bands(lines: DataFrame, width: int, ranges: int, parts: int) -> DataFrame:
-    """(key, id) of lines(id, line): a key of the MinHashes of the line's shingles in each class of hash values, by remainder.
+def bands(lines: DataFrame, width: int, count: int, parts: int) -> DataFrame:
+    """(key, id) of lines(id, line): for each of so many bands a key of ROWS MinHashes of the line's shingles.
 
-    One hash a shingle serves all classes; the masks give as many MinHashes of a class's shingles, so
-    that two lines agree in a class with about the probability of their similarity to that power. Rows
-    are dealt by id first, so that all shingles of a line are counted down where they are made.
+    One hash a shingle serves all MinHashes, each under a mask of its own. Rows are dealt by id first,
+    so that all shingles of a line are counted down where they are made.
     """
     each = lines.repartition(parts, "id").select("id", units(F.col("line")).alias("u")).select("id", "u", F.explode(places("u", width)).alias("at"))
     hashed = each.select("id", shingle("u", F.col("at"), width).alias("h"))
-    least = hashed.groupBy("id", F.pmod("h", F.lit(ranges)).cast("int").alias("range")).agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)))
-    return least.select(F.xxhash64("range", *(f"m{k}" for k in range(len(MASKS)))).alias("key"), "id")
+    least = hashed.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(count * ROWS))))
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b + r * count}" for r in range(ROWS))) for b in range(count)))
+    return least.select(F.explode(keys).alias("key"), "id")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> DataFrame:
@@ -56,17 +66,16 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> Da
     return common.select("a", "b", (F.col("common") >= least * (F.col("sizes") - F.col("common"))).alias("linked"))
 
 
-def similar(lines: DataFrame, width: int, ranges: int, least: float) -> DataFrame:
+def similar(lines: DataFrame, width: int, count: int, least: float) -> DataFrame:
     """(node, root) for lines(id, line) that share a component of verified links with another.
 
     Smaller ids lead. Each line is compared with the smallest leader of its buckets. Buckets that still
-    hold several components then compare what is not in their leader's with the leader, again with
-    another leader where more than SMALL lines are left, and at last compare lines of different
-    components one by one, so that no link of a bucket is lost, and a large group of near copies costs
-    one or two comparisons a member.
+    hold several components and more than SMALL lines compare all with LEADERS of them, again with
+    others until they are small; then lines of different components are compared one by one, so that
+    no link of a bucket is lost, and a large group of near copies costs a few comparisons a member.
     """
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // 200_000)
-    keyed = written(bands(lines, width, ranges, parts), "bands")
+    keyed = written(bands(lines, width, count, parts), "bands")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1").select("key", "a")
     state = written(keyed.join(shared, "key"), "buckets")
     near = written(lines.join(state.select("id").distinct(), "id", "left_semi"), "candidates")
@@ -83,16 +92,18 @@ def similar(lines: DataFrame, width: int, ranges: int, least: float) -> DataFram
     links = links_of(state.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a != b").select("a", "b"))
     roots, left = written(components(links), "components"), state.select("key", "id")
     left = mixed(roots)
-    while not left.isEmpty():
-        lead = left.groupBy("key").agg(F.min(F.struct("id", "root")).alias("l"), F.count("*").alias("n"))
-        big = lead.filter(F.col("n") > SMALL).select("key", F.col("l.id").alias("a"), F.col("l.root").alias("of"))
-        if big.isEmpty():
+    while True:
+        big = left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "key", "left_semi")
+        lead = big.groupBy("key", "root").agg(F.min("id").alias("a"))
+        order = Window.partitionBy("key").orderBy("a")
+        lead = lead.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LEADERS).select("key", "a", F.col("root").alias("of"))
+        lead = written(lead, "leaders")
+        if lead.isEmpty():
             break
-        pairs = left.join(big, "key").filter("root != of").select("a", F.col("id").alias("b")).distinct()
-        links = links.union(links_of(pairs))
+        links = links.union(links_of(left.join(lead, "key").filter("root != of and id != a").select("a", F.col("id").alias("b")).distinct()))
         roots = written(components(links), "components")
-        # a leader has met all of its bucket and need not come back
-        left = left.join(big.select("key", "a"), "key", "left").filter("a is null or id != a").select("key", "id")
+        # leaders have met all of their bucket and need not come back
+        left = left.join(lead.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id")
         left = mixed(roots)
     one, two = left.withColumnsRenamed({"id": "a", "root": "x"}), left.withColumnsRenamed({"id": "b", "root": "y"})
     more = links_of(one.join(two, "key").filter("x < y").select("a", "b").distinct())
@@ -107,7 +118,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: int = 12, least: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, removed): for documents that lose lines, the places of those.
 
     Equal lines are one line; similar ones form components, and of each component the first place by
@@ -119,7 +130,7 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges:
     # frequent lines get small ids, which lead
     rank = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n")))).cast("long")
     lines = written(found.select((F.shiftleft(rank, 58) + F.monotonically_increasing_id()).alias("id"), "line", "n"), "lines")
-    roots = similar(lines, width, ranges, least).withColumnRenamed("node", "id")
+    roots = similar(lines, width, count, least).withColumnRenamed("node", "id")
     tagged = lines.select("id", *marks, "n").join(roots, "id", "left").filter("root is not null or n > 1")
     of = tagged.select("h1", "h2", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash")
@@ -130,7 +141,7 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges:
     return lost.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.at").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: int = 12, least: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8) -> DataFrame:
     """docs with text without repeated lines, n_lines (before) and n_removed.
 
     Lines are what stands between line feeds. Those of fewer than min_chars characters are kept: too
@@ -140,7 +151,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, ranges: in
     is empty. A null text stays null with no lines; rows with equal doc_id and text are one document
     and keep the same lines; an empty table gives no rows; other columns are kept as they are.
     """
-    lost = removed_lines(docs, min_chars, width, ranges, least).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    lost = removed_lines(docs, min_chars, width, count, least).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i))
