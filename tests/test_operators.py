@@ -238,6 +238,6 @@ def test_streams(tmp_path, spark, sf):
     source = str(tmp_path / "in")
     table.repartition(3).write.parquet(source)
     totals = []
-    q = events.on_batch(events.deduplicated(events.stream(spark, source, table.schema)), lambda df, n: totals.append(df.count()), str(tmp_path / "c"))
+    q = events.on_batch(events.deduplicated(events.stream(spark, source, table.schema), "60 days"), lambda df, n: totals.append(df.count()), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert sum(totals) == table.count()
