@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import components, written
+from siltstone.llm.shared import WORD, components, written
 
 #: Buckets with more lines than this compare all with a few leaders first, before lines are compared one by one.
 SMALL = 64
@@ -110,15 +110,16 @@ def similar(lines: DataFrame, width: int, count: int, least: float) -> DataFrame
     return roots if more.isEmpty() else components(links.union(more))
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, text_hash, at, line) of each line with so many characters."""
+def occurrences(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """(doc_id, text_hash, at, line) of each line with so many characters and, with short, of each other one with a word."""
+    taken = F.char_length("line") >= min_chars
     return (
         docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
-        .filter(F.char_length("line") >= min_chars)
+        .filter(taken | F.col("line").rlike(WORD) if short else taken)
     )
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8, short: bool = False) -> DataFrame:
     """(doc_id, text_hash, removed): for documents that lose lines, the places of those.
 
     Equal lines are one line; similar ones form components, and of each component the first place by
@@ -126,7 +127,7 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: i
     that is two independent 64-bit hashes of the line, so that no text is moved for it.
     """
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    found = occurrences(docs, min_chars).groupBy("line").agg(F.count("*").alias("n"))
+    found = occurrences(docs, min_chars, short).groupBy("line").agg(F.count("*").alias("n"))
     # frequent lines get small ids, which lead
     rank = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n")))).cast("long")
     lines = written(found.select((F.shiftleft(rank, 58) + F.monotonically_increasing_id()).alias("id"), "line", "n"), "lines")
@@ -134,24 +135,25 @@ def removed_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: i
     tagged = lines.select("id", *marks, "n").join(roots, "id", "left").filter("root is not null or n > 1")
     of = tagged.select("h1", "h2", F.coalesce("root", "id").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "text_hash")
-    every = occurrences(docs, min_chars).select(*marks, place.alias("place"))
+    every = occurrences(docs, min_chars, short).select(*marks, place.alias("place"))
     affected = written(every.join(of, ["h1", "h2"]).select("root", "place"), "places")
     kept = affected.groupBy("root").agg(F.min("place").alias("kept"))
     lost = affected.join(kept, "root").filter(~F.col("place").eqNullSafe(F.col("kept")))
     return lost.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.at").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, width: int = 7, count: int = 12, least: float = 0.8, short: bool = False) -> DataFrame:
     """docs with text without repeated lines, n_lines (before) and n_removed.
 
-    Lines are what stands between line feeds. Those of fewer than min_chars characters are kept: too
-    short to be told from chance, and blank ones give texts their form. Among the others, lines whose
-    sets of `width`-character shingles have a Jaccard similarity of `least` or more link; of each
-    component the first line by (doc_id, place) stays, null ids last. A text that loses all its lines
+    Lines are what stands between line feeds. Those of fewer than min_chars characters are kept or,
+    with short, treated as all others if they have a word; blank ones give texts their form. Among the
+    others, lines whose sets of `width`-character shingles (a shorter line is one shingle) have a
+    Jaccard similarity of `least` or more link; of each component the first line by (doc_id, place)
+    stays, null ids last. A text that loses all its lines
     is empty. A null text stays null with no lines; rows with equal doc_id and text are one document
     and keep the same lines; an empty table gives no rows; other columns are kept as they are.
     """
-    lost = removed_lines(docs, min_chars, width, count, least).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    lost = removed_lines(docs, min_chars, width, count, least, short).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i))

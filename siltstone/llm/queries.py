@@ -41,7 +41,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linedup.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = linedup.dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

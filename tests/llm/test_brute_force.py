@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, queries, simhash, urlfilter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -206,6 +207,36 @@ def test_op7_against_all_pairs(spark, sf, docs):
     assert wrong <= 0.01 * len(docs)
 
 
+def test_op7_takes_short_lines_too(spark, sf, docs):
+    places: dict[str, list] = {}
+    for i, r in docs.items():
+        for k, line in enumerate((r[1] or "").split("\n")):
+            if re.search(WORD, line):
+                places.setdefault(line, []).append((i, k))
+    lines = list(places)
+    assert sum(len(places[x]) - 1 for x in lines if len(x) < 40) > 50
+    index: dict[str, list] = {}
+    pairs, sets = [], [frozenset(x[k : k + 7] for k in range(max(1, len(x) - 6))) for x in lines]
+    for a, s in enumerate(sets):
+        common = Counter(b for g in s for b in index.get(g, ()))
+        pairs += [(a, b) for b, n in common.items() if n >= 0.8 * (len(s) + len(sets[b]) - n)]
+        for g in s:
+            index.setdefault(g, []).append(a)
+    root = union(len(lines), pairs)
+    groups: dict[int, list] = {}
+    for k, line in enumerate(lines):
+        groups.setdefault(root[k], []).extend(places[line])
+    lost = {p for g in groups.values() for p in g if p != min(g)}
+    want = {i: "\n".join(x for k, x in enumerate((r[1] or "").split("\n")) if (i, k) not in lost) for i, r in docs.items()}
+    assert {r.doc_id: r.kept_sha256 for r in queries.op7_fuzzy_line_dedup(spark, sf).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+@pytest.mark.parametrize("run", [lambda d: linedup.dedup_lines(d, short=True), lambda d: corpus_pipeline.line_dedup(None, d, "")])
+def test_short_lines_lose_repeats_and_near_copies(spark, run):
+    rows = [(1, "ok\nTable of contents, part 1\n\nok"), (2, "Table of contents, part 2\n  \nok\nOK\n\n")]
+    assert {r.doc_id: r.text for r in run(spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")).collect()} == {1: "ok\nTable of contents, part 1\n", 2: "  \nOK\n\n"}
+
+
 def test_op9_against_all_pairs(spark, sf, docs):
     import xxhash
 
