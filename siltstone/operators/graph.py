@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +31,12 @@ def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(seen, "node", "left_anti")
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node of its strongly connected component.
 
+    Each round takes a node or more from what is left, until there is none; a bound on rounds is a
+    safeguard that raises when it is reached.
+
     Rounds of colouring: each node takes the largest color that reaches it; within a color, what
     reaches back to the node it is named after is one component and leaves the graph. Nodes without
     edges in or out inside what is left are components by themselves and leave first. All steps are
@@ -43,7 +47,11 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     nodes = stored(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct(), "nodes")
     done = spark.createDataFrame([], nodes.select("node", F.col("node").alias("component")).schema)
     left = left.filter("src != dst")
-    for _ in range(rounds):
+    for k in count():
+        if rounds is not None and k >= rounds and not nodes.isEmpty():
+            raise RuntimeError(f"strong_components: nodes are left after {rounds} rounds")
+        if k % 32 == 31:
+            done = stored(done, "done")
         inner = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
         single = nodes.join(inner, "node", "left_anti")
         nodes = stored(nodes.join(inner, "node", "left_semi"), "nodes")
@@ -82,15 +90,21 @@ def cycles(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
 
 
-def layers(edges: DataFrame, components: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, layer): the longest way down to a sink, cycles taken as one node; sinks are 0."""
+def layers(edges: DataFrame, components: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, layer): the longest way down to a sink, cycles taken as one node; sinks are 0.
+
+    No way has more layers than there are components: beyond that, or at a given bound on rounds, it raises.
+    """
     a, b = components.select(F.col("node").alias("src"), F.col("component").alias("x")), components.select(F.col("node").alias("dst"), F.col("component").alias("y"))
     dag = stored(edges.select("src", "dst").join(a, "src").join(b, "dst").filter("x != y").select("x", "y").distinct(), "dag")
     level = stored(components.select("component").distinct().withColumn("layer", F.lit(0)), "layers")
-    for k in range(1, rounds):
+    most = level.count() if rounds is None else rounds
+    for k in count(1):
         up = dag.join(level.filter(F.col("layer") == k - 1), dag.y == level.component).select("x").distinct()
         if up.isEmpty():
             break
+        if k >= most:
+            raise RuntimeError(f"layers: edges still lead up after layer {k - 1}")
         level = stored(level.join(up, level.component == up.x, "left").select("component", F.when(F.col("x").isNotNull(), k).otherwise(F.col("layer")).alias("layer")), "layers")
     return components.join(level, "component").select("node", "layer")
 

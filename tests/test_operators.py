@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as X
+from siltstone.llm import shared
 from siltstone.operators import diffs, findings, graph, history, quality, ranking, structure, textmine
 from siltstone.sources import code, files, gitlog, manifests, sinks
 
@@ -136,6 +137,19 @@ def test_components_layers_and_betweenness(spark):
     assert {r.node: r.betweenness for r in graph.betweenness(line).collect()} == {"a": 0.0, "b": 0.5, "c": 0.0}
 
 
+def test_long_chains_are_whole_or_raise(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")
+    comp = graph.strong_components(e)
+    assert {r.node: r.component for r in comp.collect()} == {k: k for k in range(13)}
+    assert {r.node: r.layer for r in graph.layers(e, comp).collect()} == {k: 12 - k for k in range(13)}
+    with pytest.raises(RuntimeError):
+        graph.strong_components(e, rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.layers(e, comp, rounds=5)
+    with pytest.raises(RuntimeError):
+        shared.components(e.toDF("a", "b"), rounds=1)
+
+
 def test_suppressed_findings_stay(spark):
     df = spark.createDataFrame([("1", "sec.a", "high", "src/x"), ("2", "sec.b", "low", "doc/y")], "id string, rule string, severity string, path string")
     got = {r.id: r.suppressed_by for r in findings.suppressed(df, [{"rule": "sec.*", "path": "doc/"}, {"id": "1"}]).collect()}
