@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import count
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from siltstone.operators.graph import linked as components  # noqa: F401
 from siltstone.session import new_path, ship
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
@@ -44,30 +43,3 @@ def word_lists(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         if words := raw[at:stop].split():
             yield words
         at = stop
-
-
-def components(edges: DataFrame, tag: str = "components", rounds: int | None = None) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the smallest node that can be reached.
-
-    Large-star and small-star steps in turn until nothing changes; each step is two shuffles of the
-    edges, which a hub does not gather in one task: its rows are counted down by partial aggregation
-    and its join side can be split. The state is a written table after each round. Null ends and loops
-    are ignored; nodes in loops only are not returned. A bound on rounds raises when it is reached.
-    """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    now, sign = written(now, tag), None
-    for k in count():
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == tuple(found) or not found[0]:
-            break
-        if rounds is not None and k >= rounds:
-            raise RuntimeError(f"components: edges still change after {rounds} rounds")
-        sign = tuple(found)
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), tag)
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import round4
 from siltstone.functions.tables import stored
+from siltstone.operators.graph import linked
 
 
 @dataclass(frozen=True)
@@ -129,14 +130,18 @@ def token_hashes(text: str) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in text.split()), np.uint64)
 
 
-def minhash(tokens: np.ndarray, width: int = 5) -> np.ndarray | None:
-    """64 least values over the shingles of a token sequence; none if it is shorter than one."""
+def shingles(tokens: np.ndarray, width: int = 5) -> np.ndarray | None:
+    """The different hashes of the shingles of a token sequence; none if it is shorter than one."""
     if len(tokens) < width:
         return None
     h = np.zeros(len(tokens) - width + 1, np.uint64)
     for k in range(width):
         h = mixed(h ^ tokens[k : len(h) + k])
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def minhash(h: np.ndarray) -> np.ndarray:
+    """64 least values over a shingle set."""
     with np.errstate(over="ignore"):
         salts = np.arange(SLOTS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
     out = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
@@ -146,32 +151,74 @@ def minhash(tokens: np.ndarray, width: int = 5) -> np.ndarray | None:
 
 
 def signatures(files: DataFrame, least: int = 50) -> DataFrame:
-    """(path, language, signature) of texts with at least so many tokens."""
+    """(path, language, signature, shingles) of texts with at least so many tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             t = [token_hashes(x or "") for x in f["text"]]
-            s = [minhash(x) if len(x) >= least else None for x in t]
-            rows = [(p, n, x.view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
-            yield pd.DataFrame(rows, columns=["path", "language", "signature"], dtype=object)
+            s = [shingles(x) if len(x) >= least else None for x in t]
+            rows = [(p, n, minhash(x).view(np.int64).tolist(), x.view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
+            yield pd.DataFrame(rows, columns=["path", "language", "signature", "shingles"], dtype=object)
 
-    return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>")
+    return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>, shingles array<long>")
 
 
-def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(path, leader, similarity): each text with the first of the texts that its bands share, where 64 MinHash slots agree so far.
+#: Buckets with more texts than this compare all with a few leaders first, before texts are compared one by one.
+SMALL = 64
+#: So many classes of a bucket give a leader in a round.
+LEADERS = 16
 
-    16 bands of 4 slots select candidates of one language. A bucket's members are compared with its
-    first one, so that a group of copies makes as many pairs as it has members.
+
+def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(path, leader, similarity, first): links of texts, each later path with an earlier one, and the first path of their class.
+
+    16 bands of 4 MinHash slots select candidates of one language; the similarity is the exact one of
+    their shingle sets. Texts that links join are a class; the links found span each class, so that a
+    group of copies makes about as many as it has members. Each text is compared with the first of its
+    buckets. Buckets that still hold several classes and more than SMALL texts compare all with LEADERS
+    of them, again with others until they are small; then texts of different classes are compared one
+    by one, so that no text of a bucket is kept apart from a class that it is similar to.
     """
     sig = stored(signatures(files), "signatures")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * BAND + 1, BAND)))
-    each = sig.select("path", "language", F.explode(keys).alias("key"))
-    first = each.groupBy("language", "key").agg(F.min("path").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = each.join(first, ["language", "key"]).filter("path != leader").select("path", "leader").distinct()
-    a, b = sig.select("path", F.col("signature").alias("x")), sig.select(F.col("path").alias("leader"), F.col("signature").alias("y"))
-    equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(a, "path").join(b, "leader").select("path", "leader", (equal / SLOTS).alias("similarity")).filter(F.col("similarity") >= threshold)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda b: F.xxhash64("language", b, F.slice("signature", b * BAND + 1, BAND)))
+    each = stored(sig.select("path", F.explode(keys).alias("key")), "bands")
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("leader")).filter("n > 1").drop("n")
+    state = stored(each.join(shared, "key"), "buckets")
+    sets = stored(sig.select("path", "shingles").join(state.select("path").distinct(), "path", "left_semi"), "sets")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.greatest("a", "b").alias("path"), F.least("a", "b").alias("leader")).distinct()
+        both = ordered.join(sets.withColumnRenamed("shingles", "x"), "path").join(sets.withColumnsRenamed({"path": "leader", "shingles": "y"}), "leader")
+        common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+        sizes = both.filter(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))).select("path", "leader", common.alias("common"), total.alias("total"))
+        return stored(sizes.select("path", "leader", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= threshold), "links")
+
+    def classes(links: DataFrame) -> DataFrame:
+        return stored(linked(links.select(F.col("path").alias("a"), F.col("leader").alias("b"))), "classes")
+
+    def several(left: DataFrame, roots: DataFrame) -> DataFrame:
+        """(key, path, root) of buckets with several classes."""
+        named = left.join(roots.withColumnRenamed("node", "path"), "path", "left").select("key", "path", F.coalesce("root", "path").alias("root"))
+        apart = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+        return stored(named.join(apart, "key"), "apart")
+
+    links = links_of(state.filter("path != leader").select(F.col("path").alias("a"), F.col("leader").alias("b")).distinct())
+    roots = classes(links)
+    # the first text of a bucket has met all others
+    left = several(state.filter("path != leader").select("key", "path"), roots)
+    while True:
+        big = left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "key", "left_semi")
+        lead = big.groupBy("key", "root").agg(F.min("path").alias("a"))
+        lead = lead.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("a"))).filter(F.col("n") <= LEADERS).select("key", "a", F.col("root").alias("of"))
+        lead = stored(lead, "leaders")
+        if lead.isEmpty():
+            break
+        links = links.union(links_of(left.join(lead, "key").filter("root != of").select("a", F.col("path").alias("b"))))
+        roots = classes(links)
+        left = several(left.join(lead.select("key", F.col("a").alias("path")), ["key", "path"], "left_anti").select("key", "path"), roots)
+    one, two = left.withColumnsRenamed({"path": "a", "root": "x"}), left.withColumnsRenamed({"path": "b", "root": "y"})
+    links = links.union(links_of(one.join(two, "key").filter("x < y").select("a", "b")))
+    return links.distinct().join(classes(links).select(F.col("node").alias("path"), F.col("root").alias("first")), "path").select("path", "leader", "similarity", "first")
 
 
 # --- repeated fragments ----------------------------------------------------

@@ -174,6 +174,34 @@ def test_similar_texts(spark):
     assert [(r.path, r.leader) for r in textmine.similar(df).collect()] == [("b", "a")]
 
 
+def test_similar_texts_that_a_smaller_text_stands_between(spark):
+    import itertools
+
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(600)]
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.choice(len(out), n, replace=False):
+            out[k] = f"x{rng.integers(1 << 40)}"
+        return out
+
+    # families around far edits of one text: many share buckets with "a" without being similar to it
+    heads = [base, *(edited(base, 12) for _ in range(30))]
+    texts = {f"{'abc'[j % 3]}{k:02}{j}": edited(h, 2 + 3 * j) for k, h in enumerate(heads) for j in range(4)}
+    sets = {p: set(zip(*(t[k:] for k in range(5)))) for p, t in texts.items()}
+    near = {(b, a): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    near = {p: s for p, s in near.items() if s >= 0.8}
+    root = {p: p for p in texts}
+    for _ in texts:
+        for b, a in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = textmine.similar(spark.createDataFrame([(p, "en", " ".join(t)) for p, t in texts.items()], "path string, language string, text string")).collect()
+    assert len(set(root.values())) > 5
+    assert all(abs(near[r.path, r.leader] - r.similarity) < 1e-12 for r in rows)
+    assert {r.path: r.first for r in rows} == {p: c for p, c in root.items() if p != c}
+
+
 def test_git_dump(tmp_path, spark):
     dump = "\x1eh2\x1fh1\x1fAda\x1fa@x\x1f1700000000\x1f+0100\x1fMove\x1e\n\0:100644 100644 aaa bbb R100\0old.py\0new.py\0" + "2\t1\t\0old.py\0new.py\0" + "\x1eh1\x1f\x1fAda\x1fa@x\x1f1600000000\x1f+0000\x1fStart\x1e\n\0:000000 100644 000 aaa A\0old.py\0-\t-\told.py\0"
     (tmp_path / "log").write_text(dump)
