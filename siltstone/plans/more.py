@@ -526,18 +526,20 @@ def first_appearances(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS ts, 'a' || (l_suppkey % 9) || '/b' || (l_partkey % 4) || '/f' || (l_partkey % 50) AS path, CASE WHEN row_number() OVER (PARTITION BY l_suppkey % 9, l_partkey % 4, l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) % 2 = 1 THEN 1 ELSE -1 END AS step FROM lineitem WHERE l_orderkey < 300)
 SELECT count(*) AS changes, CAST(sum(step) AS BIGINT) AS files_left FROM c""")
 def replay_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return replayed(spark, sf).agg(F.count("*").alias("changes"), F.sum(F.when(F.col("status") == "added", 1).otherwise(-1)).alias("files_left"))
+    return replayed(table(spark, sf, "lineitem").filter("l_orderkey < 300")).agg(F.count("*").alias("changes"), F.sum(F.when(F.col("status") == "added", 1).otherwise(-1)).alias("files_left"))
 
 
-def replayed(spark: SparkSession, sf: str) -> DataFrame:
+def replayed(lineitem: DataFrame) -> DataFrame:
+    """Rows as changes that add and delete files in turn; seq tells rows of one order and line apart."""
     from pyspark.sql import Window
 
     path = F.concat(F.lit("a"), (F.col("l_suppkey") % 9).cast("string"), F.lit("/b"), (F.col("l_partkey") % 4).cast("string"), F.lit("/f"), (F.col("l_partkey") % 50).cast("string"))
-    n = F.row_number().over(Window.partitionBy("path").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    li = table(spark, sf, "lineitem").filter("l_orderkey < 300").withColumn("path", path).withColumn("n", n)
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_shipdate").alias("ts"), "path", F.when(F.col("n") % 2 == 1, "added").otherwise("deleted").alias("status"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    n = F.row_number().over(Window.partitionBy("path").orderBy(*order))
+    li = lineitem.withColumn("path", path).withColumn("n", n)
+    return li.select(F.struct(*order, "n").alias("seq"), F.col("l_shipdate").alias("ts"), "path", F.when(F.col("n") % 2 == 1, "added").otherwise("deleted").alias("status"))
 
 
 @query()
 def area_events(spark: SparkSession, sf: str) -> DataFrame:
-    return history.area_events(replayed(spark, sf))
+    return history.area_events(replayed(table(spark, sf, "lineitem")))

@@ -106,6 +106,25 @@ def test_releases_count_from_the_last_located_one(spark):
     assert {r.tag: r.since_previous for r in history.releases(t, c).collect()} == {"v1": 2, "v2": 0, "v3": 4}
 
 
+def test_area_events_are_of_the_whole_table(spark, sf):
+    import duckdb
+
+    from siltstone.plans import more
+
+    rows = duckdb.sql(f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate from '{sf}/lineitem.parquet' order by all").fetchall()
+    there, files, peak, want = set(), {}, {}, []
+    for _, _, part, supplier, ts in rows:
+        area, path = f"a{supplier % 9}/b{part % 4}", (supplier % 9, part % 4, part % 50)
+        new = area not in files
+        there ^= {path}
+        files[area] = files.get(area, 0) + (1 if path in there else -1)
+        peak[area] = max(peak.get(area, 0), files[area])
+        if new or not files[area]:
+            want.append((area, "introduced" if new else "removed", ts, files[area], peak[area]))
+    assert max(r[0] for r in rows) > 300
+    assert sorted(map(tuple, more.area_events(spark, sf).collect())) == sorted(want)
+
+
 def test_renames_are_followed_in_order(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "x", "y"), (4, "c", "d")], "seq long, old string, new string")
     assert {r.path: r.current for r in history.rename_chains(df).collect()} == {"a": "d", "b": "d", "x": "y", "c": "d"}
