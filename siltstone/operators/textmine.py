@@ -151,16 +151,35 @@ def minhash(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(files: DataFrame, least: int = 50) -> DataFrame:
-    """(path, language, signature, shingles) of texts with at least so many tokens."""
+    """(path, language, signature) of texts with at least so many tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             t = [token_hashes(x or "") for x in f["text"]]
             s = [shingles(x) if len(x) >= least else None for x in t]
-            rows = [(p, n, minhash(x).view(np.int64).tolist(), x.view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
-            yield pd.DataFrame(rows, columns=["path", "language", "signature", "shingles"], dtype=object)
+            rows = [(p, n, minhash(x).view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
+            yield pd.DataFrame(rows, columns=["path", "language", "signature"], dtype=object)
 
-    return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>, shingles array<long>")
+    return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>")
+
+
+def exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, leader, similarity) of pairs(path, leader): the Jaccard similarity of the shingle sets of their texts(path, text)."""
+    both = pairs.join(texts.withColumnRenamed("text", "x"), "path").join(texts.withColumnsRenamed({"path": "leader", "text": "y"}), "leader")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, b = None, None
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                if r.leader != name:
+                    name, b = r.leader, shingles(token_hashes(r.y))
+                a = shingles(token_hashes(r.x))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(common / (len(a) + len(b) - common))
+            yield pd.DataFrame({"path": f["path"], "leader": f["leader"], "similarity": np.array(out, np.float64)})
+
+    return both.select("path", "leader", "x", "y").mapInPandas(run, "path string, leader string, similarity double")
 
 
 #: Buckets with more texts than this compare all with a few leaders first, before texts are compared one by one.
@@ -184,14 +203,11 @@ def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
     each = stored(sig.select("path", F.explode(keys).alias("key")), "bands")
     shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("leader")).filter("n > 1").drop("n")
     state = stored(each.join(shared, "key"), "buckets")
-    sets = stored(sig.select("path", "shingles").join(state.select("path").distinct(), "path", "left_semi"), "sets")
+    texts = stored(files.select("path", "text").join(state.select("path").distinct(), "path", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.greatest("a", "b").alias("path"), F.least("a", "b").alias("leader")).distinct()
-        both = ordered.join(sets.withColumnRenamed("shingles", "x"), "path").join(sets.withColumnsRenamed({"path": "leader", "shingles": "y"}), "leader")
-        common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-        sizes = both.filter(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))).select("path", "leader", common.alias("common"), total.alias("total"))
-        return stored(sizes.select("path", "leader", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")).filter(F.col("similarity") >= threshold), "links")
+        return stored(exact(ordered, texts).filter(F.col("similarity") >= threshold), "links")
 
     def classes(links: DataFrame) -> DataFrame:
         return stored(linked(links.select(F.col("path").alias("a"), F.col("leader").alias("b"))), "classes")
