@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from siltstone.session import new_path, ship
+from siltstone.session import new_path, remove, ship
 
 #: With it, the shuffle files of a finished write do not wait for the driver's garbage collection.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once and written where every executor can read it."""
+    """df, computed once and written where every executor can read it; lost executors take nothing with them."""
     ship(df.sparkSession)
     path = new_path(df.sparkSession, tag)
     spark = df.sparkSession
@@ -21,4 +21,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has made, once all that reads them has been written itself."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_at)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import round4
-from siltstone.functions.tables import stored
+from siltstone.functions.tables import discard, stored
 
 
 def edges_of(pairs: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def linked(edges: DataFrame, tag: str = "components", rounds: int | None = None)
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), tag)
+        before, now = now, stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), tag)
+        discard(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

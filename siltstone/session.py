@@ -34,12 +34,14 @@ def session(cpus: int | None = None, partitions: int | None = None) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and the master is local, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,6 +61,12 @@ def put_file(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder through Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _shipped: set[str] = set()
 
 
