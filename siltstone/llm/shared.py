@@ -5,33 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
-
+from siltstone.functions.tables import discard, stored as written  # noqa: F401
 from siltstone.operators.graph import linked as components  # noqa: F401
-from siltstone.session import new_path, ship
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
-#: With it, the shuffle files of a finished write do not wait for the driver's garbage collection.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once and lost executors take nothing with them."""
-    ship(df.sparkSession)
-    path = new_path(df.sparkSession, tag)
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_lists(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a UTF-8 text, a list for each piece of about size bytes, so that long texts need little memory."""
     at, end = 0, len(raw)
