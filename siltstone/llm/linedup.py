@@ -16,6 +16,8 @@ SLOTS = ORDER * ORDER
 WORDS = 16
 #: Lines of a family that meet as many others in one task.
 TILE = 256
+#: How many different shingles the lines x and y have together.
+SIZES = "x_n + y_n as sizes"
 
 
 def masks(n: int) -> list[int]:
@@ -44,30 +46,32 @@ def bands() -> list[list[int]]:
     return sloped + [[ORDER * x + y for y in range(ORDER)] for x in range(ORDER)]
 
 
-def hashed(lines: DataFrame, width: int, parts: int) -> DataFrame:
-    """(id, h): a hash of each shingle of lines(id, line), once for each place; a shorter line is one shingle.
+def minhashes(lines: DataFrame, width: int, parts: int) -> DataFrame:
+    """(id, m0 to m15) of lines(id, line): the MinHashes of each line's shingles; a line shorter than a shingle is one.
 
-    Rows are dealt by id first, so that what is counted by line after that needs no further exchange.
-    As UTF-32, the place of each character is known without counting.
+    One hash a shingle serves all MinHashes, each under a mask of its own. Rows are dealt by id first,
+    so that all shingles of a line are counted down where they are made. As UTF-32, the place of
+    each character is known without counting.
     """
     starts = F.expr(f"sequence(0, greatest(0, cast(octet_length(u) div 4 as int) - {width}))")
     raw = lines.repartition(parts, "id").select("id", F.encode("line", "UTF-32").alias("u"))
     each = raw.select("id", "u", F.explode(starts).alias("at"))
-    return each.select("id", F.xxhash64(F.substring(F.col("u"), 4 * F.col("at") + 1, F.lit(4 * width))).alias("h"))
+    hashed = each.select("id", F.xxhash64(F.substring(F.col("u"), 4 * F.col("at") + 1, F.lit(4 * width))).alias("h"))
+    return hashed.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(SLOTS))))
 
 
-def minhashes(lines: DataFrame, width: int, parts: int) -> DataFrame:
-    """(id, m0 to m15): the MinHashes of each line's shingles. One hash a shingle serves all, each under a mask of its own."""
-    return hashed(lines, width, parts).groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(SLOTS))))
+def shingles(line: str, width: int) -> Column:
+    """The different shingles of a line; a line shorter than one has none."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
-def odd_sketches(lines: DataFrame, width: int, parts: int) -> DataFrame:
+def odd_sketches(lines: DataFrame, width: int) -> DataFrame:
     """(id, n, o0 to o15): how many different shingles a line has, and for each of 1,024 bits whether an odd number of them falls on it.
 
     Two lines' sketches differ in no more bits than their sets differ in shingles, so that a sketch
     rules out pairs without ever losing one that is similar.
     """
-    each = hashed(lines, width, parts).distinct()
+    each = lines.select("id", F.explode(shingles("line", width)).alias("g")).select("id", F.xxhash64("g").alias("h"))
     word, bit = F.pmod(F.col("h"), F.lit(WORDS)), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")
     flip = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     return each.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == k, flip)).alias(f"o{k}") for k in range(WORDS)))
@@ -85,18 +89,18 @@ def named(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b) of those pairs(a, b) whose sets of shingles have an exact Jaccard similarity of least or more.
+    """(a, b) of those pairs(a, b, sizes) whose sets of shingles have an exact Jaccard similarity of least or more.
 
-    Lines shorter than a shingle have none and are linked with no other.
+    sizes is how many different shingles both lines have together; lines without any have no pairs.
     """
     both = pairs.join(lines.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    sets = both.select("a", "b", *(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)).alias(c) for c in ("x", "y")))
-    counts = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("all"))
-    return counts.filter((F.col("all") > 0) & (F.col("common") >= least * F.col("all"))).select("a", "b")
+    sets = both.select("a", "b", "sizes", *(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)).alias(c) for c in ("x", "y")))
+    counts = sets.select("a", "b", "sizes", F.size(F.array_intersect("x", "y")).alias("common"))
+    return counts.filter(F.col("common") >= least * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 def within_families(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members(id, root, family, n, o0 to o15) of one family with different roots that their sketches do not rule out.
+    """Pairs (a, b, sizes) of members(id, root, family, n, o0 to o15) of one family with different roots that their sketches do not rule out.
 
     A family is dealt into tiles of about TILE lines, and each pair of tiles is a key of its own, so that
     no task has a whole large family; only what the sketches leave is emitted.
@@ -108,7 +112,7 @@ def within_families(members: DataFrame, least: float) -> DataFrame:
     two = named(dealt.withColumn("other", F.explode(F.expr("sequence(0, sub)"))), "y_")
     unlike, once = F.col("x_root") != F.col("y_root"), (F.col("x_sub") != F.col("y_sub")) | (F.col("x_id") < F.col("y_id"))
     met = one.join(two, (F.col("x_family") == F.col("y_family")) & (F.col("x_sub") == F.col("y_other")) & (F.col("x_other") == F.col("y_sub")) & unlike & once & plausible("x_", "y_", least))
-    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.expr(SIZES))
 
 
 def buckets(lines: DataFrame, width: int) -> DataFrame:
@@ -138,11 +142,11 @@ def similar(lines: DataFrame, width: int, least: float) -> DataFrame:
     """
     state = buckets(lines, width)
     near = written(lines.select("id", "line").join(state.select("id").distinct(), "id", "left_semi"), "candidates")
-    marks = written(odd_sketches(near, width, parts_for(near)), "sketches")
+    marks = written(odd_sketches(near, width), "sketches")
     lead = state.groupBy("key").agg(F.min("id").alias("a"))
     family = written(state.join(lead, "key").groupBy("id").agg(F.min("a").alias("family")), "families")
     first = family.filter("family != id").join(named(marks, "x_"), F.col("family") == F.col("x_id")).join(named(marks, "y_"), F.col("id") == F.col("y_id"))
-    links = written(verified(first.filter(plausible("x_", "y_", least)).select(F.col("family").alias("a"), F.col("id").alias("b")), near, width, least), "links")
+    links = written(verified(first.filter(plausible("x_", "y_", least)).select(F.col("family").alias("a"), F.col("id").alias("b"), F.expr(SIZES)), near, width, least), "links")
     roots = written(components(links), "components")
     of = state.join(roots, state.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     several = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
@@ -152,7 +156,7 @@ def similar(lines: DataFrame, width: int, least: float) -> DataFrame:
     rows = left.join(apart, "key").select("key", "id").join(members, "id")
     one, two = named(rows, "x_"), named(rows, "y_")
     unlike = (F.col("x_root") != F.col("y_root")) & (F.col("x_family") != F.col("y_family")) & (F.col("x_id") < F.col("y_id"))
-    across = one.join(two, (F.col("x_key") == F.col("y_key")) & unlike & plausible("x_", "y_", least)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    across = one.join(two, (F.col("x_key") == F.col("y_key")) & unlike & plausible("x_", "y_", least)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.expr(SIZES))
     pairs = written(within_families(members, least).union(across).distinct(), "pairs")
     more = written(verified(pairs, near, width, least), "links")
     if not more.isEmpty():

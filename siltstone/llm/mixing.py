@@ -18,7 +18,7 @@ def sizes(docs: DataFrame, seed: str = "") -> DataFrame:
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(F.col("text").cast("string")).cast("string")))).alias("key"),
     )
 
 
@@ -54,7 +54,8 @@ def mix(docs: DataFrame, seed: str = "") -> DataFrame:
     document at the cut gives its first words alone. taken counts words, repeats included. Prefix sums
     run within ranges of the keys of a source, on top of the sums of the ranges before, so that no
     task holds a source. Null texts have size 0; a null source is a source; rows with one doc_id have one
-    key and are taken in order of size; an empty table gives no rows; other columns are ignored.
+    key and are taken in order of size and text, rows without one get their key from the text; an empty
+    table gives no rows; other columns are ignored.
     """
     base = written(sizes(docs, seed), "sizes")
     # so many ranges that one holds a few thousand documents, whatever the size of the input
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, seed: str = "") -> DataFrame:
     ranges = ranges.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")).drop("words")
     ranges = ranges.join(of.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     ranges = ranges.select(F.col("source").alias("name"), F.col("part").alias("range"), "before", "source_size", "target")
-    order = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("before") + F.coalesce(F.col("within"), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
     full = F.expr("least({0}, case when source_size = 0 then 0 else floor(target + 0.5) div source_size end)".format(MOST_PASSES))
