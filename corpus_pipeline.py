@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, linedup, mixing, packing, simhash
-from siltstone.llm.shared import written
+from siltstone.llm.shared import discard, written
 from siltstone.session import table
 
 #: The columns of documents.
@@ -16,7 +16,11 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no letter, or none that has LEAST_SHARE of it); lang becomes the predicted one."""
+    """Drops documents without a language (no letter, or none that has LEAST_SHARE of it); lang becomes the predicted one.
+
+    Null texts have no language and go; repeated rows, ties and null ids are judged like any row; an empty
+    table stays empty; columns beyond those of documents are dropped.
+    """
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
     return langid.labelled(docs, carry=COLUMNS).filter(kept).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -27,7 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, and one of repeated rows."""
+    """Keeps the document with the smallest id of each group of near-duplicates, and one of repeated rows.
+
+    Documents without a word, null or empty, have one fingerprint and are one group; null ids come after
+    all others, ties go by the hash of the text; an empty table stays empty.
+    """
     first = written(simhash.representatives(docs), "first")
     kept = on_document(docs, first, "left_semi")
     if not first.filter("n > 1").isEmpty():
@@ -44,7 +52,8 @@ def on_document(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps or leaves out documents until each source has its target; a document at a cut keeps its first words.
 
-    A repeat has the id of its document.
+    A repeat has the id of its document. Null and empty texts have no words to take and go; a null source
+    is a source; repeated rows are one document with all that they take; an empty table stays empty.
     """
     plan = mixing.mix(docs).groupBy("doc_id", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
     plan = written(plan.filter("taken > 0"), "mix")
@@ -56,7 +65,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of at most 4096 tokens."""
+    """Packs all documents into sequences of at most 4096 tokens: one row a piece.
+
+    A null text is an empty one, of its end token alone; repeated rows are packed each; an empty table
+    gives no rows.
+    """
     return packing.pack(docs)
 
 
@@ -68,7 +81,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The learned model, the MinHash components and the tokenizer are beyond SQL; the tests compare with brute force.
+#: The learned model, the MinHash components and the tokenizer are beyond SQL; tests/llm compares each stage's rows with plain Python.
 ORACLE_SQL = None
 
 
@@ -76,7 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each result written as a table and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k + 1}")
+            if k:
+                discard(before)
     return docs
