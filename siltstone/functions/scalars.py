@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -317,13 +319,33 @@ ASSIGNMENT = (
 OPAQUE = r"(?<![A-Za-z0-9+/_\-])(?=[a-z0-9+/_\-]*[A-Z])(?=[A-Z0-9+/_\-]*[a-z])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}"
 
 
+# Literals of which a text must hold one for the pattern to be tried at all.
+TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_", "AKIA", "ASIA", "AIza", "npm_", "pypi-", "SG.", "eyJ")
+ASSIGNED_WORDS = ("password", "passwd", "pwd", "secret", "token", "api", "access", "private", "auth", "credential")
+
+
+def _holds(*words: str) -> Callable[[Column], Column]:
+    return lambda t: reduce(Column.__or__, (t.contains(w) for w in words))
+
+
+#: (test, pattern, replacement): patterns are tried only where a cheap test leaves them open.
+_REDACTIONS: tuple[tuple[Callable[[Column], Column], str, str], ...] = (
+    (_holds("PRIVATE KEY"), PRIVATE_KEY, REDACTED),
+    (_holds(*TOKEN_STARTS), KNOWN_TOKEN, REDACTED),
+    (lambda t: t.contains("://") & t.contains("@"), URL_CREDENTIALS, "$1" + REDACTED + "@"),
+    (lambda t: (t.contains("=") | t.contains(":")) & _holds(*ASSIGNED_WORDS)(F.lower(t)), ASSIGNMENT, "$1$2$3" + REDACTED),
+    (lambda t: t.rlike(r"[A-Za-z0-9+/_\-]{32}"), OPAQUE, REDACTED),
+)
+
+
 def redact_secrets(text: Column) -> Column:
-    """Private keys, known tokens, credentials in URLs, assigned secrets and long opaque strings, replaced in this order."""
-    text = F.regexp_replace(text, PRIVATE_KEY, REDACTED)
-    text = F.regexp_replace(text, KNOWN_TOKEN, REDACTED)
-    text = F.regexp_replace(text, URL_CREDENTIALS, "$1" + REDACTED + "@")
-    text = F.regexp_replace(text, ASSIGNMENT, "$1$2$3" + REDACTED)
-    return F.regexp_replace(text, OPAQUE, REDACTED)
+    """Private keys, known tokens, credentials in URLs, assigned secrets and long opaque strings, replaced in this order.
+
+    Each step binds the text before it, so that it is computed once.
+    """
+    for test, pattern, by in _REDACTIONS:
+        text = F.transform(F.array(text), lambda t, test=test, pattern=pattern, by=by: F.when(test(t), F.regexp_replace(t, pattern, by)).otherwise(t))[0]
+    return text
 
 
 def contains_secret(text: Column) -> Column:
@@ -409,12 +431,15 @@ def is_test_path(path: Column) -> Column:
     )
 
 
+# Folders of tests, examples and documents.
+SAMPLE_FOLDERS = ("demo", "demos", "doc", "docs", "example", "examples", "fixture", "fixtures", "sample", "samples", "spec", "test", "testdata", "tests")
+
+
 def is_sample_path(path: Column) -> Column:
     """Whether a path looks like a test, an example or a document, so that findings there weigh less."""
     low = F.lower(path)
     name = file_name(low)
-    folders = F.array(*map(F.lit, ("demo", "demos", "doc", "docs", "example", "examples", "fixture", "fixtures", "sample", "samples", "spec", "test", "testdata", "tests")))
-    return F.arrays_overlap(F.split(low, "/"), folders) | name.rlike(r"^test_|\.test\.|\.spec\.|_test\.|\.example|\.sample|\.md$")
+    return F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, SAMPLE_FOLDERS))) | name.rlike(r"^test_|\.test\.|\.spec\.|_test\.|\.example|\.sample|\.md$")
 
 
 def has_folder(path: Column, *names: str) -> Column:

@@ -15,8 +15,8 @@ def severity_rank(severity: Column) -> Column:
 
 
 def unique(findings: DataFrame) -> DataFrame:
-    """One finding an id: the most severe, of equals the smallest (rule, title, path)."""
-    order = Window.partitionBy("id").orderBy(F.desc(severity_rank(F.col("severity"))), "rule", "title", "path")
+    """One finding an id: the most severe, of equals the smallest (rule, title, path, category)."""
+    order = Window.partitionBy("id").orderBy(F.desc(severity_rank(F.col("severity"))), "rule", "title", "path", "category")
     return findings.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 

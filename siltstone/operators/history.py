@@ -24,16 +24,23 @@ def seconds_before(n: int) -> Column:
 
 
 def file_history(changes: DataFrame, recent_days: int = 90) -> DataFrame:
-    """(path, commits, authors, churn, recent_commits, first_seen, last_changed); recent: at or after latest - recent_days."""
-    at = changes.crossJoin(F.broadcast(latest(changes)))
-    return at.groupBy("path").agg(
-        F.count_distinct("commit").alias("commits"),
-        F.count_distinct("author").alias("authors"),
-        F.sum(F.col("added") + F.col("deleted")).alias("churn"),
-        F.count_distinct(F.when(F.col("ts") >= seconds_before(recent_days), F.col("commit"))).alias("recent_commits"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_changed"),
+    """(path, commits, authors, churn, recent_commits, first_seen, last_changed); recent: at or after latest - recent_days.
+
+    Commits are counted as rows by (path, commit), authors as rows by (path, author), so that no distinct
+    count multiplies rows; null commits and authors count for nothing.
+    """
+    per = changes.groupBy("path", "commit").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    at = per.crossJoin(F.broadcast(latest(changes)))
+    known = F.col("commit").isNotNull()
+    found = at.groupBy("path").agg(
+        F.count("commit").alias("commits"),
+        F.sum("churn").alias("churn"),
+        F.count_if(known & (F.col("last") >= seconds_before(recent_days))).alias("recent_commits"),
+        F.min("first").alias("first_seen"),
+        F.max("last").alias("last_changed"),
     )
+    people = changes.groupBy("path", "author").agg(F.lit(1).alias("one")).groupBy(F.col("path").alias("of")).agg(F.count("author").alias("authors"))
+    return found.join(people, F.col("path").eqNullSafe(F.col("of"))).select("path", "commits", "authors", "churn", "recent_commits", "first_seen", "last_changed")
 
 
 def contributors(commits: DataFrame) -> DataFrame:
@@ -50,12 +57,18 @@ def display_names(commits: DataFrame) -> DataFrame:
 
 
 def ownership(people: DataFrame) -> DataFrame:
-    """(contributors, contributors_for_half, top_share) of (author, commits): how few made half of all commits."""
-    order = Window.orderBy(F.desc("commits"), "author")
-    ranked = people.select("commits", F.row_number().over(order).alias("n"), F.sum("commits").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reached"), F.sum("commits").over(Window.partitionBy()).alias("total"))
-    return ranked.agg(
-        F.count("*").alias("contributors"),
-        F.min(F.when(2 * F.col("reached") >= F.col("total"), F.col("n"))).cast("long").alias("contributors_for_half"),
+    """(contributors, contributors_for_half, top_share) of (author, commits): how few made half of all commits.
+
+    Who has as many commits counts alike, so that the ordered step sees one row for each different number.
+    """
+    by_count = people.filter("commits is not null").groupBy("commits").agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.desc("commits")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by_count.select("commits", "n", F.sum("n").over(order).alias("heads"), F.sum(F.col("n") * F.col("commits")).over(order).alias("reached"), F.sum(F.col("n") * F.col("commits")).over(Window.partitionBy()).alias("total"))
+    # of those with this number, as many as are needed after all with more
+    needed = F.col("heads") - F.col("n") + F.ceil((F.col("total") / 2 - (F.col("reached") - F.col("n") * F.col("commits"))) / F.col("commits"))
+    return run.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("contributors"),
+        F.min(F.when(2 * F.col("reached") >= F.col("total"), F.greatest(needed, F.lit(1)))).cast("long").alias("contributors_for_half"),
         round4(F.max("commits") / F.max("total")).alias("top_share"),
     )
 
@@ -151,9 +164,17 @@ def split_by_year(commits: DataFrame, longer_than: int = 540, least: int = 90) -
 
 
 def areas(changes: DataFrame) -> DataFrame:
-    """(area, commits, churn, files): a change counts for one or two areas, a commit once an area."""
-    each = changes.select("commit", "path", (F.col("added") + F.col("deleted")).alias("churn"), F.explode(activity_areas(F.col("path"))).alias("area"))
-    return each.groupBy("area").agg(F.count_distinct("commit").alias("commits"), F.sum("churn").alias("churn"), F.count_distinct("path").alias("files"))
+    """(area, commits, churn, files): a change counts for one or two areas, a commit once an area.
+
+    Changes are summed by (commit, path) before they are spread over areas; commits are counted as rows
+    by (area, commit), files from the different paths.
+    """
+    per = changes.groupBy("commit", "path").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn"))
+    spread = lambda df, *keep: df.select(*keep, F.explode(activity_areas(F.col("path"))).alias("area"))
+    by_commit = spread(per, "commit", "churn").groupBy("area", "commit").agg(F.sum("churn").alias("churn"))
+    found = by_commit.groupBy("area").agg(F.count("commit").alias("commits"), F.sum("churn").alias("churn"))
+    files = spread(changes.select("path").distinct()).groupBy(F.col("area").alias("of")).agg(F.count("*").alias("files"))
+    return found.join(files, F.col("area") == F.col("of")).select("area", "commits", "churn", "files")
 
 
 def high_churn_areas(found: DataFrame, least: float = 0.2, most: int = 5) -> DataFrame:
@@ -189,13 +210,35 @@ def recent_changes(changes: DataFrame, days: int = 90) -> DataFrame:
     return at.agg(F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"), F.count_distinct("path").alias("files"), F.coalesce(F.sum(F.col("added") + F.col("deleted")), F.lit(0)).alias("churn"))
 
 
+def numbered(df: DataFrame, ts: str, *ties: str, name: str = "position") -> DataFrame:
+    """df with each row's place by (ts, ties), from 1: places within a month on top of the counts of the months before.
+
+    So no task orders all rows; a row without a time comes before all others, and months are few.
+    """
+    dated = df.withColumn("__month", F.date_trunc("month", ts))
+    counts = dated.groupBy("__month").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(F.asc_nulls_first("__month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__month").alias("__of"), before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__month").orderBy(F.asc_nulls_first(ts), *ties))
+    return dated.withColumn("__row", within).join(counts, F.col("__month").eqNullSafe(F.col("__of"))).withColumn(name, F.col("__row") + F.col("__before")).drop("__month", "__of", "__row", "__before")
+
+
 def releases(tags: DataFrame, commits: DataFrame) -> DataFrame:
-    """(tag, version, commit, ts, position, since_previous): commits since the release before that is in the history; below zero is 0."""
-    order = Window.orderBy("ts", "commit")
-    known = commits.select("commit", "ts", F.row_number().over(order).alias("position"))
+    """(tag, version, commit, ts, position, since_previous): commits since the release before that is in the history; below zero is 0.
+
+    The release before is the last by (tag_ts, tag) in its month, or else the last of the months before.
+    """
+    known = numbered(commits.select("commit", "ts"), "ts", "commit")
     found = tags.withColumn("version", parse_version(F.col("tag"))).filter("version is not null").join(known, "commit", "left")
-    before = F.last("position", ignorenulls=True).over(Window.orderBy("tag_ts", "tag").rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("since_previous", F.greatest(F.col("position") - F.coalesce(before, F.lit(0)), F.lit(0)))
+    found = found.withColumn("__month", F.date_trunc("month", "tag_ts"))
+    here = F.last("position", ignorenulls=True).over(Window.partitionBy("__month").orderBy("tag_ts", "tag").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.struct("tag_ts", "tag")
+    months = found.groupBy("__month").agg(F.max_by("position", F.when(F.col("position").isNotNull(), place)).alias("__last"))
+    earlier = F.last("__last", ignorenulls=True).over(Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
+    months = months.select(F.col("__month").alias("__of"), earlier.alias("__earlier"))
+    joined = found.withColumn("__here", here).join(months, F.col("__month").eqNullSafe(F.col("__of")))
+    before = F.coalesce("__here", "__earlier", F.lit(0))
+    return joined.withColumn("since_previous", F.greatest(F.col("position") - before, F.lit(0))).drop("__month", "__of", "__here", "__earlier")
 
 
 def snapshots_as_of(commits: DataFrame, targets: DataFrame) -> DataFrame:
@@ -233,20 +276,21 @@ def area_events(changes: DataFrame) -> DataFrame:
     return run.filter("event is not null").select("area", "event", "ts", "files", "peak")
 
 
-def rename_chains(renames: DataFrame, rounds: int = 40) -> DataFrame:
-    """(path, current) for renames(seq, old, new): what each old name is called at the end.
+def rename_chains(renames: DataFrame) -> DataFrame:
+    """(seq, path, current) for renames(seq, old, new): what each old name is called at the end.
 
-    Each round lets every name follow the next rename after its own, twice as far as the round before.
+    A name that a rename gives is followed by the first later rename of it. Each round puts two stretches
+    of every chain together, so that a chain of n renames takes about log2(n) rounds, until none moves.
     """
-    from siltstone.functions.tables import stored
-
-    next_ = renames.select(F.col("seq").alias("at"), "old", "new")
-    hops = renames.select("seq", F.col("old").alias("path"), F.col("new").alias("current"), F.col("seq").alias("until"))
-    for _ in range(rounds):
-        far = hops.join(next_, (hops.current == next_.old) & (next_["at"] > hops.until), "left")
-        far = far.groupBy("seq", "path", "current", "until").agg(F.min(F.struct("at", "new")).alias("n"))
-        far = stored(far, "renames")
-        hops = far.select("seq", "path", F.coalesce("n.new", "current").alias("current"), F.coalesce("n.at", "until").alias("until"))
-        if far.filter("n is not null").isEmpty():
-            break
+    from siltstone.functions.tables import discard, stored
+
+    r = renames.select("seq", "old", "new")
+    later = r.select(F.col("seq").alias("next"), F.col("old").alias("name"))
+    follows = r.join(later, (r.new == later.name) & (later.next > r.seq), "left").groupBy("seq", F.col("old").alias("path"), F.col("new").alias("current")).agg(F.min("next").alias("next"))
+    hops = stored(follows, "renames")
+    while not hops.filter("next is not null").isEmpty():
+        far = hops.select(F.col("seq").alias("at"), F.col("current").alias("further"), F.col("next").alias("after"))
+        step = hops.join(far, hops.next == far["at"], "left").select("seq", "path", F.coalesce("further", "current").alias("current"), F.col("after").alias("next"))
+        before, hops = hops, stored(step, "renames")
+        discard(before)
     return hops.select("seq", "path", "current")

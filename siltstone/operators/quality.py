@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import ratio, round4
+from siltstone.functions.tables import stored
 
 #: What a hotspot's score is made of.
 WEIGHTS = {"commits": 0.30, "churn": 0.20, "recent_commits": 0.15, "complexity": 0.15, "lines": 0.10, "authors": 0.05, "dependents": 0.05}
@@ -13,23 +14,27 @@ REASON = 0.75
 
 
 def mid_ranks(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(key, p_<column>): share of values below, equal ones counting half; values of 0 and below rank 0.
+    """(key, p_<column>): share of values below, equal ones counting half; values of 0 and below, and nulls, rank 0.
 
-    Ranks come from the counts by value, so that the ordered step sees one row a different value.
+    Ranks come from the counts by value, so that the ordered step sees one row a different value. Zeros,
+    often a third of all, have a known rank and take no part in the join.
     """
     total = df.agg(F.count("*").alias("total"))
-    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(key, "x.*")
+    pairs = F.array(*(F.struct(F.lit(k).alias("c"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))
+    long = df.select(key, F.explode(F.filter(pairs, lambda x: x["v"] > 0)).alias("x")).select(key, "x.*")
     n = long.groupBy("c", "v").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    p = n.withColumn("below", F.coalesce(below, F.lit(0))).crossJoin(F.broadcast(total))
-    p = p.select("c", "v", F.when(F.col("v") <= 0, 0.0).otherwise((F.col("below") + 0.5 * F.col("n")) / F.col("total")).cast("double").alias("p"))
-    return long.join(p, ["c", "v"]).groupBy(key).agg(*(F.max(F.when(F.col("c") == c, F.col("p"))).alias(f"p_{c}") for c in columns))
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    positive = F.sum("n").over(Window.partitionBy("c"))
+    p = n.withColumns({"upto": upto, "positive": positive}).crossJoin(F.broadcast(total))
+    p = p.select("c", "v", ((F.col("total") - F.col("positive") + F.col("upto") - 0.5 * F.col("n")) / F.col("total")).cast("double").alias("p"))
+    found = long.join(p, ["c", "v"]).groupBy(key).agg(*(F.max(F.when(F.col("c") == k, F.col("p"))).alias(f"p_{c}") for k, c in enumerate(columns)))
+    return df.select(key).join(found, key, "left").na.fill(0.0, [f"p_{c}" for c in columns])
 
 
 def hotspots(files: DataFrame, least_commits: int = 2, limit: int = 50, weights: dict[str, float] | None = None) -> DataFrame:
     """(path, rank, score, reasons, ...) of files(path, commits, churn, recent_commits, complexity, lines, authors, dependents)."""
     weights = weights or WEIGHTS
-    candidates = files.filter((F.col("commits") >= least_commits) & (F.col("lines") > 0))
+    candidates = stored(files.filter((F.col("commits") >= least_commits) & (F.col("lines") > 0)), "candidates")
     ranked = candidates.join(mid_ranks(candidates, list(weights), "path"), "path")
     score = F.lit(0.0)
     for c, w in weights.items():
