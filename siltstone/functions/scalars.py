@@ -343,9 +343,11 @@ def redact_secrets(text: Column) -> Column:
 
     Each step binds the text before it, so that it is computed once.
     """
-    for test, pattern, by in _REDACTIONS:
-        text = F.transform(F.array(text), lambda t, test=test, pattern=pattern, by=by: F.when(test(t), F.regexp_replace(t, pattern, by)).otherwise(t))[0]
-    return text
+
+    def step(text: Column, test: Callable[[Column], Column], pattern: str, by: str) -> Column:
+        return F.transform(F.array(text), lambda t: F.when(test(t), F.regexp_replace(t, pattern, by)).otherwise(t))[0]
+
+    return reduce(lambda text, r: step(text, *r), _REDACTIONS, text)
 
 
 def contains_secret(text: Column) -> Column:

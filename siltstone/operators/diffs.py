@@ -162,3 +162,15 @@ def masked(df: DataFrame, preset: str, hidden: dict[str, tuple[str, ...]], peopl
     if preset == "public" and people:
         out = out.withColumn(people, F.concat(F.lit("Contributor "), F.row_number().over(Window.orderBy(*(order or [F.col(people)])))))
     return out
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """One row (entries, bytes); zeros for an empty cache."""
+    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def page(rows: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
+    """A page, from 0, of rows in an order; a number beyond the last page gives that page."""
+    last = F.greatest(F.ceil(F.count("*") / size) - 1, F.lit(0))
+    first = min(number, int(rows.agg(last.alias("last")).first()["last"])) * size
+    return rows.orderBy(*order).offset(first).limit(size)

@@ -224,3 +224,33 @@ def style(modules: DataFrame) -> DataFrame:
     return one.select(
         F.when(F.col("n") < 2, "single-module").when(F.col("cyclic") >= 0.5, "tangled").when(F.col("hub") >= 0.6, "hub").when(F.col("depth") >= 3, "layered").when(F.col("out") < 0.5, "independent").otherwise("mixed").alias("style")
     )
+
+
+def assign_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer) of nodes(node): 0 without dependencies, else one past the deepest; null in a cycle or above one.
+
+    edges(src, dst): src depends on dst; loops and edges to unknown nodes do not count. Each round settles
+    the nodes whose dependencies are all settled, until none is left or only those that never will.
+    """
+    known = stored(nodes.select("node").distinct(), "nodes")
+    e = edges.filter("src != dst").select("src", "dst").distinct()
+    e = stored(e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
+    free = known.join(e.select(F.col("src").alias("node")), "node", "left_anti")
+    front, done, left = stored(free.withColumn("layer", F.lit(0)), "front"), None, e
+    for k in count(1):
+        done = front if done is None else done.unionByName(front)
+        if front.isEmpty():
+            break
+        if k % 32 == 0:
+            done = stored(done, "layers")
+        rest = stored(left.join(front.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
+        met = left.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        front = stored(met.join(rest.select(F.col("src").alias("node")), "node", "left_anti").withColumn("layer", F.lit(k)), "front")
+        left = rest
+    return known.join(done, "node", "left")
+
+
+def modularity(modules: DataFrame) -> DataFrame:
+    """(modules, value): the base-two logarithm of how many modules there are, over 6, at most 1."""
+    n = modules.agg(F.count("*").alias("modules"))
+    return n.select("modules", round4(F.least(F.lit(1.0), F.log2(F.greatest("modules", F.lit(1))) / 6)).alias("value"))

@@ -68,7 +68,7 @@ def ownership(people: DataFrame) -> DataFrame:
     needed = F.col("heads") - F.col("n") + F.ceil((F.col("total") / 2 - (F.col("reached") - F.col("n") * F.col("commits"))) / F.col("commits"))
     return run.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("contributors"),
-        F.min(F.when(2 * F.col("reached") >= F.col("total"), F.greatest(needed, F.lit(1)))).cast("long").alias("contributors_for_half"),
+        F.min(F.when((2 * F.col("reached") >= F.col("total")) & (2 * (F.col("reached") - F.col("n") * F.col("commits")) < F.col("total")), needed)).cast("long").alias("contributors_for_half"),
         round4(F.max("commits") / F.max("total")).alias("top_share"),
     )
 
@@ -294,3 +294,43 @@ def rename_chains(renames: DataFrame) -> DataFrame:
         before, hops = hops, stored(step, "renames")
         discard(before)
     return hops.select("seq", "path", "current")
+
+
+def file_states(changes: DataFrame) -> DataFrame:
+    """(path, names, commits, churn, first_seen, last_changed, deleted) of each file under its last name.
+
+    changes: (seq, commit, ts, path, old, status, added, deleted); a rename has its new name in path and the
+    old one in old. A change counts for what its file is called at the end: the next rename of its path
+    is looked up within the path, and where its chain ends in rename_chains. deleted: the last change
+    was a deletion. Rows of one path are put in order, never all rows.
+    """
+    renames = changes.filter("status = 'renamed'").select("seq", "old", F.col("path").alias("new"))
+    ends = rename_chains(renames).select(F.col("seq").alias("rename"), "current")
+    rows = changes.select("path", "seq", F.lit(None).cast(changes.schema["seq"].dataType).alias("rename"), "commit", "ts", "status", (F.col("added") + F.col("deleted")).alias("churn"))
+    marks = renames.select(F.col("old").alias("path"), "seq", F.col("seq").alias("rename"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("commit", "ts", "status", "churn")))
+    later = Window.partitionBy("path").orderBy(F.desc("seq"), F.col("rename").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True))).withColumn("rename", F.last("rename", ignorenulls=True).over(later)).filter("not mark")
+    named = placed.join(ends, "rename", "left").withColumn("current", F.coalesce("current", "path"))
+    per = named.groupBy("current", "path", "commit").agg(F.sum("churn").alias("churn"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.struct("seq", "status")).alias("end"))
+    files = per.groupBy("current").agg(F.sum("churn").alias("churn"), F.min("first").alias("first_seen"), F.max("last").alias("last_changed"), (F.max("end")["status"] == "deleted").alias("deleted"))
+    counts = per.groupBy("current", "commit").agg(F.lit(1).alias("one")).groupBy(F.col("current").alias("of")).agg(F.count("commit").alias("commits"))
+    names = per.select("current", "path").distinct().groupBy(F.col("current").alias("called")).agg(F.count("*").alias("names"))
+    out = files.join(counts, F.col("current") == F.col("of")).join(names, F.col("current") == F.col("called"))
+    return out.select(F.col("current").alias("path"), "names", "commits", "churn", "first_seen", "last_changed", "deleted")
+
+
+def snapshots(changes: DataFrame, targets: list, by: str = "language") -> DataFrame:
+    """(target, by, files, lines) at each of a few times: what has been added less what has been deleted up to it.
+
+    changes: (ts, status, added, deleted, by). Each change falls to the first target at or after it, counts
+    go by target, and sums run over targets alone.
+    """
+    times = F.array(*(F.lit(t).cast("timestamp") for t in sorted(targets)))
+    place = F.size(F.filter(times, lambda t: t < F.col("ts")))
+    step = F.when(F.col("status") == "added", 1).when(F.col("status") == "deleted", -1).otherwise(0)
+    n = changes.select(by, place.alias("k"), step.alias("step"), (F.col("added") - F.col("deleted")).alias("grown")).filter(F.col("k") < len(targets))
+    n = n.groupBy(by, "k").agg(F.sum("step").alias("step"), F.sum("grown").alias("grown"))
+    every = n.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(len(targets) - 1))).alias("k"))
+    run = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    out = every.join(n, [by, "k"], "left").select("k", by, F.sum(F.coalesce("step", F.lit(0))).over(run).alias("files"), F.sum(F.coalesce("grown", F.lit(0))).over(run).alias("lines"))
+    return out.select(F.get(times, F.col("k")).alias("target"), by, "files", "lines").filter("files != 0 or lines != 0")

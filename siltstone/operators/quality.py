@@ -110,3 +110,31 @@ def unused(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Files that no edge(src, dst) leads to and whose name is no convention for an entry point."""
     usual = F.col("path").rlike(r"(^|/)(main|index|mod|lib|__init__|__main__|setup|conftest|build|app|server|cli|manage|wsgi|asgi)\.[^/]+$")
     return files.filter(~usual).join(edges.select(F.col("dst").alias("path")).distinct(), "path", "left_anti")
+
+
+def function_signals(files: DataFrame) -> DataFrame:
+    """One row for each function of files(path, language, test, functions) outside tests, with 1 and 0 for what was not measured."""
+    own = files.filter(~F.col("test") & F.col("language").isNotNull()).select("path", "language", F.explode("functions").alias("f"))
+    return own.select(
+        "path", "f.name", "f.line", "f.end_line", (F.col("f.end_line") - F.col("f.line") + 1).alias("lines"),
+        F.coalesce("f.complexity", F.lit(1)).alias("cyclomatic"), F.coalesce("f.nesting", F.lit(0)).alias("nesting"), "language",
+    )
+
+
+# What makes a file important, and how much of it.
+IMPORTANCE = {"entrypoint": 0.35, "readme": 0.3, "manifest": 0.15, "dependents": 0.3, "hotspot": 0.25}
+
+
+def important_files(entrypoints: DataFrame, readmes: DataFrame, manifests: DataFrame, edges: DataFrame, hotspots: DataFrame, lockfiles: DataFrame, most: int = 12) -> DataFrame:
+    """(path, score, reasons): files by the sum of what speaks for them, at most 1; lock files are left out.
+
+    entrypoints, readmes, manifests (at the root), lockfiles: (path); edges(src, dst); hotspots(path, rank).
+    """
+    fixed = lambda df, why: df.select("path", F.lit(IMPORTANCE[why]).alias("score"), F.lit(why).alias("reason"))
+    n = edges.select("src", F.col("dst").alias("path")).distinct().groupBy("path").agg(F.count("*").alias("n"))
+    top = n.agg(F.max("n").alias("top"))
+    used = n.filter("n >= 2").crossJoin(F.broadcast(top)).select("path", (IMPORTANCE["dependents"] * F.col("n") / F.col("top")).alias("score"), F.lit("dependents").alias("reason"))
+    hot = hotspots.filter("rank <= 20").select("path", (IMPORTANCE["hotspot"] * (1 - (F.col("rank") - 1) / 20)).alias("score"), F.lit("hotspot").alias("reason"))
+    found = fixed(entrypoints, "entrypoint").union(fixed(readmes, "readme")).union(fixed(manifests, "manifest")).union(used).union(hot)
+    scored = found.groupBy("path").agg(round4(F.least(F.lit(1.0), F.sum("score"))).alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), ";").alias("reasons"))
+    return scored.join(lockfiles.select("path"), "path", "left_anti").orderBy(F.desc("score"), "path").limit(most)

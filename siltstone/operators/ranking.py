@@ -133,3 +133,15 @@ def within_budget(items: DataFrame, by: str, cost: str, order: list[str], budget
     rows = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).alias("c")))).alias("x"))
     kept = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("used"), F.filter("x", lambda _: F.lit(False)).alias("k")), lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.array_append(s["k"], x).alias("k"))).otherwise(s))
     return rows.select(by, F.posexplode(kept["k"]).alias("place", "i")).select(by, "place", *(f"i.{o}" for o in order), F.col("i.c").alias(cost))
+
+
+def task_counts(labels: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(kind, questions, answerable, unanswerable, labels, positive, negative) for each kind of question, those without questions too.
+
+    labels(question, kind, relevant); a question is answerable if some evidence of it is relevant.
+    """
+    per = labels.groupBy("question", "kind").agg(F.count("*").alias("labels"), F.count_if("relevant").alias("positive"))
+    n = per.groupBy("kind").agg(F.count("*").alias("questions"), F.count_if(F.col("positive") > 0).alias("answerable"), F.sum("labels").alias("labels"), F.sum("positive").alias("positive"))
+    every = labels.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    out = every.join(n, "kind", "left").na.fill(0)
+    return out.select("kind", "questions", "answerable", (F.col("questions") - F.col("answerable")).alias("unanswerable"), "labels", "positive", (F.col("labels") - F.col("positive")).alias("negative"))
