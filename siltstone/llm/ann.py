@@ -144,6 +144,8 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alp
         return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *blobs, pa.array([entry], pa.int32())], names=INDEX)
 
     dealt = vectors.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    # by number, so that small shards are not put together into a few tasks
+    dealt = dealt.repartition(min(10_000, max(1, sum(shards.values()))), "dim", "shard")
     index = dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids binary, starts binary, vectors binary, graph binary, entry int")
     return written(index, "graphs"), shards
 
@@ -156,12 +158,13 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
     frequent vector is spread; a shard's graph holds each different vector once, with all its ids.
     Queries go in blocks to every shard; the best k of all shards follow from exact scores. Rows whose
     vector is null, zero or has a null or non-finite component, or whose vec_id is null, take no part;
-    vectors of another length are not compared; repeated rows count once; fewer than k candidates give
+    vectors of another length are not compared; repeated rows count once, and of several vectors of one
+    query id the smallest is asked; fewer than k candidates give
     fewer rows, an empty table none; other columns are ignored.
     """
     vectors = usable(embeddings)
     index, shards = build_index(vectors, shard_rows, degree, build_beam, alpha)
-    asked = usable(queries).dropDuplicates(["vec_id"])
+    asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = {r.dim: -(-r["count"] // block) for r in asked.groupBy("dim").count().collect()}
     sizes = embeddings.sparkSession.createDataFrame([(d, shards[d], n) for d, n in blocks.items() if d in shards], "dim int, shards int, blocks int")
     asked = (
@@ -198,6 +201,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
                 best = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(own[j[best]]), pa.array(cand[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
-    found = asked.join(index, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    n = min(10_000, max(1, sum(shards.values())))
+    met = asked.repartition(n, "dim", "shard").join(index.repartition(n, "dim", "shard"), ["dim", "shard"])
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,15 +26,23 @@ def letters() -> np.ndarray:
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and counts of the letter trigrams of a whole text in lower case; runs of other characters are one gap."""
+    """Buckets and counts of the letter trigrams of a whole text in lower case; runs of other characters are one gap, and so are both ends.
+
+    Long texts are read in parts; the last two characters of a part, gaps already joined, go before the
+    next one, so that where a text is cut makes no difference.
+    """
     found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    text = text or ""
-    for at in range(0, len(text), _PART):  # neighbouring parts overlap by the two characters that a trigram needs
-        code = np.frombuffer(text[max(0, at - 2) : at + _PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(letters()[code], code, 32)
-        code = np.concatenate(([32], code, [32])).astype(np.uint32) if len(text) <= _PART else code.astype(np.uint32)
+    text = (text or "").lower()
+    tail = np.full(1, 32, np.uint32)
+    for at in range(0, len(text), _PART):
+        code = np.frombuffer(text[at : at + _PART].encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.concatenate((tail, np.where(letters()[code], code, 32)))
+        if at + _PART >= len(text):
+            code = np.append(code, 32)
+        code = code.astype(np.uint32)
         gap = code == 32
         code = code[~(gap & np.concatenate(([False], gap[:-1])))]
+        tail = code[-2:]
         if len(code) < 3:
             continue
         mixed = code[:-2] * np.uint32(0x9E3779B1) + code[1:-1] * np.uint32(0x85EBCA6B) + code[2:] * np.uint32(0xC2B2AE35)
@@ -107,17 +115,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, rows_per_language: int = 20_000) -> Model:
+def learn(docs: DataFrame, rows_per_language: int = 20_000, most_languages: int = 500) -> Model:
     """A model of the languages that occur in lang of documents outside the held-out fold.
 
-    Learns from at most about rows_per_language documents a language: those whose id's hash is small
-    enough, from counts over all documents. The driver gets one count for each language and trigram bucket.
+    Learns the most_languages most frequent values of lang, so that a dirty column cannot fill the driver,
+    from at most about rows_per_language documents each: those whose id's hash is small enough, from
+    counts over all documents. The driver gets one count for each language and trigram bucket.
     """
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    below = F.lit(None).cast("long")
-    for name, n in sizes.items():
-        below = F.when(F.col("lang") == name, F.lit(min(1 << 32, (rows_per_language << 32) // n))).otherwise(below)
+    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = {r.lang: min(1 << 32, (rows_per_language << 32) // r["count"]) for r in top}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -133,7 +140,8 @@ def learn(docs: DataFrame, rows_per_language: int = 20_000) -> Model:
 
     if not sizes:
         return Model.of({})
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < below).select("lang", "text")
+    below = F.broadcast(docs.sparkSession.createDataFrame(list(sizes.items()), "lang string, below long"))
+    sample = known.join(below, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.col("below")).select("lang", "text")
     counts = {name: np.zeros(BUCKETS) for name in sizes}
     for r in sample.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r.lang][r.bucket] = r.n

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,12 +107,13 @@ def pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int) -> list[tuple[int, ...]]:
+def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: float, most: int | None = 64) -> list[tuple[int, ...]]:
     """Fillings of room from the lengths at hand (ascending), least waste first, then fewest items, without dominated ones.
 
     A filling to which another item could be added is dominated, and so is one that comes from another
     by putting items in the place of a single one that is as long at least. The search goes from large
-    to small items and ends at a full bin or after so many nodes; its first find is the best fit.
+    to small items and ends at a full bin or after so many nodes; its first find is the best fit. Of
+    more than `most` fillings the first are looked at (None: all, and a full bin does not end the search).
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     used: dict[int, int] = {}
@@ -141,35 +143,33 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int)
             k -= 1
         if k < 0:
             found.append((room, chosen))
-            return room == 0
+            return room == 0 and most is not None
         return False
 
     search(room, room, ())
     if not found:  # the nodes ran out on the way: take the best fit
         chosen: list[int] = []
+        taken = Counter()
         while (k := bisect_right(lengths, room) - 1) >= 0:
-            while k >= 0 and chosen.count(lengths[k]) >= counts[lengths[k]]:
+            while k >= 0 and taken[lengths[k]] >= counts[lengths[k]]:
                 k -= 1
             if k < 0:
                 break
-            chosen.append(lengths[k])
-            room -= lengths[k]
+            n = min(room // lengths[k], counts[lengths[k]] - taken[lengths[k]])
+            chosen += [lengths[k]] * n
+            taken[lengths[k]] += n
+            room -= n * lengths[k]
         found = [(room, tuple(chosen))]
     found.sort(key=lambda f: (f[0], len(f[1])))
     kept: list[tuple[int, ...]] = []
-    for _, x in found[:64]:
+    for _, x in found[:most]:
         if not any(dominates(y, x) for y in kept):
             kept.append(x)
     return kept
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    rest_a, rest_b = list(a), []
-    for x in b:
-        if x in rest_a:
-            rest_a.remove(x)
-        else:
-            rest_b.append(x)
+    rest_a, rest_b = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
     return len(rest_a) == 1 and sum(rest_b) <= rest_a[0] or not rest_a and not rest_b
 
 
@@ -188,7 +188,7 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: int = 300, tries: int = 4000) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+def plan(counts: dict[int, int], capacity: int = 4096, width: int | None = 8, nodes: float = 300, tries: float = 4000, exact_items: int = 16) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """(fillings with how often each is used, lower bound on the bins), from how many items have each length.
 
     Bin completion: each step takes the largest item left and fills the rest of its bin with one of
@@ -196,7 +196,15 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: in
     each time. The search goes back for another filling while the waste so far could still beat the
     best solution, for so many tries, and ends at the bound. Steps are taken on counts by length, so
     that the work depends on the number of lengths (less than capacity), not on that of the items.
+
+    With at most exact_items items, nothing is left out: all undominated fillings, one bin a step, until the
+    best is proven. With more, a bin's search looks at so many nodes and 64 fillings, keeps `width` of
+    them, and the whole ends after so many tries; what is found may then be above the optimum, by no more
+    than it is above the bound that is returned.
     """
+    exact = sum(counts.values()) <= exact_items
+    if exact:
+        width, nodes, tries = None, float("inf"), float("inf")
     counts = {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
     bound = least_bins(counts, capacity)
@@ -207,8 +215,8 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: in
     bins = waste = 0
 
     def take(filling: tuple[int, ...]) -> int:
-        need = {x: filling.count(x) for x in filling}
-        times = min(counts[x] // n for x, n in need.items())
+        need = Counter(filling)
+        times = 1 if exact else min(counts[x] // n for x, n in need.items())
         for x, n in need.items():
             counts[x] -= n * times
             if not counts[x]:
@@ -233,7 +241,7 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int = 8, nodes: in
             counts[top] -= 1
             if not counts[top]:
                 lengths.pop()
-            options = [(top, *f) for f in fillings(lengths, counts, capacity - top, nodes)[:width]]
+            options = [(top, *f) for f in fillings(lengths, counts, capacity - top, nodes, None if exact else 64)[:width]]
             if not counts[top]:
                 lengths.append(top)
             counts[top] += 1
@@ -277,8 +285,7 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
     sequence = 0
     for filling, times in fills:
         at = 0
-        for x in dict.fromkeys(filling):
-            n = filling.count(x)
+        for x, n in Counter(filling).items():
             keys.append((x, rank.get(x, 0)))
             first.append(sequence)
             repeat.append(n)

@@ -70,4 +70,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op6_source_mixing": mixing.SQL,
     "op8_url_filter": urlfilter.SQL,
+    "op10_warc_bundles": warc.SQL,
 }

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import written
 from siltstone.session import new_path
 
+#: Payloads with copies, or repeated ids, that are sent to all tasks at most.
+SENT = 500_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -24,11 +26,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """A WARC/1.1 record. A revisit has the HTTP head alone, with the length of the payload that it stands for."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, copy: int | None = None) -> bytes:
+    """A WARC/1.1 record. A revisit has the HTTP head alone, with the length of the payload that it stands for; a copy's number makes its id its own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}{'' if copy is None else f':{copy}'}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
@@ -134,15 +136,24 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     its own attempt, and the index, which Spark commits, names the bundles of those that ended well;
     what a lost task leaves is in no index. Null html is empty; a null url has no target header; rows
     with a null page_id revisit one that has an id; repeated rows are records each, as responses all
-    if theirs is the smallest id; an empty table gives no bundles; other columns are ignored.
+    if theirs is the smallest id, with a number of its own in each record's id, and a revisit of such a page
+    names the page alone; an empty table gives no bundles; other columns are ignored.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
-    first = rows.groupBy("sha", "n").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, ["sha", "n"]).select(
-        "page_id", "url", "html", "first", ((F.col("n") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit")
-    )
+    groups = rows.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter((F.col("rows") > 1) & (F.col("n") >= least))
+    shared = written(groups.drop("rows"), "payloads")
+    ids = written(rows.groupBy("page_id").count().filter("count > 1").select("page_id", F.lit(True).alias("repeated")), "repeated")
+    # few enough, by their count, to be sent to all tasks, so that no page is shuffled; more are met by a shuffle
+    sent = lambda df: F.broadcast(df) if df.count() <= SENT else df
+    named = rows.join(sent(shared), ["sha", "n"], "left")
+    if not ids.isEmpty():
+        named = named.withColumn("id", F.col("page_id")).join(sent(ids.withColumnRenamed("page_id", "of")), F.col("id").eqNullSafe(F.col("of")), "left")
+        named = named.withColumn("copy", F.when(F.col("repeated"), F.monotonically_increasing_id()))
+    else:
+        named = named.withColumn("copy", F.lit(None).cast("long"))
+    rows = named.select("page_id", "url", "html", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
@@ -151,12 +162,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
         writer, name = None, ""
         for batch in batches:
             index: list[tuple] = []
-            for page, url, html, first, revisit in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for page, url, html, first, revisit, copy in zip(*(batch.column(k) for k in range(6)), strict=True):
                 if writer is None:
                     name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{made:04d}.warc.zst"
                     writer, made = BundleWriter(files.open_output_stream(f"{path}/{name}", compression=None), frame_bytes), made + 1
                 page = page.as_py()
-                data = record(page, url.as_py(), html.as_py().encode("utf-8", "replace"), first.as_py(), revisit.as_py(), date)
+                data = record(page, url.as_py(), html.as_py().encode("utf-8", "replace"), first.as_py(), revisit.as_py(), date, copy.as_py())
                 index.append((page, name, *writer.add(data), len(data)))
                 if writer.written >= bundle_bytes:
                     writer.finish()
@@ -181,7 +192,7 @@ def read_archives(index: DataFrame) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def number(text: str | None) -> int | None:
-        text = (text or "").removeprefix("<urn:page:").removesuffix(">")
+        text = (text or "").removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
         return None if text in ("", "None") else int(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,5 +224,14 @@ def fetch(index: DataFrame, page_id: int) -> list[bytes]:
     return out
 
 
-#: DuckDB has no SHA-1 or base 32, so the digest is left to the tests.
-SQL = None
+#: Five hexadecimal digits are four of base 32.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, n) AS first FROM s)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
