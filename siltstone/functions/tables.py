@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from siltstone.session import new_path, remove, ship
 
@@ -30,3 +31,17 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() has made, once all that reads them has been written itself."""
     for table in tables:
         remove(table.sparkSession, table.stored_at)
+
+
+def in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in an order of all rows; ties are put in any order.
+
+    Rows are dealt into ranges of the order, which are written once, so that places within a range and
+    the sizes of the ranges before it agree; no task orders all rows.
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__range", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__row", within).join(sizes, "__range").withColumn(name, F.col("__row") + F.col("__before")).drop("__range", "__row", "__before")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import ancestors, depth, parent
+from siltstone.functions.tables import in_order
 
 
 def declarations(before: DataFrame, after: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:
@@ -160,7 +161,8 @@ def masked(df: DataFrame, preset: str, hidden: dict[str, tuple[str, ...]], peopl
     """A table for a privacy preset: hidden columns are empty, people are numbered by rank."""
     out = df.withColumns({c: F.lit("").cast(df.schema[c].dataType) for c in hidden.get(preset, ()) if c in df.columns})
     if preset == "public" and people:
-        out = out.withColumn(people, F.concat(F.lit("Contributor "), F.row_number().over(Window.orderBy(*(order or [F.col(people)])))))
+        ranked = in_order(out, order or [F.col(people)], "__place")
+        out = ranked.withColumn(people, F.concat(F.lit("Contributor "), F.col("__place").cast("string"))).drop("__place")
     return out
 
 

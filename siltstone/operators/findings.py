@@ -85,8 +85,13 @@ def policy_failed(found: DataFrame, fail_on: str) -> DataFrame:
     return found.agg(F.coalesce(F.bool_or(new & (severity_rank(F.col("severity")) >= SEVERITIES.index(fail_on) + 1)), F.lit(False)).alias("failed"), F.count_if(new).alias("introduced"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """(json) of a SARIF result for each finding."""
+def sarif_result() -> Column:
+    """A finding as a SARIF result."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
-    return findings.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("id").alias("stableId")).alias("partialFingerprints"))).alias("json"))
+    return F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("id").alias("stableId")).alias("partialFingerprints"))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(json) of a SARIF result for each finding."""
+    return findings.select(F.to_json(sarif_result()).alias("json"))

@@ -137,29 +137,36 @@ def layers(edges: DataFrame, components: DataFrame, rounds: int | None = None) -
     return components.join(level, "component").select("node", "layer")
 
 
-def shortest_cycle(edges: DataFrame, start: str, most: int = 12) -> DataFrame:
-    """(path) of a shortest way from a node back to itself, of equals the first by names; breadth-first, one row a reached node."""
-    e = edges.select("src", "dst").distinct()
+def shortest_cycle(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(path) of a shortest way from a node back to itself, of equals the first by names; no row without one.
+
+    Breadth-first, one row a reached node, until the node itself or nothing new is reached. A bound on
+    steps raises when it is reached.
+    """
+    e = stored(edges.select("src", "dst").distinct(), "edges")
     front = stored(e.filter(F.col("src") == start).select(F.col("dst").alias("node"), F.array("src", "dst").alias("path")), "front")
     seen = front.select("node")
-    for _ in range(most):
+    for k in count(1):
         home = front.filter(F.col("node") == start)
         if not home.isEmpty() or front.isEmpty():
             return home.agg(F.min("path").alias("path")).filter("path is not null")
+        if most is not None and k >= most:
+            raise RuntimeError(f"shortest_cycle: nothing leads back within {most} steps")
         step = front.join(e, front.node == e.src).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
         front = stored(step, "front")
         seen = stored(seen.union(front.select("node")), "seen")
-    return front.limit(0).select("path")
 
 
-def betweenness(edges: DataFrame, sources_per_task: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, sources_per_task: int = 64, most_edges: int = 2_000_000) -> DataFrame:
     """(node, betweenness) over shortest ways, divided by (n - 1)(n - 2); 0 under three nodes.
 
     Each task has the graph, which is one of modules and is sent in full, and a part of the sources:
-    their shortest ways are independent of each other.
+    their shortest ways are independent of each other. A graph of more than most_edges edges raises.
     """
-    rows = edges.select("src", "dst").distinct().toPandas()
+    rows = edges.select("src", "dst").distinct().limit(most_edges + 1).toPandas()
+    if len(rows) > most_edges:
+        raise ValueError(f"betweenness: a graph of more than {most_edges} edges cannot be sent to all tasks")
     names = sorted(set(rows["src"]) | set(rows["dst"]))
     place = {n: k for k, n in enumerate(names)}
     out: list[list[int]] = [[] for _ in names]

@@ -334,3 +334,56 @@ def snapshots(changes: DataFrame, targets: list, by: str = "language") -> DataFr
     run = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     out = every.join(n, [by, "k"], "left").select("k", by, F.sum(F.coalesce("step", F.lit(0))).over(run).alias("files"), F.sum(F.coalesce("grown", F.lit(0))).over(run).alias("lines"))
     return out.select(F.get(times, F.col("k")).alias("target"), by, "files", "lines").filter("files != 0 or lines != 0")
+
+
+# Kinds of events, in the order in which those of one time are told.
+EVENTS = (
+    "repository-created", "multi-package-structure", "module-introduced", "module-removed", "restructuring", "tests-introduced", "ci-adopted", "containers-adopted",
+    "framework-adopted", "framework-removed", "language-introduced", "language-shift", "significant-growth", "significant-reduction", "release",
+)
+
+
+def told(events: DataFrame) -> DataFrame:
+    """events(ts, kind, subject) in the order of their times and kinds."""
+    rank = F.array_position(F.array(*map(F.lit, EVENTS)), F.col("kind"))
+    return events.orderBy("ts", rank, "subject")
+
+
+def snapshot_events(found: DataFrame, by: str = "language") -> DataFrame:
+    """(ts, kind, subject, before, after): what changes from each snapshot to the next, from snapshots(target, by, files, lines).
+
+    A language is introduced when its share of the lines goes from under 5 % to 10 % or more, and shifts
+    when it had 5 % and moves by 20 points or more. The files grow significantly by 50 and a half, and
+    shrink by 30 and three tenths. Snapshots are few, so that windows run over them by language.
+    """
+    whole = Window.partitionBy("target")
+    share = found.select("target", by, (F.col("lines") / F.nullif(F.sum("lines").over(whole), F.lit(0))).alias("share"))
+    times = found.select("target").distinct()
+    every = times.crossJoin(F.broadcast(found.select(by).distinct())).join(share, ["target", by], "left").na.fill(0.0, ["share"])
+    before = F.lag("share").over(Window.partitionBy(by).orderBy("target"))
+    pairs = every.withColumn("before", before).filter("before is not null")
+    kind = F.when((F.col("before") < 0.05) & (F.col("share") >= 0.1), "language-introduced").when((F.col("before") >= 0.05) & (F.col("share") > 0) & (F.abs(F.col("share") - F.col("before")) >= 0.2), "language-shift")
+    languages = pairs.select(F.col("target").alias("ts"), kind.alias("kind"), F.col(by).cast("string").alias("subject"), round4(F.col("before")).alias("before"), round4(F.col("share")).alias("after")).filter("kind is not null")
+    files = found.groupBy("target").agg(F.sum("files").alias("b"))
+    files = files.withColumn("a", F.lag("b").over(Window.orderBy("target"))).filter("a is not null")
+    a, b = F.col("a"), F.col("b")
+    kind = F.when((b >= a + 50) & (b * 2 >= a * 3), "significant-growth").when((a >= b + 30) & (b * 10 <= a * 7), "significant-reduction")
+    sizes = files.select(F.col("target").alias("ts"), kind.alias("kind"), F.lit("repository").alias("subject"), a.cast("double").alias("before"), b.cast("double").alias("after")).filter("kind is not null")
+    return languages.unionByName(sizes)
+
+
+def first_appearances(changes: DataFrame, tests: dict[str, Column], renames: int = 20) -> DataFrame:
+    """(ts, kind, subject): the first commit, the first file of each kind after it, and commits that rename many files.
+
+    changes: (seq, commit, ts, path, status). tests: what a path must be for each kind; a kind that the
+    first commit has already is no event.
+    """
+    per = changes.groupBy("commit").agg(F.min("seq").alias("seq"), F.min("ts").alias("ts"), F.count_if(F.col("status") == "renamed").alias("renamed"), *(F.bool_or(test & (F.col("status") != "deleted")).alias(kind) for kind, test in tests.items()))
+    first = per.agg(F.min("seq").alias("start"))
+    per = per.crossJoin(F.broadcast(first))
+    at = F.struct("seq", "ts", F.col("commit").cast("string").alias("subject"))
+    starts = per.agg(F.min(at).alias("created"), *(F.min(F.when(F.col(kind), at)).alias(kind) for kind in tests), F.min("start").alias("start"))
+    row = lambda kind, c: F.when((F.lit(kind == "repository-created")) | (F.col(c)["seq"] > F.col("start")), F.struct(F.col(c)["ts"].alias("ts"), F.lit(kind).alias("kind"), F.col(c)["subject"].alias("subject")))
+    once = starts.select(F.explode(F.array_compact(F.array(row("repository-created", "created"), *(row(kind, kind) for kind in tests)))).alias("e")).select("e.*").filter("ts is not null")
+    moved = per.filter((F.col("renamed") >= renames) & (F.col("seq") > F.col("start"))).select("ts", F.lit("restructuring").alias("kind"), F.col("commit").cast("string").alias("subject"))
+    return once.unionByName(moved)

@@ -93,10 +93,22 @@ def split_problems(parts: DataFrame) -> DataFrame:
     return parts.groupBy("family").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
+#: So many labelled rows, or pairs of them, are learned from in one task at most; people make labels one by one.
+MOST_LABELS = 200_000
+
+
+def bounded(rows: DataFrame, what: str) -> DataFrame:
+    """rows, if there are few enough for one task; else raises."""
+    n = rows.limit(MOST_LABELS + 1).count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{what}: more than {MOST_LABELS} labelled rows do not fit one task")
+    return rows
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str, rate: float = 0.05, l2: float = 0.001, epochs: int = 20) -> DataFrame:
     """(feature, weight) of a logistic model by stochastic gradient descent over sorted rows, the same each time.
 
-    Steps depend on each other, so one task runs them; rows are labelled judgments, which people make one by one.
+    Steps depend on each other, so one task runs them; more than MOST_LABELS rows raise.
     """
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -107,11 +119,14 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, rate: float =
                 w -= rate * ((1 / (1 + np.exp(-np.clip(v @ w, -32, 32))) - t) * v + l2 * w)
         return pd.DataFrame({"feature": features, "weight": w})
 
-    return rows.select(*features, label).groupBy().applyInPandas(run, "feature string, weight double")
+    return bounded(rows.select(*features, label), "fit_logistic").groupBy().applyInPandas(run, "feature string, weight double")
 
 
 def fit_pairwise(rows: DataFrame, features: list[str], label: str, group: str, rate: float = 0.05, l2: float = 0.001, epochs: int = 20) -> DataFrame:
-    """(feature, weight) from pairs of a relevant and another item of one group, by the same descent."""
+    """(feature, weight) from pairs of a relevant and another item of one group, by the same descent; more than MOST_LABELS pairs raise."""
+    pairs = rows.groupBy(group).agg(F.count_if(F.col(label) != 0).alias("y"), F.count_if(F.col(label) == 0).alias("n")).agg(F.sum(F.col("y") * F.col("n"))).first()[0]
+    if (pairs or 0) > MOST_LABELS:
+        raise ValueError(f"fit_pairwise: more than {MOST_LABELS} pairs do not fit one task")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         w = np.zeros(len(features))

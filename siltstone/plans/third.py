@@ -346,3 +346,30 @@ def measured_functions(spark: SparkSession, sf: str) -> DataFrame:
     f = F.array(F.struct(F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + 3).alias("end_line"), F.col("l_quantity").cast("long").alias("complexity"), F.lit(None).cast("int").alias("nesting")))
     files = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.lit("python").alias("language"), (F.col("l_returnflag") == "R").alias("test"), f.alias("functions"))
     return quality.function_signals(files).select("path", "name", "cyclomatic", "nesting", F.col("lines"))
+
+
+_GROWN = """t AS (SELECT unnest([TIMESTAMP '1994-01-01 00:00:00', TIMESTAMP '1996-01-01 00:00:00', TIMESTAMP '1998-01-01 00:00:00', TIMESTAMP '2000-01-01 00:00:00', TIMESTAMP '2024-06-01 00:00:00']) AS target),
+g AS (SELECT target, l_returnflag AS language, CAST(sum(CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS BIGINT) AS files, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lines FROM t JOIN lineitem ON l_shipdate <= target GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_GROWN}, q AS (SELECT target, language, lines / sum(lines) OVER (PARTITION BY target) AS share FROM g WHERE files <> 0 OR lines <> 0), e AS (SELECT x.target, y.language, coalesce(q.share, 0) AS share FROM (SELECT DISTINCT target FROM q) x CROSS JOIN (SELECT DISTINCT language FROM q) y LEFT JOIN q ON q.target = x.target AND q.language = y.language),
+p AS (SELECT *, lag(share) OVER (PARTITION BY language ORDER BY target) AS before FROM e), f AS (SELECT target, sum(files) AS b FROM g GROUP BY 1), h AS (SELECT target, b, lag(b) OVER (ORDER BY target) AS a FROM f)
+SELECT target AS ts, CASE WHEN before < 0.05 AND share >= 0.1 THEN 'language-introduced' ELSE 'language-shift' END AS kind, language AS subject, {R4("before")} AS before, {R4("share")} AS after FROM p WHERE (before < 0.05 AND share >= 0.1) OR (before >= 0.05 AND share > 0 AND abs(share - before) >= 0.2)
+UNION ALL SELECT target, CASE WHEN b >= a + 50 AND b * 2 >= a * 3 THEN 'significant-growth' ELSE 'significant-reduction' END, 'repository', CAST(a AS DOUBLE), CAST(b AS DOUBLE) FROM h WHERE (b >= a + 50 AND b * 2 >= a * 3) OR (a >= b + 30 AND b * 10 <= a * 7)""")
+def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    c = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("language"), F.col("l_shipdate").alias("ts"), F.when(k == 0, "added").when(k == 1, "deleted").otherwise("modified").alias("status"), F.col("l_quantity").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    return history.snapshot_events(history.snapshots(c, [f"{x} 00:00:00" for x in _TIMES]))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS commit, min(l_shipdate) AS ts, count(*) FILTER (l_returnflag = 'R') AS renamed, bool_or(l_partkey % 40 = 3 AND l_returnflag <> 'N') AS tests, bool_or(l_partkey % 60 = 5 AND l_returnflag <> 'N') AS ci FROM lineitem GROUP BY 1), s AS (SELECT min(commit) AS start FROM c)
+SELECT ts, 'repository-created' AS kind, CAST(commit AS VARCHAR) AS subject FROM c, s WHERE commit = start
+UNION ALL (SELECT ts, 'tests-introduced', CAST(commit AS VARCHAR) FROM c, s WHERE commit = (SELECT min(commit) FROM c WHERE tests) AND commit > start) UNION ALL (SELECT ts, 'ci-adopted', CAST(commit AS VARCHAR) FROM c, s WHERE commit = (SELECT min(commit) FROM c WHERE ci) AND commit > start)
+UNION ALL SELECT ts, 'restructuring', CAST(commit AS VARCHAR) FROM c, s WHERE renamed >= 6 AND commit > start""")
+def first_events(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("l_partkey")
+    path = F.when(k % 40 == 3, F.concat(F.lit("tests/a"), k.cast("string"), F.lit(".py"))).when(k % 60 == 5, F.concat(F.lit(".github/workflows/b"), k.cast("string"), F.lit(".yml"))).otherwise(F.concat(F.lit("src/c"), k.cast("string"), F.lit(".py")))
+    status = F.when(F.col("l_returnflag") == "R", "renamed").when(F.col("l_returnflag") == "N", "deleted").otherwise("added")
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts"), path.alias("path"), status.alias("status"))
+    kinds = {"tests-introduced": X.is_test_path(F.col("path")), "ci-adopted": facts.is_ci_file(F.col("path"))}
+    return history.first_appearances(c, kinds, 6)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import csv_field
 from siltstone.operators.diffs import upserted
+from siltstone.operators.findings import sarif_result, severity_rank
 
 
 def csv_safe(df: DataFrame) -> DataFrame:
@@ -31,8 +33,49 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 
 def write_artifact(df: DataFrame, path: str) -> None:
-    """JSON that appears as a whole or not at all."""
-    df.write.mode("overwrite").json(path)
+    """JSON that appears as a whole or not at all: written beside its place, then put there by renaming.
+
+    What stood there before is moved aside first and deleted last, so that a writer that is lost on the way
+    leaves the old one or the new one, complete.
+    """
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    df.write.json(aside + ".new")
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(Path(path)) and not fs.rename(Path(path), Path(aside + ".old")):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(Path(aside + ".new"), Path(path)):
+        raise OSError(f"{path} could not be put in its place")
+    fs.delete(Path(aside + ".old"), True)
+
+
+def sarif(findings: DataFrame, tool: str, version: str, most: int = 25_000) -> DataFrame:
+    """(json) of one SARIF 2.1.0 document: the rules that fired and the first `most` findings by severity, rule, path and id.
+
+    A document is one value, and readers of the format take no more results than about that; how many
+    are left out is among the run's properties.
+    """
+    shown = findings.filter("suppressed_by is null") if "suppressed_by" in findings.columns else findings
+    rank = severity_rank(F.col("severity"))
+    top = shown.orderBy(F.desc(rank), "rule", "path", "id").limit(most).select("rule", (-rank).alias("k"), "path", "id", sarif_result().alias("r"))
+    results = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rule", "path", "id", "r"))), lambda x: x["r"]).alias("results"), F.transform(F.array_sort(F.collect_set("rule")), lambda r: F.struct(r.alias("id"))).alias("rules"))
+    total = shown.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("omitted"))
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules").alias("rules"))
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results").alias("results"), F.struct("omitted").alias("properties"))
+    document = F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(run).alias("runs"))
+    return results.crossJoin(total).select(F.to_json(document).alias("json"))
+
+
+def json_report(tables: dict[str, DataFrame], most: int = 1_000) -> DataFrame:
+    """(json) of one document with the first `most` rows of each table, in the order they are given, and how many there are in all."""
+    out = None
+    for name, df in tables.items():
+        rows = df.limit(most).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+        one = rows.crossJoin(df.agg(F.count("*").alias("total"))).select(F.struct("total", "rows").alias(name))
+        out = one if out is None else out.crossJoin(one)
+    if out is None:
+        raise ValueError("a report needs a table")
+    return out.select(F.to_json(F.struct(*out.columns)).alias("json"))
 
 
 def bundle(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> list[str]:
@@ -86,6 +129,16 @@ def migrated(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(schema)))
 
 
+def cache_hits(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted(key, ...) with what the cache holds for it; rows without an entry are left out."""
+    return wanted.join(cache, "key")
+
+
+def cache_updated(cache: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The cache with new entries found(key, value, bytes) in the place of those with their keys, used now."""
+    return upserted(cache, found.withColumn("used", now).select(*cache.columns), ["key"])
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """What is not analysed yet, by content key."""
     return wanted.join(cache.select("key"), "key", "left_anti")
