@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import facts
 from siltstone.functions import scalars as X
-from siltstone.operators import diffs, graph, history, quality, ranking, rules, structure
+from siltstone.operators import diffs, fingerprint, graph, history, modules, quality, ranking, rules, structure
 from siltstone.plans.catalogue import R4, orders, query
 from siltstone.session import table
 
@@ -373,3 +373,92 @@ def first_events(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts"), path.alias("path"), status.alias("status"))
     kinds = {"tests-introduced": X.is_test_path(F.col("path")), "ci-adopted": facts.is_ci_file(F.col("path"))}
     return history.first_appearances(c, kinds, 6)
+
+
+# --- modules and fingerprint -----------------------------------------------
+
+
+#: Folders of parts, and the modules that they are, written out.
+FOLDERS = (
+    ("", "(root)", "root"), ("core", "core", "directory"), ("core/deep/er", "core", "directory"), ("crates/a/src", "crates/a", "directory"), ("crates/b", "crates/b", "directory"), ("crates", "crates", "directory"),
+    ("src/net", "src/net", "directory"), ("src", "src", "directory"), ("src/main/java/x", "src/main/java/x", "directory"), ("src/main/java/y", "src/main/java/y", "directory"), ("pkg1/lib", "pkg1", "package"), ("pkg1/in/ner", "pkg1/in", "package"),
+)
+
+
+@query(f"SELECT module, kind, count(*) AS files FROM part JOIN (VALUES {', '.join(f'({k}, {chr(39)}{m}{chr(39)}, {chr(39)}{x}{chr(39)})' for k, (_, m, x) in enumerate(FOLDERS))}) w(k, module, kind) ON p_partkey % {len(FOLDERS)} = k GROUP BY 1, 2")
+def inferred_modules(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("p_partkey") % len(FOLDERS)).cast("int")
+    folder = F.get(F.array(*(F.lit(f) for f, _, _ in FOLDERS)), k)
+    files = table(spark, sf, "part").select(F.concat_ws("/", F.nullif(folder, F.lit("")), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".rs"))).alias("path"))
+    packages = spark.createDataFrame([("",), ("pkg1",), ("pkg1/in",)], "folder string")
+    return modules.infer(files, packages).groupBy("module", "kind").agg(F.count("*").alias("files"))
+
+
+def metrics_sql(tables: dict[str, str]) -> str:
+    parts = []
+    for name, sql in tables.items():
+        for k, v in fingerprint.METRICS[name].items():
+            zero = f"coalesce({v}, 0)" if " / " not in v and not v.startswith(("avg", "median", "max")) else v
+            parts.append(f"SELECT '{k}' AS id, CAST({zero} AS DOUBLE) AS v FROM ({sql})")
+    return f"SELECT id, {R4('v')} AS value FROM ({' UNION ALL '.join(parts)}) WHERE v IS NOT NULL"
+
+
+_METRICS = {
+    "files": """SELECT 'src/' || p_brand AS folder, p_size * 100 AS bytes, p_size * 30 AS lines, p_size * 25 AS code, p_size AS comment, p_partkey % 7 = 0 AS generated, p_partkey % 11 = 0 AS vendored, p_partkey % 13 = 0 AS is_binary, p_partkey % 5 AS symbols, p_type AS language, p_partkey % 4 = 0 AS test, p_partkey % 6 = 0 AS inline_tests, p_partkey % 9 = 0 AS document FROM part""",
+    "functions": "SELECT CAST(floor(l_quantity) AS BIGINT) AS cyclomatic, l_linenumber * 20 AS lines FROM lineitem",
+    "commits": "SELECT o_orderkey AS commit, o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AS recent, o_orderkey % 4000 AS age FROM orders",
+    "people": "SELECT o_custkey AS author, count(*) AS commits FROM orders GROUP BY 1",
+    "imports": "SELECT l_returnflag <> 'R' AS resolved FROM lineitem",
+    "findings": "SELECT ['info', 'attention', 'warning', 'critical'][c_custkey % 4 + 1] AS severity, c_custkey % 10 = 0 AS suppressed FROM customer",
+    "dependencies": "SELECT s_suppkey % 2 = 0 AS direct, s_suppkey % 3 = 0 AS locked, CAST(s_nationkey AS VARCHAR) AS ecosystem FROM supplier",
+    "duplication": "SELECT sum(p_size) AS analyzed, count(*) AS duplicated, count(DISTINCT p_brand) AS clusters FROM part",
+    "markers": "SELECT 1 AS x FROM events",
+}
+
+
+@query(metrics_sql(_METRICS))
+def raw_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    part, p = table(spark, sf, "part"), F.col("p_partkey")
+    every = lambda n: p % n == 0
+    return fingerprint.raw_metrics(
+        {
+            "files": part.select(
+                F.concat(F.lit("src/"), "p_brand").alias("folder"), (F.col("p_size") * 100).alias("bytes"), (F.col("p_size") * 30).alias("lines"), (F.col("p_size") * 25).alias("code"), F.col("p_size").alias("comment"), every(7).alias("generated"), every(11).alias("vendored"),
+                every(13).alias("is_binary"), (p % 5).alias("symbols"), F.col("p_type").alias("language"), every(4).alias("test"), every(6).alias("inline_tests"), every(9).alias("document"),
+            ),
+            "functions": table(spark, sf, "lineitem").select(F.floor("l_quantity").alias("cyclomatic"), (F.col("l_linenumber") * 20).alias("lines")),
+            "commits": table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), (F.col("o_orderdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp")).alias("recent"), (F.col("o_orderkey") % 4000).alias("age")),
+            "people": orders(spark, sf).groupBy("author").agg(F.count("*").alias("commits")),
+            "imports": table(spark, sf, "lineitem").select((F.col("l_returnflag") != "R").alias("resolved")),
+            "findings": table(spark, sf, "customer").select(F.get(F.array(*map(F.lit, ("info", "attention", "warning", "critical"))), (F.col("c_custkey") % 4).cast("int")).alias("severity"), (F.col("c_custkey") % 10 == 0).alias("suppressed")),
+            "dependencies": table(spark, sf, "supplier").select((F.col("s_suppkey") % 2 == 0).alias("direct"), (F.col("s_suppkey") % 3 == 0).alias("locked"), F.col("s_nationkey").cast("string").alias("ecosystem")),
+            "duplication": part.agg(F.sum("p_size").alias("analyzed"), F.count("*").alias("duplicated"), F.count_distinct("p_brand").alias("clusters")),
+            "markers": table(spark, sf, "events"),
+        }
+    )
+
+
+_MEASURES = """SELECT (SELECT count(*) FROM nation) AS modules, (SELECT count(*) FROM region) AS max_fan_in, CAST(0.25 AS DOUBLE) AS concentration, CAST(4.0 AS DOUBLE) AS effective_languages, CAST(2.5 AS DOUBLE) AS effective_contributors, CAST(count(*) AS BIGINT) AS age_days,
+ count(*) FILTER (p_partkey % 4 = 0) AS test_files, count(*) FILTER (p_partkey % 4 <> 0) AS source_files, count(*) FILTER (p_partkey % 8 = 1) AS inline_test_files, 5 AS checks_present, 1 AS checks_partial, 8 AS checks, 40 AS commits_90, CAST(NULL AS DOUBLE) AS duplication_ratio, 30 AS resolved, 10 AS unresolved FROM part"""
+
+
+@query(f"WITH m AS ({_MEASURES}), d AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS id, CAST({v} AS DOUBLE) AS v FROM m' for k, v in (fingerprint.DIMENSIONS | fingerprint.SIGNALS).items())}) SELECT id, {R4('greatest(0.0, least(1.0, v))')} AS value FROM d WHERE v IS NOT NULL")
+def fingerprint_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    n, r = (table(spark, sf, t).agg(F.count("*").alias(c)) for t, c in (("nation", "modules"), ("region", "max_fan_in")))
+    p = F.col("p_partkey")
+    fixed = {"concentration": 0.25, "effective_languages": 4.0, "effective_contributors": 2.5, "checks_present": 5, "checks_partial": 1, "checks": 8, "commits_90": 40, "resolved": 30, "unresolved": 10}
+    one = table(spark, sf, "part").agg(F.count("*").alias("age_days"), F.count_if(p % 4 == 0).alias("test_files"), F.count_if(p % 4 != 0).alias("source_files"), F.count_if(p % 8 == 1).alias("inline_test_files"))
+    one = one.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"duplication_ratio": F.lit(None).cast("double")})
+    return fingerprint.dimensions(one.crossJoin(n).crossJoin(r), signals=True)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'web/admin' WHEN 2 THEN '' ELSE 'web' END AS root FROM part""")
+def package_roots(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.get(F.array(*map(F.lit, ("web/src/a.ts", "web/admin/b.ts", "website/c.ts", "web/administration/d.ts"))), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", facts.folder_of_package(path, ("web", "web/admin")).alias("root"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'tests' WHEN 1 THEN 'source' ELSE 'vendor' END AS c FROM part) SELECT c AS category, c = 'source' AS first_party, count(*) AS n FROM p WHERE c <> 'tests' GROUP BY 1, 2 UNION ALL SELECT 'test', true, count(*) FROM p WHERE c = 'tests'""")
+def first_party(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.get(F.array(*map(F.lit, ("test", "source", "vendor"))), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, sf, "part").select(c.alias("category")).groupBy("category", facts.is_first_party_code(F.col("category")).alias("first_party")).agg(F.count("*").alias("n"))
