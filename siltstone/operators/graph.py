@@ -46,42 +46,52 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     left = stored(edges.select("src", "dst").distinct(), "edges")
     nodes = stored(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct(), "nodes")
     done = spark.createDataFrame([], nodes.select("node", F.col("node").alias("component")).schema)
-    left = left.filter("src != dst")
+
+    def within(rows: DataFrame, kept: DataFrame) -> DataFrame:
+        return stored(rows.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
+
     for k in count():
         if rounds is not None and k >= rounds and not nodes.isEmpty():
             raise RuntimeError(f"strong_components: nodes are left after {rounds} rounds")
         if k % 32 == 31:
             done = stored(done, "done")
-        inner = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-        single = nodes.join(inner, "node", "left_anti")
+        own = left.filter("src != dst")
+        inner = own.select(F.col("src").alias("node")).intersect(own.select(F.col("dst").alias("node")))
+        single = stored(nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "done")
+        done, before = done.union(single), (nodes, left)
         nodes = stored(nodes.join(inner, "node", "left_semi"), "nodes")
-        done = done.union(stored(single.select("node", F.col("node").alias("component")), "done"))
-        left = stored(left.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
+        left = within(own, nodes)
+        discard(*before)
         if nodes.isEmpty():
             break
         if not single.isEmpty():
             continue
-        color = nodes.select("node", F.col("node").alias("color"))
+        color, grown = nodes.select("node", F.col("node").alias("color")), None
         while True:  # forward: the largest color that reaches a node
             near = left.join(color, left.src == color.node).groupBy("dst").agg(F.max("color").alias("new"))
-            grown = stored(color.join(near, color.node == near.dst, "left").select("node", F.greatest("color", F.coalesce("new", "color")).alias("color"), (F.coalesce("new", "color") > F.col("color")).alias("moved")), "colors")
+            last, grown = grown, stored(color.join(near, color.node == near.dst, "left").select("node", F.greatest("color", F.coalesce("new", "color")).alias("color"), (F.coalesce("new", "color") > F.col("color")).alias("moved")), "colors")
+            if last is not None:
+                discard(last)
             color = grown.select("node", "color")
             if grown.filter("moved").isEmpty():
                 break
         c = color.withColumnsRenamed({"node": "n", "color": "c"})
         same = stored(left.join(color, left.src == color.node).drop("node").join(c, F.col("dst") == c.n).filter("color = c").select("src", "dst"), "same")
         back = stored(color.filter("node = color"), "back")
+        front, waves = back, []
         while True:  # backward within a color from the node it is named after
-            more = same.join(back, same.dst == back.node).select(F.col("src").alias("node"), "color").distinct().join(back.select("node"), "node", "left_anti")
-            more = stored(more, "more")
-            if more.isEmpty():
+            more = same.join(front, same.dst == front.node).select(F.col("src").alias("node"), "color").distinct().join(back.select("node"), "node", "left_anti")
+            front = stored(more, "more")
+            if front.isEmpty():
                 break
-            back = back.union(more)
-        back = stored(back, "back")
+            waves.append(front)
+            back = back.union(front)
         named = back.join(back.groupBy("color").agg(F.min("node").alias("component")), "color").select("node", "component")
-        done = done.union(stored(named, "done"))
+        named = stored(named, "done")
+        done, before = done.union(named), (nodes, left)
         nodes = stored(nodes.join(named, "node", "left_anti"), "nodes")
-        left = stored(left.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
+        left = within(left, nodes)
+        discard(*before, grown, same, front, *waves)
     return done
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -301,14 +302,15 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 def fingerprints(files: DataFrame, k: int = 25, window: int = 16) -> DataFrame:
     """(path, hash, at) of the winnowed fingerprints of each text's tokens."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, text in zip(f["path"], f["text"], strict=True):
-                h = rolling(token_hashes(text or ""), k)
-                at = winnow(h, window)
-                yield pd.DataFrame({"path": path, "hash": h[at].view(np.int64), "at": at})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rolling(token_hashes(t.as_py() or ""), k) for t in batch.column(1)]
+            at = [winnow(h, window) for h in found]
+            of = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
+            marks = np.concatenate([h[x] for h, x in zip(found, at, strict=True)]) if found else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(marks.view(np.int64)), pa.array(np.concatenate(at) if at else np.empty(0, np.int64))], ["path", "hash", "at"])
 
-    return files.select("path", "text").mapInPandas(run, "path string, hash long, at long")
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, hash long, at long")
 
 
 def duplicated(files: DataFrame, k: int = 25, window: int = 16, distinct: int = 12, every: int = 50) -> DataFrame:
@@ -324,29 +326,45 @@ def duplicated(files: DataFrame, k: int = 25, window: int = 16, distinct: int =
     few = marks.join(first.filter(F.col("n") <= every).select("hash"), "hash").select("hash", F.struct("path", "at").alias("f"))
     met = marks.join(few.union(first.filter(F.col("n") > every).select("hash", "f")), "hash").filter(F.struct("path", "at") > F.col("f"))
     pairs = met.groupBy("path", F.col("f.path").alias("other"), (F.col("at") - F.col("f.at")).alias("shift")).agg(F.min("at").alias("at"), F.collect_set("at").alias("places"))
-    text = files.select("path", "text")
-    both = pairs.join(text, "path").join(text.withColumnsRenamed({"path": "other", "text": "other_text"}), "other")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                a, b = token_hashes(r.text or ""), token_hashes(r.other_text or "")
-                lo, hi = max(0, r.shift), min(len(a), len(b) + r.shift)
-                same = a[lo:hi] == b[lo - r.shift : hi - r.shift]
+    named = pairs.select("path").union(pairs.select("other")).distinct()
+    tokens = stored(hashed(files.join(named, "path", "left_semi")), "tokens")
+    both = pairs.join(tokens.withColumnRenamed("tokens", "a"), "path").join(tokens.withColumnsRenamed({"path": "other", "tokens": "b"}), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str, int, int]] = []
+            paths, others, shifts = (batch.column(c).to_pylist() for c in range(3))
+            for r in range(batch.num_rows):
+                a, b = (batch.column(c)[r].values.to_numpy() for c in (4, 5))
+                shift, lo, hi = shifts[r], max(0, shifts[r]), min(len(a), len(b) + shifts[r])
+                same = a[lo:hi] == b[lo - shift : hi - shift]
                 stops = np.flatnonzero(~same) + lo
                 done = -1
-                for at in sorted(r.places):
+                for at in sorted(batch.column(3)[r].as_py()):
                     if at < done or not lo <= at < hi or not same[at - lo]:
                         continue
                     j = np.searchsorted(stops, at)
                     start, end = (int(stops[j - 1]) + 1 if j else lo), (int(stops[j]) if j < len(stops) else hi)
                     done = end
-                    if end - start >= k and len(np.unique(a[start:end])) >= distinct and (r.path != r.other or r.shift >= end - start):
-                        rows += [(r.path, start, end - 1), (r.other, start - r.shift, end - 1 - r.shift)]
-            yield pd.DataFrame(rows, columns=["path", "start", "end"])
+                    if end - start >= k and len(np.unique(a[start:end])) >= distinct and (paths[r] != others[r] or shift >= end - start):
+                        rows += [(paths[r], start, end - 1), (others[r], start - shift, end - 1 - shift)]
+            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "start", "end"])
+
+    return both.select("path", "other", "shift", "places", "a", "b").mapInArrow(run, "path string, start long, end long").distinct()
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, tokens) of files(path, text): a 32-bit hash of each token, taken once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [token_hashes(t.as_py() or "").astype(np.uint32).view(np.int32) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
+            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))], ["path", "tokens"])
 
-    return both.select("path", "other", "shift", "places", "text", "other_text").mapInPandas(run, "path string, start long, end long").distinct()
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, tokens array<int>")
 
 
 #: Items with no more shingles than this are sent to all tasks; more are met by a shuffle.
