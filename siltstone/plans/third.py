@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import facts
 from siltstone.functions import scalars as X
-from siltstone.operators import diffs, fingerprint, graph, history, modules, quality, ranking, rules, structure
+from siltstone.operators import diffs, fingerprint, graph, history, modules, project, quality, ranking, rules, structure
 from siltstone.plans.catalogue import R4, orders, query
 from siltstone.session import table
 
@@ -462,3 +462,56 @@ def package_roots(spark: SparkSession, sf: str) -> DataFrame:
 def first_party(spark: SparkSession, sf: str) -> DataFrame:
     c = F.get(F.array(*map(F.lit, ("test", "source", "vendor"))), (F.col("p_partkey") % 3).cast("int"))
     return table(spark, sf, "part").select(c.alias("category")).groupBy("category", facts.is_first_party_code(F.col("category")).alias("first_party")).agg(F.count("*").alias("n"))
+
+
+# --- project ---------------------------------------------------------------
+
+#: Files of a project by the remainder of a part's key, with language, category and whether tests stand inside.
+PROJECT_FILES = (
+    ("src/a{}.rs", "rust", "source", True), ("src/b{}.py", "python", "source", False), ("tests/t{}.py", "python", "test", False), ("e2e/l{}.ts", "typescript", "test", False), (".github/workflows/w{}.yml", "yaml", "ci-cd", False), ("p{}/Cargo.toml", "toml", "manifest", False),
+    ("p{}/requirements-dev.txt", None, "manifest", False), ("docs/d{}.md", "markdown", "documentation", False), ("r{}/coverage.xml", "xml", "data", False), ("web{}/vite.config.ts", "typescript", "build", False), ("CHANGES", None, "documentation", False), (".gitlab-ci.yml", "yaml", "ci-cd", False),
+)
+
+
+def project_files(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("p_partkey") % len(PROJECT_FILES)).cast("int")
+    pick = lambda n: F.get(F.array(*(F.lit(x[n]) for x in PROJECT_FILES)), k)
+    return table(spark, sf, "part").select(F.replace(pick(0), F.lit("{}"), F.col("p_partkey").cast("string")).alias("path"), pick(1).alias("language"), pick(2).alias("category"), F.col("p_size").alias("code"), pick(3).alias("inline_tests"))
+
+
+def own_readme(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("README.md", 50, True, False, ["Install", "How to contribute"])], "path string, words int, installation boolean, usage boolean, headings array<string>")
+
+
+@query("SELECT 'GitHub Actions' AS provider, count(*) AS files FROM part WHERE p_partkey % 12 = 4 UNION ALL SELECT 'GitLab CI', count(*) FROM part WHERE p_partkey % 12 = 11")
+def ci_providers(spark: SparkSession, sf: str) -> DataFrame:
+    return project.ci_configs(project_files(spark, sf)).groupBy("provider").agg(F.count("*").alias("files"))
+
+
+@query("SELECT 'Cargo' AS tool, 'cargo' AS ecosystem, min('p' || p_partkey || '/Cargo.toml') AS path FROM part WHERE p_partkey % 12 = 5 UNION ALL SELECT 'pip', 'pypi', min('p' || p_partkey || '/requirements-dev.txt') FROM part WHERE p_partkey % 12 = 6 UNION ALL SELECT 'Vite', 'npm', min('web' || p_partkey || '/vite.config.ts') FROM part WHERE p_partkey % 12 = 9")
+def build_tools(spark: SparkSession, sf: str) -> DataFrame:
+    return project.build_systems(project_files(spark, sf))
+
+
+@query(f"""WITH p AS (SELECT p_partkey % 12 AS k, p_size FROM part), c AS (SELECT count(*) FILTER (k IN (2, 3)) AS test_files, count(*) FILTER (k = 0) AS inline_test_files, CAST(coalesce(sum(p_size) FILTER (k IN (2, 3)), 0) AS BIGINT) AS test_lines, count(*) FILTER (k IN (0, 1)) AS source_files,
+ CAST(coalesce(sum(p_size) FILTER (k IN (0, 1)), 0) AS BIGINT) AS source_lines, count(*) FILTER (k = 8) AS coverage_files FROM p) SELECT *, {R4("coalesce(test_lines / nullif(test_lines + source_lines, 0), 0)")} AS test_ratio FROM c""")
+def test_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return project.test_report(project_files(spark, sf))
+
+
+@query("SELECT CASE WHEN k = 3 THEN 'end-to-end' ELSE 'unit' END AS kind, count(*) AS files FROM (SELECT p_partkey % 12 AS k FROM part) WHERE k IN (0, 2, 3) GROUP BY 1")
+def kinds_of_tests(spark: SparkSession, sf: str) -> DataFrame:
+    return project.test_kinds(project_files(spark, sf))
+
+
+@query("""SELECT * FROM (VALUES ('readme', 'present'), ('installation', 'present'), ('usage', 'missing'), ('license', 'missing'), ('contributing', 'partial'), ('code-of-conduct', 'missing'), ('security-policy', 'missing'), ('changelog', 'present'), ('support', 'missing'), ('codeowners', 'missing'),
+ ('citation', 'missing'), ('docs-directory', 'present'), ('examples', 'missing'), ('issue-templates', 'missing'), ('pull-request-template', 'missing')) c(id, status)""")
+def document_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return project.doc_checks(project_files(spark, sf), own_readme(spark))
+
+
+@query("""SELECT * FROM (VALUES ('tests.not-in-ci', 'info'), ('tests.coverage-committed', 'info'), ('docs.setup-instructions', 'info'), ('docs.license-file-missing', 'info'), ('docs.optional-missing', 'info')) f(rule, severity)""")
+def project_findings_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """From files to findings, all the way."""
+    one = project.facts(project_files(spark, sf), own_readme(spark), license_declared=True)
+    return rules.apply({"project": one}, rules.PROJECT).select("rule", "severity")
