@@ -48,6 +48,11 @@ def looks_generated(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Pages as files of four kinds, so that each kind of scope meets texts.
 _PLACES = ((".github/workflows/{}.yml", "yaml"), ("deploy/k8s/{}.yaml", "yaml"), ("src/{}.py", "python"), ("web/{}.html", "html"))
+#: Lines that follow the pages, so that each rule meets what it looks for, and what it must leave alone.
+_LINES = (
+    "requests.get(u, verify=False)", "curl -k https://x", "curl https://x | sudo bash", "chmod -R 777 /srv", "yaml.load(f)", "yaml.load(f, Loader=yaml.SafeLoader)", "pickle.loads(b)", "subprocess.run(c, shell=True)", "x = eval(y)", "el.innerHTML = z",
+    "DEBUG = True", "Access-Control-Allow-Origin: '*'", "on: pull_request_target", "ref: github.event.pull_request.head.sha # pull_request_target", "permissions: write-all", "privileged: true", "-v /var/run/docker.sock:/s", r"re.compile(r'\beval\s*\(')",
+)
 
 
 def _scan_sql() -> str:
@@ -56,6 +61,7 @@ def _scan_sql() -> str:
     any_of = lambda found: "(" + " OR ".join(found) + ")" if found else "false"
     place = " ".join(f"WHEN {k} THEN {text(p)}" for k, (p, _) in enumerate(_PLACES))
     lang = " ".join(f"WHEN {k} THEN {text(x)}" for k, (_, x) in enumerate(_PLACES))
+    said = " ".join(f"WHEN {k} THEN {text(x)}" for k, x in enumerate(_LINES))
     hits = []
     for r in textmine.RULES:
         where = [f"language IN ({', '.join(map(text, r.languages))})"] if r.languages else []
@@ -64,7 +70,7 @@ def _scan_sql() -> str:
         tests += [f"NOT regexp_matches(line, {text(r.unless)})"] * bool(r.unless) + [f"contains(html, {text(r.requires)})"] * bool(r.requires)
         hits.append(f"SELECT path, n, {text(r.id)} AS rule, {text(r.confidence)} AS confidence FROM l WHERE {' AND '.join(tests)}")
     syntax = " + ".join(f"CAST(contains(line, {text(x)}) AS INTEGER)" for x in textmine.SYNTAX)
-    return f"""WITH f AS (SELECT replace(CASE page_id % 4 {place} END, '{{}}', CAST(page_id AS VARCHAR)) AS path, CASE page_id % 4 {lang} END AS language, html, string_split(html, chr(10)) AS x FROM pages),
+    return f"""WITH t AS (SELECT page_id, html || chr(10) || CASE (page_id // 4) % {len(_LINES)} {said} END AS html FROM pages), f AS (SELECT replace(CASE page_id % 4 {place} END, '{{}}', CAST(page_id AS VARCHAR)) AS path, CASE page_id % 4 {lang} END AS language, html, string_split(html, chr(10)) AS x FROM t),
 e AS (SELECT path, language, html, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM f), l AS (SELECT *, lower(line) AS low FROM e WHERE strlen(line) <= {textmine.LONGEST} AND {syntax} < 2),
 h AS ({" UNION ALL ".join(hits)}) SELECT path, CAST(n AS INTEGER) AS line, rule, confidence FROM h"""
 
@@ -73,7 +79,8 @@ h AS ({" UNION ALL ".join(hits)}) SELECT path, CAST(n AS INTEGER) AS line, rule,
 def pattern_scan(spark: SparkSession, sf: str) -> DataFrame:
     k = (F.col("page_id") % 4).cast("int") + 1
     pick = lambda n: F.element_at(F.array(*(F.lit(x[n]) for x in _PLACES)), k)
-    pages = table(spark, sf, "pages").select(F.replace(pick(0), F.lit("{}"), F.col("page_id").cast("string")).alias("path"), pick(1).alias("language"), F.col("html").alias("text"))
+    said = F.get(F.array(*map(F.lit, _LINES)), (F.floor(F.col("page_id") / 4) % len(_LINES)).cast("int"))
+    pages = table(spark, sf, "pages").select(F.replace(pick(0), F.lit("{}"), F.col("page_id").cast("string")).alias("path"), pick(1).alias("language"), F.concat("html", F.lit("\n"), said).alias("text"))
     return textmine.scan(pages).drop("excerpt")
 
 
@@ -368,9 +375,9 @@ def tree_edges(spark: SparkSession, sf: str) -> DataFrame:
 _TREE = "t AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 23 = 0 AND p_partkey > 0 THEN p_partkey + 5 ELSE p_partkey // 2 END AS dst FROM part)"
 
 
-@query(f"WITH {_TREE} SELECT n_nationkey + 380 AS node FROM nation WHERE n_nationkey + 380 NOT IN (SELECT src FROM t UNION SELECT dst FROM t)")
+@query(f"WITH {_TREE} SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN (SELECT src FROM t UNION SELECT dst FROM t)")
 def isolated_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.isolated(tree_edges(spark, sf), table(spark, sf, "nation").select((F.col("n_nationkey") + 380).alias("node")))
+    return graph.isolated(tree_edges(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {_TREE}, r(a, b) AS (SELECT src, dst FROM t UNION SELECT a, dst FROM r JOIN t ON b = src), n AS (SELECT src AS node FROM t UNION SELECT dst FROM t)
@@ -386,12 +393,20 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
     return graph.layers(e, graph.strong_components(e))
 
 
-@query()
+_NAMED = f"""{_EDGES}, g AS (SELECT DISTINCT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM p), n AS (SELECT src AS node FROM g UNION SELECT dst FROM g)"""
+
+
+@query(f"""WITH RECURSIVE {_NAMED}, m AS (SELECT count(*) AS n FROM n), r(s, v, k) AS (SELECT node, node, 0 FROM n UNION SELECT s, dst, k + 1 FROM r JOIN g ON v = src WHERE src <> dst AND k < (SELECT n FROM m)), d AS (SELECT s, v, min(k) AS k FROM r GROUP BY 1, 2),
+w(s, v) AS (SELECT node, node FROM n UNION ALL SELECT w.s, g.dst FROM w JOIN g ON w.v = g.src JOIN d a ON a.s = w.s AND a.v = w.v JOIN d b ON b.s = w.s AND b.v = g.dst WHERE b.k = a.k + 1), c AS (SELECT w.s, w.v, k, count(*) AS ways FROM w JOIN d ON w.s = d.s AND w.v = d.v GROUP BY 1, 2, 3),
+b AS (SELECT x.v AS node, sum(x.ways * y.ways / CAST(z.ways AS DOUBLE)) AS b FROM c x JOIN c y ON x.v = y.s JOIN c z ON z.s = x.s AND z.v = y.v WHERE x.s <> x.v AND y.s <> y.v AND z.s <> z.v AND x.k + y.k = z.k GROUP BY 1)
+SELECT n.node, {R4("(coalesce(b, 0.0) / ((m.n - 1) * (m.n - 2)))")} AS betweenness FROM n CROSS JOIN m LEFT JOIN b ON n.node = b.node""")
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness(module_edges(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NAMED}, r(v, k) AS (SELECT dst, 1 FROM g WHERE src = '3' UNION SELECT dst, k + 1 FROM r JOIN g ON v = src WHERE v <> '3' AND k < (SELECT count(*) FROM n)), l AS (SELECT min(k) AS l FROM r WHERE v = '3'),
+q(node, path, k) AS (SELECT dst, [src, dst], 1 FROM g WHERE src = '3' UNION ALL SELECT g.dst, list_append(path, g.dst), k + 1 FROM q JOIN g ON node = src CROSS JOIN l WHERE k < l AND node <> '3')
+SELECT array_to_string(min(path), '>') AS path FROM q WHERE node = '3' HAVING count(*) > 0""")
 def shortest_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return graph.shortest_cycle(module_edges(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "3").select(F.array_join("path", ">").alias("path"))
 
