@@ -110,12 +110,28 @@ def weekday_hour(commits: DataFrame, offset_minutes: Column | None = None) -> Da
     return every.join(F.broadcast(found), ["weekday", "hour"], "left").select("weekday", "hour", F.coalesce("commits", F.lit(0)).alias("commits"))
 
 
+def after_last(commits: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """commits with `last`, the (ts, commit) before each within its group, null for the first.
+
+    Groups are windows. All commits as one group are put in order by month, where the first of a month
+    follows the last of the months before, so that no task orders all.
+    """
+    here = F.struct("ts", "commit")
+    if by:
+        return commits.withColumn("last", F.lag(here).over(Window.partitionBy(*by).orderBy("ts", "commit")))
+    dated = commits.withColumn("__month", F.date_trunc("month", "ts"))
+    months = dated.groupBy(F.col("__month").alias("__of")).agg(F.max(here).alias("__end"))
+    months = months.select("__of", F.max("__end").over(Window.orderBy(F.asc_nulls_first("__of")).rowsBetween(Window.unboundedPreceding, -1)).alias("__end"))
+    within = F.lag(here).over(Window.partitionBy("__month").orderBy("ts", "commit"))
+    joined = dated.withColumn("__here", within).join(months, F.col("__month").eqNullSafe(F.col("__of")))
+    return joined.withColumn("last", F.coalesce("__here", "__end")).drop("__month", "__of", "__here", "__end")
+
+
 def dormant_periods(commits: DataFrame, days: int = 60, most: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Pauses of so many days of 86,400 seconds or more between neighbours by (ts, commit); the longest are kept."""
-    order = Window.partitionBy(*by).orderBy("ts", "commit")
     gap = F.unix_timestamp("end") - F.unix_timestamp("start")
     return (
-        commits.select(*by, F.col("ts").alias("start"), F.lead("ts").over(order).alias("end"), F.col("commit").alias("before"), F.lead("commit").over(order).alias("after"))
+        after_last(commits, by).select(*by, F.col("last.ts").alias("start"), F.col("ts").alias("end"), F.col("last.commit").alias("before"), F.col("commit").alias("after"))
         .filter(gap >= days * DAY)
         .withColumn("days", F.floor(gap / DAY))
         .orderBy(F.desc("days"), "start", *by)
@@ -127,11 +143,17 @@ def epochs(commits: DataFrame, gap_days: int = 90, by: tuple[str, ...] = ()) ->
     """Periods between pauses of gap_days whole days, with commits, authors, span, rate and kind.
 
     Kinds: the last is current, the first initial, others active with a rate of 80 % or more of the
-    upper median, else maintenance.
+    upper median, else maintenance. A commit belongs to the period of the last pause that ends with it or
+    before it; without groups, pauses are few and are met as an array, not by a window over all commits.
     """
-    order = Window.partitionBy(*by).orderBy("ts", "commit")
-    pause = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))) / DAY) >= gap_days
-    marked = commits.withColumn("new", F.coalesce(pause.cast("int"), F.lit(0))).withColumn("epoch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pause = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("last.ts")) / DAY) >= gap_days
+    marked = after_last(commits, by).withColumn("new", F.coalesce(pause, F.lit(False)))
+    if by:
+        run = Window.partitionBy(*by).orderBy("ts", "commit").rowsBetween(Window.unboundedPreceding, 0)
+        marked = marked.withColumn("epoch", F.sum(F.col("new").cast("int")).over(run))
+    else:  # two pauses are gap_days apart, so that a span of years has a few dozen
+        starts = marked.agg(F.array_sort(F.collect_set(F.when(F.col("new"), F.col("ts")))).alias("starts"))
+        marked = marked.crossJoin(F.broadcast(starts)).withColumn("epoch", F.size(F.filter("starts", lambda t: t <= F.col("ts"))).cast("long"))
     found = marked.groupBy(*by, "epoch").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("commits"), F.count_distinct("author").alias("authors"))
     span = F.greatest(F.floor((F.unix_timestamp("end") - F.unix_timestamp("start")) / DAY), F.lit(1))
     all_, ranked = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("rate", "epoch")

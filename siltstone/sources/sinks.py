@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import csv_field
@@ -96,30 +97,43 @@ VERSION = 2
 
 
 class Store:
-    """An index of scans as Parquet tables, each write a new version of a table next to the last."""
+    """An index of scans as Parquet tables: each write adds a folder of its own, and the newest row of a key counts.
+
+    A folder's name has the time and a number that no other writer has, so that writers do not meet, and
+    a reader takes whole folders alone. rebuild() puts a whole table down, and what is older is not read.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[str]:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _folders(self, name: str) -> list[str]:
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = Path(f"{self.root}/{name}")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(str(s.getPath().getName()) for s in fs.listStatus(at) if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(at) else []
+        found = sorted(str(s.getPath().getName()) for s in fs.listStatus(at) if fs.exists(Path(s.getPath(), "_SUCCESS"))) if fs.exists(at) else []
+        whole = [k for k, f in enumerate(found) if f.endswith("-all")]
+        return [f"{self.root}/{name}/{f}" for f in (found[whole[-1] :] if whole else found)]
+
+    def _write(self, name: str, rows: DataFrame, kind: str) -> None:
+        now = time.time_ns()
+        rows.select(*(f.split()[0] for f in INDEX[name][0].split(", ")), F.lit(now).alias("written")).write.parquet(f"{self.root}/{name}/{now:020d}-{uuid.uuid4().hex}-{kind}")
 
     def read(self, name: str) -> DataFrame:
-        schema, _ = INDEX[name]
-        found = self._versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{found[-1]}") if found else self.spark.createDataFrame([], schema)
+        schema, keys = INDEX[name]
+        found = self._folders(name)
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema + ", written long").parquet(*found)
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("written")))
+        return rows.withColumn("n", newest).filter("n = 1").drop("n", "written")
 
     def record(self, name: str, rows: DataFrame) -> None:
-        """Rows replace those with their keys; a reader sees the old table or the new one."""
-        schema, keys = INDEX[name]
-        at = len(self._versions(name))
-        upserted(self.read(name), rows.select(*self.read(name).columns), keys).write.parquet(f"{self.root}/{name}/v{at:08d}")
+        """Rows replace those with their keys; a reader sees them all or none."""
+        self._write(name, rows, "new")
 
     def rebuild(self, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():
-            rows.write.parquet(f"{self.root}/{name}/v{len(self._versions(name)):08d}")
+            self._write(name, rows, "all")
 
 
 def migrated(df: DataFrame, schema: str) -> DataFrame:

@@ -286,3 +286,38 @@ def test_documents_and_cache(spark, tmp_path):
 def test_suppressed_findings_are_not_in_the_document(spark):
     f = spark.createDataFrame([("1", "r1", "high", "c", "T", "p")], "id string, rule string, severity string, category string, title string, path string")
     assert json.loads(sinks.sarif(findings.suppressed(f, [{"rule": "r*"}]), "t", "1").first().json)["runs"][0]["properties"]["omitted"] == 0
+
+
+def test_epochs_and_pauses_of_all_commits_as_one_group(spark, sf):
+    rows = duckdb.sql(f"select o_orderkey, o_custkey, o_orderdate from '{sf}/orders.parquet' where o_custkey % 40 = 1 order by 3, 1").fetchall()
+    df = spark.createDataFrame([(k, a, t, 1) for k, a, t in rows], "commit long, author long, ts timestamp, one int")
+    drop = lambda r: {k: v for k, v in r.asDict().items() if k != "one"}
+    for of in (lambda by: history.epochs(df, 20, by=by), lambda by: history.dormant_periods(df, 10, by=by)):
+        want, got = ([drop(r) for r in of(by).collect()] for by in (("one",), ()))
+        order = lambda r: str(sorted(r.items()))
+        assert len(want) > 1 and sorted(want, key=order) == sorted(got, key=order)
+
+
+def test_functions_in_one_pass():
+    from siltstone.sources import code
+
+    text = "fn a() {\n  if x { y(); }\n  fn b() {\n    while z {}\n  }\n}\ntrait T {\n  fn c();\n  fn d() { if q {} }\n}\nfn e()\n{\n  if r {}\n"
+    lines = code.scan(text, code.SYNTAX["rust"])
+    got = [(f["name"], f["line"], f["end_line"], f["complexity"]) for f in code.functions(lines, code.SYNTAX["rust"])]
+    assert got == [("a", 1, 6, 2), ("b", 3, 5, 2), ("c", 8, 8, 1), ("d", 9, 9, 2), ("e", 11, 14, 2)]
+    text = "def f(\n    x,\n):\n    if x:\n        for y in x:\n            pass\n    def g():\n        return 1\n\n    return g\nz = 1\n"
+    got = [(f["name"], f["line"], f["end_line"], f["complexity"], f["nesting"]) for f in code.functions(code.scan(text, code.SYNTAX["python"]), code.SYNTAX["python"])]
+    assert got == [("f", 1, 10, 3, 2), ("g", 7, 8, 1, 0)]
+
+
+def test_a_store_keeps_the_newest_row_of_each_key(spark, tmp_path):
+    s = sinks.Store(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(list(r), "scan string, metric string, value double")
+    s.record("metrics", rows(("s1", "m", 1.0), ("s1", "n", 2.0)))
+    before = s.read("metrics")
+    s.record("metrics", rows(("s1", "m", 5.0)))
+    read = lambda df: {(r.metric, r.value) for r in df.collect()}
+    assert read(s.read("metrics")) == {("m", 5.0), ("n", 2.0)} and read(before) == {("m", 1.0), ("n", 2.0)}
+    s.rebuild({"metrics": s.read("metrics").filter("metric = 'n'")})
+    s.record("metrics", rows(("s2", "m", 7.0)))
+    assert read(s.read("metrics")) == {("n", 2.0), ("m", 7.0)} and s.read("scans").count() == 0
