@@ -321,3 +321,33 @@ def test_a_store_keeps_the_newest_row_of_each_key(spark, tmp_path):
     s.rebuild({"metrics": s.read("metrics").filter("metric = 'n'")})
     s.record("metrics", rows(("s2", "m", 7.0)))
     assert read(s.read("metrics")) == {("n", 2.0), ("m", 7.0)} and s.read("scans").count() == 0
+
+
+def test_dumps_of_many_commits_keep_their_order(spark, tmp_path):
+    from siltstone.sources import gitlog
+
+    one = lambda k: f"\x1eh{k}\x1fh{k - 1}\x1fAda\x1fa@x\x1f{1_500_000_000 + k}\x1f+0000\x1fNo {k}\x1e" + (f"\n\0:100644 100644 a b M\0p{k}\0{k}\t1\t\0p{k}\0".replace("\t\0p", "\tp") if k % 3 else "")
+    for f in range(3):
+        (tmp_path / f"d{f}").write_text("".join(one(k) for k in range(f * 400, f * 400 + 400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        commits, changes = gitlog.history(spark, str(tmp_path), 1000)
+        assert [(r.seq, r.hash, r.truncated) for r in commits.orderBy("seq").collect()] == [(k, f"h{k}", True) for k in range(1000)]
+        assert [(r.path, r.added) for r in changes.orderBy("seq").collect()] == [(f"p{k}", k) for k in range(1000) if k % 3]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_refs_state_and_go_imports(spark):
+    from siltstone.sources import gitlog
+
+    rows = ["refs/heads/main\x1fcommit\x1fa1\x1f\x1f100\x1f", "refs/remotes/origin/HEAD\x1fcommit\x1fa1\x1f\x1f100\x1frefs/remotes/origin/main", "refs/remotes/origin/dev/x\x1fcommit\x1fb1\x1f\x1f200\x1f", "refs/tags/v1\x1ftag\x1ft1\x1fc1\x1f300\x1f", "refs/tags/v0\x1fcommit\x1fc0\x1f\x1f50\x1f", "junk"]
+    refs = gitlog.refs(spark.createDataFrame([(r,) for r in rows], "line string"))
+    got = sorted((r.kind, r.name, r.remote or "", r.commit, r.annotated) for r in refs.collect())
+    assert got == [("branch", "main", "", "a1", False), ("remote-branch", "dev/x", "origin", "b1", False), ("tag", "v0", "", "c0", False), ("tag", "v1", "", "c1", True)]
+    s = gitlog.state(refs, "a1", "topic", None, False, True).first()
+    assert (s.default_branch, s.branches, s.current, s.dirty) == ("main", 2, "topic", True)
+    assert gitlog.state(refs.filter("kind = 'tag'"), None, "topic", None, True, False).first().default_branch == "topic"
+    imports = spark.createDataFrame([(1, "ex.org/m/net"), (2, "ex.org/m"), (3, "fmt"), (4, "github.com/a/b/c"), (5, "ex.org/m/none"), (6, "gopkg.in/x.v1/y")], "id int, specifier string")
+    found = gitlog.go_targets(imports, spark.createDataFrame([("ex.org/m", "")], "module string, root string"), spark.createDataFrame([("net/a.go",), ("net/a_test.go",), ("net/sub/b.go",), ("main.go",)], "path string"))
+    assert sorted((r.id, r.kind, r.target or "") for r in found.collect()) == [(1, "internal", "net/a.go"), (2, "internal", "main.go"), (3, "ignored", ""), (4, "external", "github.com/a/b"), (5, "unresolved", ""), (6, "external", "gopkg.in/x.v1")]
