@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as X
-from siltstone.llm import shared
 from siltstone.operators import diffs, findings, graph, history, quality, ranking, structure, textmine
 from siltstone.sources import code, files, gitlog, manifests, sinks
 
@@ -166,7 +165,7 @@ def test_long_chains_are_whole_or_raise(spark):
     with pytest.raises(RuntimeError):
         graph.layers(e, comp, rounds=5)
     with pytest.raises(RuntimeError):
-        shared.components(e.toDF("a", "b"), rounds=1)
+        graph.linked(e.toDF("a", "b"), rounds=1)
 
 
 def test_suppressed_findings_stay(spark):
