@@ -187,3 +187,8 @@ def folder_of_package(path: Column, roots: tuple[str, ...]) -> Column:
     return out
 
 
+
+
+def cache_key(content: Column, language: Column, version: str) -> Column:
+    """What an analysis of a text is kept under: its SHA-256, the fingerprint of its language's definition and the version of the analysis."""
+    return stable_hash(F.lit("file-analysis"), F.lit(version), language, F.unhex(content))

@@ -409,3 +409,8 @@ def first_appearances(changes: DataFrame, tests: dict[str, Column], renames: int
     once = starts.select(F.explode(F.array_compact(F.array(row("repository-created", "created"), *(row(kind, kind) for kind in tests)))).alias("e")).select("e.*").filter("ts is not null")
     moved = per.filter((F.col("renamed") >= renames) & (F.col("seq") > F.col("start"))).select("ts", F.lit("restructuring").alias("kind"), F.col("commit").cast("string").alias("subject"))
     return once.unionByName(moved)
+
+
+def commit_sizes(changes: DataFrame) -> DataFrame:
+    """(commit, files, insertions, deletions) of changes(commit, path, added, deleted)."""
+    return changes.groupBy("commit").agg(F.count("*").alias("files"), F.sum("added").alias("insertions"), F.sum("deleted").alias("deletions"))

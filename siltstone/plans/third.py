@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import facts
+from siltstone.functions import facts, profiles
 from siltstone.functions import scalars as X
 from siltstone.operators import diffs, fingerprint, graph, history, modules, project, quality, ranking, rules, structure
 from siltstone.plans.catalogue import R4, orders, query
@@ -515,3 +515,14 @@ def project_findings_of_files(spark: SparkSession, sf: str) -> DataFrame:
     """From files to findings, all the way."""
     one = project.facts(project_files(spark, sf), own_readme(spark), license_declared=True)
     return rules.apply({"project": one}, rules.PROJECT).select("rule", "severity")
+
+
+@query("SELECT l_orderkey AS commit, count(*) AS files, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS insertions, CAST(sum(l_linenumber) AS BIGINT) AS deletions FROM lineitem GROUP BY 1")
+def commit_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return history.commit_sizes(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'tests' WHEN doc_id % 3 = 1 THEN 'build' ELSE 'security' END AS category FROM documents WHERE doc_id % 3 <> 1")
+def kept_categories(spark: SparkSession, sf: str) -> DataFrame:
+    category = F.get(F.array(*map(F.lit, ("tests", "build", "security"))), (F.col("doc_id") % 3).cast("int"))
+    return profiles.project_kept(table(spark, sf, "documents").select("doc_id", category.alias("category")), build=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable
@@ -136,6 +137,35 @@ class Store:
             self._write(name, rows, "all")
 
 
+def artifact_schema(df: DataFrame) -> str:
+    """The JSON Schema of a table's rows."""
+
+    def of(kind: dict | str) -> dict:
+        if isinstance(kind, str):
+            plain = {"string": "string", "boolean": "boolean", "double": "number", "float": "number", "long": "integer", "integer": "integer", "short": "integer", "byte": "integer"}
+            return {"type": plain[kind]} if kind in plain else {"type": "string", "format": "date-time" if kind.startswith("timestamp") else "date"} if kind in ("date", "timestamp", "timestamp_ntz") else {"type": "number"}
+        if kind["type"] == "array":
+            return {"type": "array", "items": of(kind["elementType"])}
+        if kind["type"] == "map":
+            return {"type": "object", "additionalProperties": of(kind["valueType"])}
+        return {"type": "object", "properties": {f["name"]: of(f["type"]) for f in kind["fields"]}, "required": [f["name"] for f in kind["fields"] if not f["nullable"]]}
+
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", **of(json.loads(df.schema.json()))}, sort_keys=True)
+
+
+def import_scan(store: Store, scan: DataFrame, tables: dict[str, DataFrame]) -> bool:
+    """Records a scan that was made elsewhere, with its tables; False, and nothing written, if its id is known already.
+
+    The scan's own row is written last, so that a scan that the index names is whole.
+    """
+    if not store.read("scans").join(scan.select("scan"), "scan", "left_semi").isEmpty():
+        return False
+    for name, rows in tables.items():
+        store.record(name, rows)
+    store.record("scans", scan)
+    return True
+
+
 def migrated(df: DataFrame, schema: str) -> DataFrame:
     """A table in a newer schema: new columns are null, order and types follow it."""
     from pyspark.sql.types import _parse_datatype_string

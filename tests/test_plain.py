@@ -351,3 +351,31 @@ def test_refs_state_and_go_imports(spark):
     imports = spark.createDataFrame([(1, "ex.org/m/net"), (2, "ex.org/m"), (3, "fmt"), (4, "github.com/a/b/c"), (5, "ex.org/m/none"), (6, "gopkg.in/x.v1/y")], "id int, specifier string")
     found = gitlog.go_targets(imports, spark.createDataFrame([("ex.org/m", "")], "module string, root string"), spark.createDataFrame([("net/a.go",), ("net/a_test.go",), ("net/sub/b.go",), ("main.go",)], "path string"))
     assert sorted((r.id, r.kind, r.target or "") for r in found.collect()) == [(1, "internal", "net/a.go"), (2, "internal", "main.go"), (3, "ignored", ""), (4, "external", "github.com/a/b"), (5, "unresolved", ""), (6, "external", "gopkg.in/x.v1")]
+
+
+def test_imports_that_are_spelled_out(spark):
+    from siltstone.sources import code
+
+    rust = "use a::{b, c::{self, d as e}, f::*};\nuse std::io;\npub(crate) use x::{\n    y,\n    z::w,\n};\nmod own;\nmod inner { use super::q; }\nextern crate libc;\n// use no::thing;\n"
+    go = "package main\nimport \"fmt\"\nimport (\n  // \"no\"\n  x \"a/b\"\n  `c`\n)\nvar s = \"not this\"\n"
+    py = "import os, sys as s\nfrom a.b import c\nx = 'import no'\n"
+    rows = [("r", "rust", rust), ("g", "go", go), ("p", "python", py), ("j", "java", "package x.y;\nimport a.B;\n")]
+    got = {r.path: ([(i.line, i.module) for i in r.imports], r.package) for r in code.analyze(spark.createDataFrame(rows, "path string, language string, text string")).collect()}
+    assert got["r"] == ([(1, "a::b"), (1, "a::c"), (1, "a::c::d"), (1, "a::f::*"), (2, "std::io"), (3, "x::y"), (3, "x::z::w"), (7, "own"), (9, "libc")], None)
+    assert got["g"] == ([(2, "fmt"), (5, "a/b"), (6, "c")], "main") and got["p"] == ([(1, "os"), (1, "sys"), (2, "a.b")], None) and got["j"] == ([(2, "a.B")], "x.y")
+
+
+def test_schema_profiles_keys_and_imported_scans(spark, tmp_path):
+    from siltstone.functions import profiles
+
+    df = spark.createDataFrame([(1, "a", [1.0], None)], "n long, s string, v array<double>, t timestamp")
+    assert json.loads(sinks.artifact_schema(df))["properties"] == {"n": {"type": "integer"}, "s": {"type": "string"}, "v": {"type": "array", "items": {"type": "number"}}, "t": {"type": "string", "format": "date-time"}}
+    assert set(profiles.stages("quick")) < set(profiles.stages("deep", ("git",))) and "git" not in profiles.stages("deep", ("git",))
+    sha = hashlib.sha256(b"x").hexdigest()
+    key = spark.createDataFrame([(sha,)], "h string").select(facts.cache_key(F.col("h"), F.lit("py"), "1").alias("k")).first().k
+    assert key == hashlib.sha256(b"".join(len(x).to_bytes(8, "little") + x for x in (b"file-analysis", b"1", b"py", bytes.fromhex(sha)))).hexdigest()
+    store = sinks.Store(spark, str(tmp_path))
+    scan = spark.createDataFrame([("s1", "r", None, "deep", "a.json")], "scan string, repository string, ts timestamp, profile string, artifact string")
+    metrics = spark.createDataFrame([("s1", "m", 1.0)], "scan string, metric string, value double")
+    assert sinks.import_scan(store, scan, {"metrics": metrics}) and not sinks.import_scan(store, scan, {"metrics": metrics})
+    assert store.read("metrics").count() == store.read("scans").count() == 1
