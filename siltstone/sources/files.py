@@ -7,9 +7,9 @@ import json
 import tarfile
 import tomllib
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +20,11 @@ from siltstone.functions.scalars import glob_regex
 VCS_FOLDERS = (".git", ".hg", ".svn", ".jj", ".bzr", "_darcs", ".fossil")
 
 
-def discover(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), most: int = 1_000_000) -> DataFrame:
-    """(path, bytes, modified, content) of the files below a folder, without version control and ignored ones, first by path.
+def discover(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(path, bytes, modified, content) of the files below a folder, without version control and ignored ones.
 
-    Ignore patterns work in order: a later one with `!` takes a file back.
+    Ignore patterns work in order: a later one with `!` takes a file back. With a limit, the first files
+    by path; else all, in no order.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
@@ -33,7 +34,7 @@ def discover(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), most:
         hit = F.col("path").rlike(glob_regex(p.removeprefix("!")))
         out = F.when(hit, F.lit(not p.startswith("!"))).otherwise(out)
     files = files.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, VCS_FOLDERS))) & ~out)
-    return files.orderBy("path").limit(most)
+    return files if most is None else files.orderBy("path").limit(most)
 
 
 def _quoted(text: str) -> str:
@@ -55,36 +56,48 @@ def content(data: Column, most: int) -> Column:
 def archives(files: DataFrame, most_files: int = 100_000, most_bytes: int = 1 << 30) -> DataFrame:
     """(archive, path, bytes, content) of each file in zip, tar and tar.gz archives(path, content); paths that lead outside are left out.
 
-    A single top folder is taken off. Archives are read one by one, each within its limits.
+    A single top folder is taken off. An archive is looked through for names and sizes first, then read
+    member by member, so that a task holds one archive and a few members at a time; members beyond the
+    limits of an archive are left out.
     """
 
-    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    def opened(data: bytes) -> tuple[list[tuple[str, int]], Callable[[int], bytes]]:
+        """Names and sizes of an archive's files, and what reads one by its place."""
         if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for m in z.infolist():
-                    if not m.is_dir():
-                        yield m.filename, z.read(m)
-        else:
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for m in t:
-                    if m.isfile():
-                        yield m.name, t.extractfile(m).read()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, data in zip(f["path"], f["content"], strict=True):
-                rows, total = [], 0
-                for path, body in members(name, data):
+            z = zipfile.ZipFile(io.BytesIO(data))
+            found = [m for m in z.infolist() if not m.is_dir()]
+            return [(m.filename, m.file_size) for m in found], lambda k: z.read(found[k])
+        t = tarfile.open(fileobj=io.BytesIO(data))
+        members = [m for m in t.getmembers() if m.isfile()]
+        return [(m.name, m.size) for m in members], lambda k: t.extractfile(members[k]).read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                listed, read = opened(data.as_py())
+                taken, total = [], 0
+                for k, (path, size) in enumerate(listed):
                     parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
-                    total += len(body)
-                    if ".." in parts or path.startswith("/") or len(rows) >= most_files or total > most_bytes:
-                        continue
-                    rows.append((name, parts, len(body), body))
-                tops = {r[1][0] for r in rows}
-                skip = int(len(tops) == 1 and all(len(r[1]) > 1 for r in rows))
-                yield pd.DataFrame([(n, "/".join(p[skip:]), b, c) for n, p, b, c in rows], columns=["archive", "path", "bytes", "content"])
-
-    return files.select("path", "content").mapInPandas(run, "archive string, path string, bytes long, content binary")
+                    total += size
+                    if ".." not in parts and not path.startswith("/") and len(taken) < most_files and total <= most_bytes:
+                        taken.append((k, parts))
+                skip = int(len({p[0] for _, p in taken}) == 1 and all(len(p) > 1 for _, p in taken))
+                rows: list[tuple[str, bytes]] = []
+                held = 0
+                for k, parts in taken:
+                    rows.append(("/".join(parts[skip:]), read(k)))
+                    held += len(rows[-1][1])
+                    if held >= 16 << 20:
+                        yield shown(name, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield shown(name, rows)
+
+    def shown(name: str, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        paths, bodies = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(paths, pa.string()), pa.array(map(len, bodies), pa.int64()), pa.array(bodies, pa.binary())], ["archive", "path", "bytes", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "archive string, path string, bytes long, content binary")
 
 
 MAJOR = 1
