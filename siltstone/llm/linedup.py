@@ -74,7 +74,7 @@ def odd_sketches(lines: DataFrame, width: int) -> DataFrame:
     each = lines.select("id", F.explode(shingles("line", width)).alias("g")).select("id", F.xxhash64("g").alias("h"))
     word, bit = F.pmod(F.col("h"), F.lit(WORDS)), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")
     flip = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    return each.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == k, flip)).alias(f"o{k}") for k in range(WORDS)))
+    return each.select("id", word.alias("word"), flip.alias("flip")).groupBy("id").agg(F.count("*").alias("n"), *(F.expr(f"bit_xor(flip) filter (where word = {k})").alias(f"o{k}") for k in range(WORDS)))
 
 
 def plausible(x: str, y: str, least: float) -> Column:
@@ -94,9 +94,10 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> Da
     sizes is how many different shingles both lines have together; lines without any have no pairs.
     """
     both = pairs.join(lines.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    sets = both.select("a", "b", "sizes", *(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)).alias(c) for c in ("x", "y")))
-    counts = sets.select("a", "b", "sizes", F.size(F.array_intersect("x", "y")).alias("common"))
-    return counts.filter(F.col("common") >= least * (F.col("sizes") - F.col("common"))).select("a", "b")
+    # lines hold no line feed, so that no shingle without one reaches over it: the different ones are the union of both sets
+    either = F.array_distinct(F.regexp_extract_all(F.concat("x", F.lit("\n"), "y"), F.lit(f"(?=([^\\n]{{{width}}}))"), F.lit(1)))
+    # sizes - either >= least * either, with the set made once
+    return both.filter(F.size(either) <= F.col("sizes") / (1 + least) + 1e-6).select("a", "b")
 
 
 def within_families(members: DataFrame, least: float) -> DataFrame:
@@ -117,12 +118,14 @@ def within_families(members: DataFrame, least: float) -> DataFrame:
 
 def buckets(lines: DataFrame, width: int) -> DataFrame:
     """(key, id) of the bands that several lines share, a written table."""
-    least = written(minhashes(lines, width, parts_for(lines)), "minhashes")
+    parts = parts_for(lines)
+    least = written(minhashes(lines, width, parts), "minhashes")
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(bands())))
-    keyed = least.select("id", F.explode(keys).alias("key"))
-    shared = written(keyed.groupBy("key").count().filter("count > 1").select("key"), "shared")
+    # dealt once, for counting and for the join; most keys have one line, so that counting before would gain nothing
+    keyed = least.select("id", F.explode(keys).alias("key")).repartition(parts, "key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select("key")
     out = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "id"), "buckets")
-    discard(least, shared)
+    discard(least)
     return out
 
 

@@ -283,6 +283,31 @@ def test_bands_find_pairs_of_the_threshold_and_sketches_lose_none(spark):
     assert kept.count() == len(pairs)
 
 
+def test_a_pair_is_compared_once_and_exactly(spark):
+    rng = np.random.default_rng(10)
+    texts = ["abcdefghijkl", "bcdefghijklm", "abcdefghijk", "aaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaa", "\r\u2028" * 9, "🌑🌒🌓🌔🌕🌖🌗🌘🌑"]
+    for _ in range(60):
+        w = list(rng.choice(list("abcdefgh \r"), rng.integers(9, 90)))
+        texts += ["".join(w), "".join(w[:-1]) + "z", "".join(w + w[:6])]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    size = [len({x[k : k + 7] for k in range(len(x) - 6)}) for x in texts]
+    pairs = [(a, b, size[a] + size[b]) for a in range(len(texts)) for b in range(a + 1, min(len(texts), a + 40))]
+    kept = linedup.verified(spark.createDataFrame(pairs, "a long, b long, sizes long"), lines, 7, 0.8)
+    want = {(a, b) for a, b, _ in pairs if jaccard(texts[a], texts[b]) >= 0.8}
+    assert {(r.a, r.b) for r in kept.collect()} == want and any(jaccard(texts[a], texts[b]) == 0.8 for a, b in want)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a filter that names a set twice makes it twice
+
+
+def test_band_keys_are_dealt_once(spark, monkeypatch):
+    plans, put = [], linedup.written
+    monkeypatch.setattr(linedup, "written", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())), put(df, tag))[1])
+    lines = spark.createDataFrame([(k, f"one and the same long line, number {k}") for k in range(30)], "id long, line string")
+    found = linedup.buckets(lines, 7).collect()
+    assert found and [tag for tag, _ in plans] == ["minhashes", "buckets"]
+    assert plans[-1][1].count("RepartitionByExpression [key") == 2  # alike, so that Spark deals once and reads twice
+
+
 @pytest.mark.parametrize("tile", [8, 256])
 def test_a_bucket_of_several_hundred_near_copies(spark, monkeypatch, tile):
     monkeypatch.setattr(linedup, "TILE", tile)
