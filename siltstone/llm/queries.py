@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, resample, simhash, urlfilter, warc
+from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, repair, resample, simhash, urlfilter, warc
 from siltstone.session import table
 
 
@@ -57,6 +57,10 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -66,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, op2_quality_rules, op3_chat_formatting, op4_nearest_neighbours, op5_best_fit_packing,
         op6_source_mixing, op7_fuzzy_line_dedup, op8_url_filter, op9_simhash_near_dedup, op10_warc_bundles,
-        op13_importance_resampling,
+        op11_conversation_repair, op13_importance_resampling,
     )
 }
 
@@ -76,5 +80,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": mixing.SQL,
     "op8_url_filter": urlfilter.SQL,
     "op10_warc_bundles": warc.SQL,
+    "op11_conversation_repair": repair.SQL,
     "op13_importance_resampling": resample.SQL,
 }
