@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, repair, resample, simhash, urlfilter, warc
+from siltstone.llm import ann, chat, langid, linedup, mixing, packing, quality, repair, resample, simhash, suffixdedup, urlfilter, warc
 from siltstone.session import table
 
 
@@ -61,6 +61,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_digests(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -70,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, op2_quality_rules, op3_chat_formatting, op4_nearest_neighbours, op5_best_fit_packing,
         op6_source_mixing, op7_fuzzy_line_dedup, op8_url_filter, op9_simhash_near_dedup, op10_warc_bundles,
-        op11_conversation_repair, op13_importance_resampling,
+        op11_conversation_repair, op12_suffix_dedup, op13_importance_resampling,
     )
 }
 
@@ -81,5 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": urlfilter.SQL,
     "op10_warc_bundles": warc.SQL,
     "op11_conversation_repair": repair.SQL,
+    "op12_suffix_dedup": suffixdedup.SQL,
     "op13_importance_resampling": resample.SQL,
 }
