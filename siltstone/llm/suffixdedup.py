@@ -11,13 +11,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import discard, written
+
 #: Bytes of a token; a suffix is ranged by the least hash of the tokens that start and end in its first `width` bytes.
-TOKEN = 16
+TOKEN = 12
 TOP = np.uint64(1 << 63)
+MOST_HOT = 1 << 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 SPANS = "none boolean, id long, hash long, start long, stop long"
 #: Of a record: its document (null id, id, hash), first suffix, number of suffixes, whether all are known to be repeats.
-HEAD = np.dtype([("none", "u1"), ("known", "u1"), ("id", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("count", "<i8")])
+HEAD = np.dtype([("none", "u1"), ("known", "u1"), ("id", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
 
 def words_at(raw: np.ndarray) -> np.ndarray:
@@ -28,9 +31,9 @@ def words_at(raw: np.ndarray) -> np.ndarray:
 def tokens(raw: np.ndarray) -> np.ndarray:
     """A hash for the token at each place, below TOP."""
     word = words_at(raw)
-    h = word[:-8] * MIX[0]
+    h = word[:-4] * MIX[0]
     h ^= h >> np.uint64(32)
-    h += word[8:]
+    h += word[TOKEN - 8 :]
     h *= MIX[1]
     h ^= h >> np.uint64(29)
     h *= MIX[2]
@@ -202,7 +205,7 @@ def opened(part: pa.Table, width: int) -> tuple[np.ndarray, list[bytes]]:
         for c in HEAD.names:
             head[c] = np.frombuffer(data, HEAD.fields[c][0], n, at)
             at += n * HEAD.fields[c][0].itemsize
-        stop = at + np.cumsum(np.where(head["known"] == 1, 0, head["count"] + width - 1))
+        stop = at + np.cumsum(np.where(head["known"] == 1, 0, head["count"].astype(np.int64) + width - 1))
         texts += [data[x:y] for x, y in zip([at, *stop[:-1].tolist()], stop.tolist(), strict=True)]
         heads.append(head)
     head = np.concatenate(heads)
@@ -210,14 +213,34 @@ def opened(part: pa.Table, width: int) -> tuple[np.ndarray, list[bytes]]:
     return head[order], [texts[k] for k in order.tolist()]
 
 
+def not_alone(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Suffixes (as places in at) but for those that no other equals in their first, middle and last word."""
+    word = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
+    h = word[at]
+    for k, mix in ((width // 2 - 4, MIX[0]), (width - 8, MIX[1])):
+        h *= mix
+        h ^= h >> np.uint64(32)
+        h ^= word[at + k]
+    h *= MIX[2]
+    h ^= h >> np.uint64(40)
+    ordered = np.sort(h)
+    seen = np.zeros(1 << 22, bool)
+    seen[(ordered[1:][ordered[1:] == ordered[:-1]] & np.uint64(len(seen) - 1)).astype(np.int64)] = True
+    return np.flatnonzero(seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)])
+
+
 def multikey_groups(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (as places in at) that share width bytes with another, and the number of the group of each, group after group.
 
     Multikey quicksort with words of 8 bytes for characters: a group is partitioned by its next word, and
-    what is alone in its part is done. Groups of one depth are partitioned at once.
+    what is alone in its part is done, as is a part whose suffixes all equal its first. Groups of one depth
+    are partitioned at once. Suffixes whose words alone tell that nothing equals them are not sorted.
     """
     word = np.ndarray((len(raw) - 8,), ">u8", raw, strides=(1,))
-    left, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    left = not_alone(raw, at, width)
+    group = np.zeros(len(left), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    numbered = 0
     for k in offsets(width):
         if not len(left):
             break
@@ -227,10 +250,17 @@ def multikey_groups(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nda
             order = order[np.argsort(group[order], kind="stable")]
         left, now, group = left[order], now[order], group[order]
         new = np.concatenate(([True], (now[1:] != now[:-1]) | (group[1:] != group[:-1])))
-        group = np.cumsum(new) - 1
         alone = new & np.append(new[1:], True)
-        left, group = left[~alone], group[~alone]
-    return left, group
+        left, new = left[~alone], new[~alone]
+        if not len(left):
+            break
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        equal = same_texts(raw, at[left], at[left[first]][group], width)
+        whole = np.logical_and.reduceat(equal, first)[group]
+        done.append((left[whole], group[whole] + numbered))
+        numbered += len(first)
+        left, group = left[~whole], group[~whole]
+    return (np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])) if done else (left, group)
 
 
 def repeats(part: pa.Table, width: int) -> pa.Table:
@@ -247,7 +277,7 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
         whole[k] = lead != k and place[lead] != place[k]  # a repeated row has the same places
     kept = np.fromiter(leads.values(), np.int64, len(leads))
     raw = np.frombuffer(b"".join([*leads, b"\0" * 16]), np.uint8)
-    count = head["count"][kept]
+    count = head["count"][kept].astype(np.int64)
     base, first = np.cumsum(count) - count, np.cumsum(count + width - 1) - (count + width - 1)
     at = np.repeat(first - base, count) + np.arange(count.sum())
     left, group = multikey_groups(raw, at, width)
@@ -272,32 +302,41 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
 
 
 def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(splitters, hot): borders of as many cells with about as many suffixes each, and tokens that alone would fill a quarter of one.
+    """(splitters, hot): borders of as many cells with about as many suffixes each, and tokens that alone could fill a quarter of one.
 
-    Both come from a sample of documents with some thousand keys a cell, a million at most in all. They decide
-    how the work is dealt, never what is found.
+    Both come from a sample of documents, by hash of their ids, that is sized to give a thousand keys a cell
+    and a million in all. They decide how the work is dealt, never what is found. At most MOST_HOT tokens are
+    hot, the most frequent first.
     """
     each = min(1000, (1 << 20) // cells)
-    share = min(1.0, 4 * each * cells * (width - TOKEN) / 2 / max(1, suffixes))
+    share = min(1.0, each * cells * (width - TOKEN) / 2 / max(1, suffixes))
+    part = written(docs.filter(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), "sample")
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in records(batches, width, size):
+            token, n = np.unique(tokens(block.raw), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+
+    # a token is the least of half its places in a suffix at most
+    many = max(8, int(suffixes * share / cells / 4 / ((width - TOKEN) / 2)))
+    found = part.mapInArrow(times, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= many)
+    hot = np.sort(np.array([r.token for r in found.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in records(batches, width, size):
-            key = block.keys(np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key[block.runs(key)[0]].view(np.int64))], ["key"])
-
-    part = docs.filter(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = part.mapInArrow(run, "key long").orderBy(F.rand(7)).limit(each * cells)
-    key = np.sort(np.array([r.key for r in rows.collect()], np.int64).view(np.uint64))
-    if not len(key):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    found, times = np.unique(key, return_counts=True)
-    many = times > max(4, len(key) // cells // 4)
-    key = key[~np.isin(key, found[many])]
-    # suffixes of hot tokens alone lie above TOP, evenly by their bytes: one cell in eight is for them
-    above = max(1, cells // 8)
-    borders = key[np.linspace(0, len(key), cells - above + 1)[1:-1].astype(np.int64)] if len(key) and cells > above + 1 else np.empty(0, np.uint64)
+            key = block.keys(hot)
+            start, count, _ = block.runs(key)
+            above = key[start] >= TOP
+            yield pa.RecordBatch.from_arrays([pa.array([key[start[~above]].tobytes()], pa.binary()), pa.array([int(count[above].sum())]), pa.array([int(count.sum())])], ["keys", "above", "all"])
+
+    rows = part.mapInArrow(run, "keys binary, above long, all long").collect()
+    discard(part)
+    key = np.sort(np.frombuffer(b"".join(r.keys for r in rows), np.uint64))
+    # suffixes of hot tokens alone lie above TOP, evenly by their bytes
+    above = max(1, round(cells * sum(r.above for r in rows) / max(1, sum(r.all for r in rows))))
+    borders = key[np.linspace(0, len(key), max(1, cells - above) + 1)[1:-1].astype(np.int64)] if len(key) else key
     top = TOP + np.arange(above, dtype=np.uint64) * np.uint64((1 << 63) // above)
-    return np.unique(np.concatenate((borders, top))), found[many]
+    return np.unique(np.concatenate((borders, top))), hot
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +347,7 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, cell: int = 1 << 22, size: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, cell: int = 1 << 22, size: int = 1 << 22) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every row of docs(doc_id, text): texts, as UTF-8 bytes, without what stands earlier too.
 
     A byte goes if a string of width bytes that covers it also starts earlier, in a document with a smaller
