@@ -270,11 +270,13 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
     """
     head, texts = opened(part, width)
     whole = head["known"] == 1
-    place = list(zip(*(head[c].tolist() for c in ("none", "id", "hash", "start")), strict=True))
     leads: dict[bytes, int] = {}
-    for k in np.flatnonzero(~whole).tolist():
-        lead = leads.setdefault(texts[k], k)
-        whole[k] = lead != k and place[lead] != place[k]  # a repeated row has the same places
+    some = np.flatnonzero(~whole)
+    lead = np.fromiter((leads.setdefault(texts[k], k) for k in some.tolist()), np.int64, len(some))
+    moved = np.zeros(len(some), bool)
+    for c in ("none", "id", "hash", "start"):  # a repeated row has the same places
+        moved |= head[c][lead] != head[c][some]
+    whole[some] = moved
     kept = np.fromiter(leads.values(), np.int64, len(leads))
     raw = np.frombuffer(b"".join([*leads, b"\0" * 16]), np.uint8)
     count = head["count"][kept].astype(np.int64)
@@ -302,7 +304,7 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
 
 
 def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(splitters, hot): borders of as many cells with about as many suffixes each, and tokens that alone could fill a quarter of one.
+    """(splitters, hot): borders of as many cells with about as many suffixes each, and tokens that alone could fill half of one.
 
     Both come from a sample of documents, by hash of their ids, that is sized to give a thousand keys a cell
     and a million in all. They decide how the work is dealt, never what is found. At most MOST_HOT tokens are
@@ -318,7 +320,7 @@ def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -
             yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
     # a token is the least of half its places in a suffix at most
-    many = max(8, int(suffixes * share / cells / 4 / ((width - TOKEN) / 2)))
+    many = max(8, int(suffixes * share / cells / 2 / ((width - TOKEN) / 2)))
     found = part.mapInArrow(times, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= many)
     hot = np.sort(np.array([r.token for r in found.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
@@ -332,9 +334,10 @@ def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -
     rows = part.mapInArrow(run, "keys binary, above long, all long").collect()
     discard(part)
     key = np.sort(np.frombuffer(b"".join(r.keys for r in rows), np.uint64))
-    # suffixes of hot tokens alone lie above TOP, evenly by their bytes
-    above = max(1, round(cells * sum(r.above for r in rows) / max(1, sum(r.all for r in rows))))
-    borders = key[np.linspace(0, len(key), max(1, cells - above) + 1)[1:-1].astype(np.int64)] if len(key) else key
+    # suffixes of hot tokens alone lie above TOP, evenly by their bytes, and each brings a text of its own
+    alone = sum(r.above for r in rows) / max(1, sum(r.all for r in rows))
+    above = 1 + int(cells * alone * (width - TOKEN) / 2)
+    borders = key[np.linspace(0, len(key), cells + 1)[1:-1].astype(np.int64)] if len(key) else key
     top = TOP + np.arange(above, dtype=np.uint64) * np.uint64((1 << 63) // above)
     return np.unique(np.concatenate((borders, top))), hot
 
