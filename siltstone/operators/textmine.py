@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.scalars import file_name, is_sample_path, round4
 from siltstone.functions.tables import stored
 from siltstone.operators.graph import linked
+from siltstone.operators.repeats import repeats
 
 
 # Languages in which a rule applies.
@@ -188,36 +188,41 @@ def minhash(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def tokens_of(value: pa.Scalar) -> np.ndarray:
+    """Tokens of an int array as unsigned numbers; a null array has none."""
+    return value.values.to_numpy().view(np.uint32).astype(np.uint64) if value.is_valid else np.empty(0, np.uint64)
+
+
 def signatures(files: DataFrame, least: int = 50) -> DataFrame:
-    """(path, language, signature) of texts with at least so many tokens."""
+    """(path, language, signature) of files(path, language, tokens) with at least so many tokens."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            t = [token_hashes(x or "") for x in f["text"]]
-            s = [shingles(x) if len(x) >= least else None for x in t]
-            rows = [(p, n, minhash(x).view(np.int64).tolist()) for p, n, x in zip(f["path"], f["language"], s, strict=True) if x is not None]
-            yield pd.DataFrame(rows, columns=["path", "language", "signature"], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, minhash(shingles(t))) for k, x in enumerate(batch.column(2)) if len(t := tokens_of(x)) >= least]
+            at = pa.array([k for k, _ in found], pa.int64())
+            marks = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SLOTS, np.concatenate([m.view(np.int64) for _, m in found]) if found else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), marks], ["path", "language", "signature"])
 
-    return files.select("path", "language", "text").mapInPandas(run, "path string, language string, signature array<long>")
+    return files.select(F.col("path").cast("string"), F.col("language").cast("string"), "tokens").mapInArrow(run, "path string, language string, signature array<long>")
 
 
-def exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(path, leader, similarity) of pairs(path, leader): the Jaccard similarity of the shingle sets of their texts(path, text)."""
-    both = pairs.join(texts.withColumnRenamed("text", "x"), "path").join(texts.withColumnsRenamed({"path": "leader", "text": "y"}), "leader")
+def exact(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, leader, similarity) of pairs(path, leader): the Jaccard similarity of the shingle sets of their files(path, tokens)."""
+    both = pairs.join(files.withColumnRenamed("tokens", "x"), "path").join(files.withColumnsRenamed({"path": "leader", "tokens": "y"}), "leader")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, b = None, None
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                if r.leader != name:
-                    name, b = r.leader, shingles(token_hashes(r.y))
-                a = shingles(token_hashes(r.x))
+        for batch in batches:
+            out = np.empty(batch.num_rows, np.float64)
+            for k, leader in enumerate(batch.column(1).to_pylist()):
+                if leader != name:
+                    name, b = leader, shingles(tokens_of(batch.column(3)[k]))
+                a = shingles(tokens_of(batch.column(2)[k]))
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(common / (len(a) + len(b) - common))
-            yield pd.DataFrame({"path": f["path"], "leader": f["leader"], "similarity": np.array(out, np.float64)})
+                out[k] = common / (len(a) + len(b) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["path", "leader", "similarity"])
 
-    return both.select("path", "leader", "x", "y").mapInPandas(run, "path string, leader string, similarity double")
+    return both.select("path", "leader", "x", "y").mapInArrow(run, "path string, leader string, similarity double")
 
 
 #: Buckets with more texts than this compare all with a few leaders first, before texts are compared one by one.
@@ -234,14 +239,18 @@ def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
     group of copies makes about as many as it has members. Each text is compared with the first of its
     buckets. Buckets that still hold several classes and more than SMALL texts compare all with LEADERS
     of them, again with others until they are small; then texts of different classes are compared one
-    by one, so that no text of a bucket is kept apart from a class that it is similar to.
+    by one, so that no text of a bucket is kept apart from a class that it is similar to. files has path,
+    language and text, or tokens as code.analyze names them in place of text.
     """
+    if "tokens" not in files.columns:
+        files = hashed(files, "language")
+    files = stored(files.select("path", "language", "tokens"), "tokens")
     sig = stored(signatures(files), "signatures")
     keys = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda b: F.xxhash64("language", b, F.slice("signature", b * BAND + 1, BAND)))
     each = stored(sig.select("path", F.explode(keys).alias("key")), "bands")
     shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("leader")).filter("n > 1").drop("n")
     state = stored(each.join(shared, "key"), "buckets")
-    texts = stored(files.select("path", "text").join(state.select("path").distinct(), "path", "left_semi"), "texts")
+    texts = stored(files.select("path", "tokens").join(state.select("path").distinct(), "path", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.greatest("a", "b").alias("path"), F.least("a", "b").alias("leader")).distinct()
@@ -313,58 +322,27 @@ def fingerprints(files: DataFrame, k: int = 25, window: int = 16) -> DataFrame:
     return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, hash long, at long")
 
 
-def duplicated(files: DataFrame, k: int = 25, window: int = 16, distinct: int = 12, every: int = 50) -> DataFrame:
-    """(path, start, end): runs of tokens that also stand elsewhere, in their greatest length.
+def duplicated(files: DataFrame, k: int = 25, distinct: int = 12) -> DataFrame:
+    """(path, start, end): the places of all maximal repeats of k tokens or more, in any number of places.
 
-    All places of a fingerprint are compared with each other, token by token and extended both ways;
-    those of one that stands in more than `every` places are compared with the first of them, which
-    finds each run that it shares but not what later places alone share beyond it. Runs of few
-    different tokens are data and left out.
+    files has path and text, or tokens in place of text. Runs of few different tokens are data and left out.
     """
-    marks = stored(fingerprints(files, k, window), "fingerprints")
-    first = marks.groupBy("hash").agg(F.min(F.struct("path", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    few = marks.join(first.filter(F.col("n") <= every).select("hash"), "hash").select("hash", F.struct("path", "at").alias("f"))
-    met = marks.join(few.union(first.filter(F.col("n") > every).select("hash", "f")), "hash").filter(F.struct("path", "at") > F.col("f"))
-    pairs = met.groupBy("path", F.col("f.path").alias("other"), (F.col("at") - F.col("f.at")).alias("shift")).agg(F.min("at").alias("at"), F.collect_set("at").alias("places"))
-    named = pairs.select("path").union(pairs.select("other")).distinct()
-    tokens = stored(hashed(files.join(named, "path", "left_semi")), "tokens")
-    both = pairs.join(tokens.withColumnRenamed("tokens", "a"), "path").join(tokens.withColumnsRenamed({"path": "other", "tokens": "b"}), "other")
+    return repeats(files if "tokens" in files.columns else hashed(files), k, distinct).select("path", "start", "end").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[str, int, int]] = []
-            paths, others, shifts = (batch.column(c).to_pylist() for c in range(3))
-            for r in range(batch.num_rows):
-                a, b = (batch.column(c)[r].values.to_numpy() for c in (4, 5))
-                shift, lo, hi = shifts[r], max(0, shifts[r]), min(len(a), len(b) + shifts[r])
-                same = a[lo:hi] == b[lo - shift : hi - shift]
-                stops = np.flatnonzero(~same) + lo
-                done = -1
-                for at in sorted(batch.column(3)[r].as_py()):
-                    if at < done or not lo <= at < hi or not same[at - lo]:
-                        continue
-                    j = np.searchsorted(stops, at)
-                    start, end = (int(stops[j - 1]) + 1 if j else lo), (int(stops[j]) if j < len(stops) else hi)
-                    done = end
-                    if end - start >= k and len(np.unique(a[start:end])) >= distinct and (paths[r] != others[r] or shift >= end - start):
-                        rows += [(paths[r], start, end - 1), (others[r], start - shift, end - 1 - shift)]
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "start", "end"])
-
-    return both.select("path", "other", "shift", "places", "a", "b").mapInArrow(run, "path string, start long, end long").distinct()
-
-
-def hashed(files: DataFrame) -> DataFrame:
-    """(path, tokens) of files(path, text): a 32-bit hash of each token, taken once a text."""
+
+def hashed(files: DataFrame, *carry: str) -> DataFrame:
+    """(path, carried columns, tokens) of files(path, text): a 32-bit hash of each token, taken once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [token_hashes(t.as_py() or "").astype(np.uint32).view(np.int32) for t in batch.column(1)]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
             values = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))], ["path", "tokens"])
+            tokens = pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], tokens], ["path", *carry, "tokens"])
 
-    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, tokens array<int>")
+    more = "".join(f"{c} string, " for c in carry)
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string"), *(F.col(c).cast("string") for c in carry)).mapInArrow(run, f"path string, {more}tokens array<int>")
 
 
 #: Items with no more shingles than this are sent to all tasks; more are met by a shuffle.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as X
-from siltstone.operators import diffs, findings, graph, history, ranking, textmine
+from siltstone.operators import diffs, findings, graph, history, ranking, repeats, textmine
 from siltstone.plans.catalogue import R4, commits, query
 from siltstone.session import table
 
@@ -131,6 +131,17 @@ def winnow_duplicated(spark: SparkSession, sf: str) -> DataFrame:
     return textmine.duplicated(texts(spark, sf))
 
 
+@query(r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS path, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT path, i, array_to_string(w[i:i + 24], ' ') AS g FROM (SELECT path, w, unnest(range(1, len(w) - 23)) AS i FROM t WHERE len(w) >= 25)),
+r AS (SELECT path, i FROM (SELECT path, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1)
+SELECT path, CAST(sum(d) AS BIGINT) AS tokens FROM (SELECT path, least(25, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - i, 25)) AS d FROM r) GROUP BY path""")
+def repeated_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each text in maximal repeats, which are all that stand in a window that repeats."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    files = texts(spark, sf).select("path", F.transform(words, lambda w: F.xxhash64(w)).alias("tokens"))
+    return repeats.covered(repeats.repeats(files, 25, 0))
+
+
 _SHINGLES = """unnest(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s"""
 _WORDS = r"list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.tables import stored
+from siltstone.operators import repeats
 from siltstone.plans.catalogue import query
 from siltstone.session import table
 from siltstone.sources import code
@@ -78,3 +80,12 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
     """Lines by kind, decisions outside of functions, code in test regions, imports, and tokens beyond imports."""
     found = code.analyze(sources(spark, sf))
     return found.select("path", "code", "comment", "blank", "outside", "test_code", F.concat_ws(",", "imports.module").alias("imported"), F.size("tokens").alias("tokens"))
+
+
+@query()
+def code_clones(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of the maximal repeats of code tokens, as lines; literals and layout make no difference, imports are left out."""
+    files = stored(code.analyze(sources(spark, sf)).select("path", "tokens", "token_lines"), "tokens")
+    found = repeats.repeats(files, 40, 12).join(files.select("path", "token_lines"), "path")
+    line = lambda c: F.get("token_lines", F.col(c).cast("int"))
+    return found.select("repeat", "tokens", "path", "start", "end", line("start").alias("line"), line("end").alias("end_line"))
