@@ -303,6 +303,21 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
     return pa.table(columns, names=[x.split()[0] for x in SPANS.split(", ")])
 
 
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell after the other, from batches in the order of cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = batch.column(0).to_numpy()
+        at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else []
+        for a, b in zip(at, [*at[1:], len(cell)], strict=True):
+            if held and held[0].column(0)[0].as_py() != cell[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(splitters, hot): borders of as many cells with about as many suffixes each, and tokens that alone could fill half of one.
 
@@ -376,7 +391,11 @@ def remove_repeats(docs: DataFrame, width: int = 100, cell: int = 1 << 22, size:
     asked = max(1, min(cells, 1 << 18))
     splitters, hot = sampled(rows, width, suffixes, asked, size) if asked > 1 else (np.empty(0, np.uint64), np.empty(0, np.uint64))
     dealt = ranged(rows, width, splitters, max(1, -(-cells // asked)), hot, size)
-    spans = dealt.groupBy("cell").applyInArrow(lambda part: repeats(part, width), SPANS)
+    # cells in turn go to partitions of their own, or some to one if there are very many
+    total = (len(splitters) + 1) * max(1, -(-cells // asked))
+    tasks = min(total, 1 << 15)
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(cell * {tasks} div {total} as int)")).sortWithinPartitions("cell")
+    spans = dealt.mapInArrow(lambda batches: (b for part in by_cell(batches) for b in repeats(part, width).to_batches()), SPANS)
     spans = spans.groupBy("none", "id", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.when(~F.col("none"), F.col("id")).alias("of"), F.col("hash").alias("of_hash"), "spans")
     both = rows.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left").select("id", "text", "spans")
