@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions.tables import stored
 from siltstone.operators import repeats
 from siltstone.plans.catalogue import query
-from siltstone.session import table
+from siltstone.session import new_path, table
 from siltstone.sources import code
+from siltstone.streaming import scans
 
 
 def filled(text: Column, **values: Column) -> Column:
@@ -89,3 +90,21 @@ def code_clones(spark: SparkSession, sf: str) -> DataFrame:
     found = repeats.repeats(files, 40, 12).join(files.select("path", "token_lines"), "path")
     line = lambda c: F.get("token_lines", F.col(c).cast("int"))
     return found.select("repeat", "tokens", "path", "start", "end", line("start").alias("line"), line("end").alias("end_line"))
+
+
+@query(f"""WITH {PLACED}
+SELECT path, CASE WHEN c % 5 = 0 OR c % 3 = 1 THEN 3 ELSE 1 END AS seq, CASE WHEN c % 5 = 0 THEN 2 ELSE 1 END AS analysed, CAST(functions + CASE k WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS functions,
+  CAST(2 + s - 2 * functions + CASE k WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 1 END + CASE WHEN c % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS code FROM t WHERE c % 7 <> 0""")
+def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files scanned, changed, touched, deleted and told of late, by a stream that analyses what changed."""
+    files = sources(spark, sf).withColumn("c", F.regexp_extract("path", r"c(\d+)\.", 1).cast("long"))
+    version = lambda df, seq, text, gone=False: df.select("path", "language", text.alias("text"), F.lit(seq).alias("seq"), F.lit(gone).alias("deleted"))
+    text = F.col("text")
+    at = new_path(spark, "versions")
+    new = version(files.filter("c % 5 = 0 and c % 7 != 0"), 3, F.concat(text, F.lit("x\n")))
+    touched, gone = version(files.filter("c % 3 = 1 and c % 5 != 0 and c % 7 != 0"), 3, text), version(files.filter("c % 7 = 0"), 3, text, True)
+    late = version(files.filter("c % 11 = 0"), 0, F.lit("late\n"))
+    for rows in (version(files, 1, text), new.union(touched).union(gone), late):
+        rows.write.mode("append").parquet(f"{at}/in")
+        scans.scan(spark, f"{at}/in", "path string, language string, text string, seq int, deleted boolean", f"{at}/out", f"{at}/state")
+    return scans.current(spark, f"{at}/out").select("path", "seq", "analysed", "functions", "code")
