@@ -60,16 +60,19 @@ class Block:
         self.end = self.first + np.maximum(size - width + 1, 0)
         self.docs = [np.array([x[k] for x in held]) for k in range(4)]
 
-    def keys(self, hot: np.ndarray) -> np.ndarray:
-        """What each place is ranged by: the least hash of its tokens; those that are hot come last."""
-        h = tokens(self.raw)
-        if len(hot):
-            maybe = np.zeros(1 << 16, bool)
-            maybe[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
-            at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-            at = at[np.isin(h[at], hot)]
-            h[at] |= TOP
-        return least(h, self.width - TOKEN + 1)
+    def keys(self, hot: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """What each place is ranged by: the least hash of its tokens; those that are hot come last. A step of places at a time."""
+        n = len(self.raw) - self.width - 16
+        key, maybe = np.empty(n, np.uint64), np.zeros(1 << 16, bool)
+        maybe[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for at in range(0, n, step):
+            stop = min(n, at + step)
+            h = tokens(self.raw[at : stop + self.width + 16])[: stop - at + self.width - TOKEN]
+            if len(hot):
+                some = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
+                h[some[np.isin(h[some], hot)]] |= TOP
+            key[at:stop] = least(h, self.width - TOKEN + 1)
+        return key
 
     def runs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, count, piece) of suffixes in a row that share their key."""
@@ -213,38 +216,59 @@ def opened(part: pa.Table, width: int) -> tuple[np.ndarray, list[bytes]]:
     return head[order], [texts[k] for k in order.tolist()]
 
 
-def not_alone(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Suffixes (as places in at) but for those that no other equals in their first, middle and last word."""
+class Suffixes:
+    """The suffixes of records whose texts stand end to end, numbered record by record."""
+
+    def __init__(self, count: np.ndarray, width: int):
+        self.base = np.cumsum(count) - count
+        self.first = self.base + np.arange(len(count)) * (width - 1)
+        self.n = int(count.sum())
+
+    def record(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, number, "right") - 1
+
+    def place(self, number: np.ndarray) -> np.ndarray:
+        of = self.record(number)
+        return number + (self.first - self.base)[of]
+
+
+def not_alone(raw: np.ndarray, suffixes: Suffixes, width: int, step: int = 1 << 18) -> np.ndarray:
+    """Suffixes but for those that no other equals in their first, middle and last word; a step of them at a time."""
     word = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
-    h = word[at]
-    for k, mix in ((width // 2 - 4, MIX[0]), (width - 8, MIX[1])):
-        h *= mix
-        h ^= h >> np.uint64(32)
-        h ^= word[at + k]
-    h *= MIX[2]
-    h ^= h >> np.uint64(40)
-    ordered = np.sort(h)
+    marks = np.empty(suffixes.n, np.uint32)
+    for start in range(0, suffixes.n, step):
+        number = np.arange(start, min(suffixes.n, start + step))
+        at = suffixes.place(number)
+        h = word[at]
+        for k, mix in ((width // 2 - 4, MIX[0]), (width - 8, MIX[1])):
+            h *= mix
+            h ^= h >> np.uint64(32)
+            h ^= word[at + k]
+        h *= MIX[2]
+        marks[number] = h >> np.uint64(32)
+    ordered = np.sort(marks)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
     seen = np.zeros(1 << 22, bool)
-    seen[(ordered[1:][ordered[1:] == ordered[:-1]] & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-    return np.flatnonzero(seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)])
+    seen[twice & np.uint32(len(seen) - 1)] = True
+    return np.flatnonzero(np.concatenate([seen[marks[a : a + step] & np.uint32(len(seen) - 1)] for a in range(0, len(marks), step)])) if len(marks) else np.empty(0, np.int64)
 
 
-def multikey_groups(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (as places in at) that share width bytes with another, and the number of the group of each, group after group.
+def multikey_groups(raw: np.ndarray, suffixes: Suffixes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that share width bytes with another, and the number of the group of each, group after group.
 
     Multikey quicksort with words of 8 bytes for characters: a group is partitioned by its next word, and
     what is alone in its part is done, as is a part whose suffixes all equal its first. Groups of one depth
     are partitioned at once. Suffixes whose words alone tell that nothing equals them are not sorted.
     """
     word = np.ndarray((len(raw) - 8,), ">u8", raw, strides=(1,))
-    left = not_alone(raw, at, width)
+    left = not_alone(raw, suffixes, width)
     group = np.zeros(len(left), np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []
     numbered = 0
     for k in offsets(width):
         if not len(left):
             break
-        now = word[at[left] + k].astype(np.uint64)
+        now = word[suffixes.place(left) + k].astype(np.uint64)
         order = np.argsort(now)
         if k:
             order = order[np.argsort(group[order], kind="stable")]
@@ -255,7 +279,8 @@ def multikey_groups(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nda
         if not len(left):
             break
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        equal = same_texts(raw, at[left], at[left[first]][group], width)
+        at = suffixes.place(left)
+        equal = same_texts(raw, at, at[first][group], width)
         whole = np.logical_and.reduceat(equal, first)[group]
         done.append((left[whole], group[whole] + numbered))
         numbered += len(first)
@@ -279,26 +304,23 @@ def repeats(part: pa.Table, width: int) -> pa.Table:
     whole[some] = moved
     kept = np.fromiter(leads.values(), np.int64, len(leads))
     raw = np.frombuffer(b"".join([*leads, b"\0" * 16]), np.uint8)
-    count = head["count"][kept].astype(np.int64)
-    base, first = np.cumsum(count) - count, np.cumsum(count + width - 1) - (count + width - 1)
-    at = np.repeat(first - base, count) + np.arange(count.sum())
-    left, group = multikey_groups(raw, at, width)
-    again = np.zeros(len(at), bool)
-    if len(left):  # places grow with documents and starts, so that the least of a group is the earliest
+    del texts, leads
+    suffixes = Suffixes(head["count"][kept].astype(np.int64), width)
+    left, group = multikey_groups(raw, suffixes, width)
+    again = np.ones(len(left), bool)
+    if len(left):  # numbers grow with documents and places, so that the least of a group is the earliest
         start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        again[left] = True
-        again[np.minimum.reduceat(left, start)] = False
-    of = np.repeat(np.arange(len(kept)), count)
-    if len(again):
-        new = again & np.concatenate(([True], ~again[:-1] | (of[1:] != of[:-1])))
-        last = again & np.concatenate((~again[1:] | (of[1:] != of[:-1]), [True]))
-        new, last = np.flatnonzero(new), np.flatnonzero(last)
-    else:
-        new = last = np.empty(0, np.int64)
-    part_of = kept[of[new]] if len(new) else np.empty(0, np.int64)
+        earliest = np.minimum.reduceat(left, start)
+        again = left != np.repeat(earliest, np.diff(start, append=len(left)))
+    number = np.sort(left[again])
+    of = suffixes.record(number)
+    new = np.concatenate(([True], (number[1:] != number[:-1] + 1) | (of[1:] != of[:-1])))[: len(number)]
+    last = np.concatenate((new[1:], [True]))[: len(number)]
+    part_of = kept[of[new]]
+    offset = number - suffixes.base[of]
     row = np.concatenate((np.flatnonzero(whole), part_of))
-    begin = np.concatenate((head["start"][whole], head["start"][part_of] + new - base[of[new]] if len(new) else part_of))
-    end = np.concatenate(((head["start"] + head["count"])[whole] - 1, head["start"][part_of] + last - base[of[new]] if len(new) else part_of)) + width
+    begin = np.concatenate((head["start"][whole], head["start"][part_of] + offset[new]))
+    end = np.concatenate(((head["start"] + head["count"])[whole] - 1, head["start"][part_of] + offset[last])) + width
     columns = [pa.array(head["none"][row] == 1), pa.array(head["id"][row]), pa.array(head["hash"][row]), pa.array(begin), pa.array(end)]
     return pa.table(columns, names=[x.split()[0] for x in SPANS.split(", ")])
 
