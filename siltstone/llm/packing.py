@@ -188,12 +188,46 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def fitted(counts: dict[int, int], capacity: int, best: bool) -> list[tuple[tuple[int, ...], int]]:
+    """(fillings with how often each is used) of best fit decreasing or first fit decreasing, from counts by length.
+
+    Bins with the same items are one group, in the order in which they were opened. The next item of a length
+    goes to the bin with the least room that takes it, or to the first; either gives the same bin as many as it
+    takes before the next bin gets one, so that all items of a length are dealt group by group.
+    """
+    room, many, items = [], [], []
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            fits = np.array(room, np.int64)
+            k = int(np.argmin(np.where(fits >= x, fits, capacity + 1)) if best else np.argmax(fits >= x)) if room else -1
+            if k < 0 or room[k] < x:  # new bins
+                each = capacity // x
+                for bins, size in ((n // each, each), (1, n % each)):
+                    if bins and size:
+                        room.append(capacity - size * x)
+                        many.append(bins)
+                        items.append((x,) * size)
+                n = 0
+                continue
+            each = min(room[k] // x, n)
+            bins = min(many[k], n // each)
+            if bins < many[k]:  # the first of the group are filled
+                room.insert(k + 1, room[k])
+                many.insert(k + 1, many[k] - bins)
+                items.insert(k + 1, items[k])
+            room[k], many[k], items[k] = room[k] - each * x, bins, (*items[k], *(x,) * each)
+            n -= each * bins
+    return list(zip(items, many, strict=True))
+
+
 def plan(counts: dict[int, int], capacity: int = 4096, width: int | None = 8, nodes: float = 300, tries: float = 4000, exact_items: int = 16) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """(fillings with how often each is used, lower bound on the bins), from how many items have each length.
 
     Bin completion: each step takes the largest item left and fills the rest of its bin with one of
-    the undominated fillings, as often as the counts allow. The first descent takes the least waste
-    each time. The search goes back for another filling while the waste so far could still beat the
+    the undominated fillings, as often as the counts allow. The better of best fit decreasing and first
+    fit decreasing is the best solution at first, so that the plan never has more bins than either. The
+    search goes back for another filling while the waste so far could still beat the
     best solution, for so many tries, and ends at the bound. Steps are taken on counts by length, so
     that the work depends on the number of lengths (less than capacity), not on that of the items.
 
@@ -209,8 +243,10 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int | None = 8, no
     total = sum(k * n for k, n in counts.items())
     bound = least_bins(counts, capacity)
     lengths = sorted(counts)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_bins = 1 << 62
+    best = min((fitted(counts, capacity, how) for how in (True, False)), key=lambda f: sum(n for _, n in f))
+    best_bins = sum(n for _, n in best)
+    if best_bins <= bound:
+        return best, bound
     steps: list[list] = []  # [other fillings, filling taken, times]
     bins = waste = 0
 
@@ -252,10 +288,9 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int | None = 8, no
             give(filling, times)
             bins -= times
             waste -= times * (capacity - sum(filling))
-            if best is not None:
-                tries -= 1
-                if tries < 0:
-                    options, steps = [], []
+            tries -= 1
+            if tries < 0:
+                options, steps = [], []
         if best_bins <= bound or not options:
             break
         filling = options.pop(0)
@@ -263,7 +298,7 @@ def plan(counts: dict[int, int], capacity: int = 4096, width: int | None = 8, no
         steps.append([options, filling, times])
         bins += times
         waste += times * (capacity - sum(filling))
-    return best or [], bound
+    return best, bound
 
 
 def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:
@@ -273,13 +308,13 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
     same length are alike for the packing, so the driver gets the counts by length alone (at most
     capacity rows) and returns a plan of fewer than capacity fillings; which piece takes which place follows from its rank
     among those of its length. Ranks are prefix sums over hash parts of each length, so that no task
-    has to hold a frequent length. Repeated rows are packed each; a null doc_id is kept; an empty
+    has to hold a frequent length. sequences is their number, least_sequences a lower bound on it. Repeated rows are packed each; a null doc_id is kept; an empty
     table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     parts = written(pieces(docs, capacity, path), "pieces")
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
-    fills, _ = plan(counts, capacity)
+    fills, bound = plan(counts, capacity)
     keys, first, repeat, place = [], [], [], []
     rank: dict[int, int] = {}
     sequence = 0
@@ -319,4 +354,4 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
 
     return ranked.select(*names, (F.col("within") + F.col("before")).alias("rank")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    ).withColumns({"sequences": F.lit(sequence).cast("long"), "least_sequences": F.lit(bound).cast("long")})
