@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
 
 FAR = np.float32(np.inf)
 INDEX = ["dim", "shard", "ids", "starts", "vectors", "graph", "entry"]
+#: Vectors of a shard differ in length by less than this power of two.
+BAND = 3
+#: So many shards at most meet a block of queries that was sent once.
+TOGETHER = 16
 
 
 def beam_search(x: np.ndarray, norm: np.ndarray, out: np.ndarray, entry: int, q: np.ndarray, beam: int, hop: int = 4) -> np.ndarray:
@@ -111,7 +115,13 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
 
 
 def raised(v: np.ndarray) -> np.ndarray:
-    """Vectors with one more component, which makes all as long as the longest: then the nearest has the largest inner product."""
+    """Vectors in units of the longest, with one more component, which makes all as long as it: then the nearest has the largest inner product.
+
+    Components are first divided by the largest, so that squares neither overflow nor vanish; as vectors of a
+    shard are of similar length, the added component does not outweigh the others in 32 bits.
+    """
+    v = v / np.abs(v).max()
+    v /= np.sqrt(np.einsum("ij,ij->i", v, v).max())
     norm = np.einsum("ij,ij->i", v, v)
     return np.concatenate((v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]), 1).astype(np.float32)
 
@@ -122,10 +132,26 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long"), v.alias("v")).filter("vec_id is not null and v is not null").filter(fine).withColumn("dim", F.size("v"))
 
 
+def length_band(v: Column) -> Column:
+    """A number for vectors of similar length, by the logarithm of the length."""
+    most = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda s, e: s + (e / most) * (e / most))
+    return F.floor((F.log2(most) + F.log2(squares) / 2) / BAND).cast("int")
+
+
 def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alpha: float) -> tuple[DataFrame, dict[int, int]]:
-    """One row a shard with its different vectors, the ids that have each, and the graph over them."""
-    shards = {r.dim: -(-r["count"] // shard_rows) for r in vectors.groupBy("dim").count().collect()}
-    sizes = vectors.sparkSession.createDataFrame(list(shards.items()), "dim int, shards int")
+    """One row a shard with its different vectors, the ids that have each, and the graph over them; and how many shards vectors of each dimension have.
+
+    Vectors are dealt by length first, then by hash: a dimension has some 700 bands of lengths at most.
+    """
+    vectors = vectors.withColumn("band", length_band(F.col("v")))
+    shards: dict[int, int] = {}
+    dealing = []
+    for r in sorted(vectors.groupBy("dim", "band").count().collect()):
+        n = -(-r["count"] // shard_rows)
+        dealing.append((r.dim, r.band, shards.get(r.dim, 0), n))
+        shards[r.dim] = shards.get(r.dim, 0) + n
+    sizes = vectors.sparkSession.createDataFrame(dealing, "dim int, band int, first int, shards int")
 
     def run(rows: pa.Table) -> pa.Table:
         dim, shard = rows.column("dim")[0].as_py(), rows.column("shard")[0].as_py()
@@ -143,7 +169,7 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alp
         blobs = [pa.array([a.tobytes()], pa.binary()) for a in (ids, np.append(start, len(ids)).astype(np.int64), own, out)]
         return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *blobs, pa.array([entry], pa.int32())], names=INDEX)
 
-    dealt = vectors.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    dealt = vectors.join(F.broadcast(sizes), ["dim", "band"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
     # by number, so that small shards are not put together into a few tasks
     dealt = dealt.repartition(min(10_000, max(1, sum(shards.values()))), "dim", "shard")
     index = dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids binary, starts binary, vectors binary, graph binary, entry int")
@@ -154,9 +180,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
     """(query_id, rank, vec_id, score) of the k nearest of embeddings(vec_id, embedding) that are found for each of queries.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id, and a row's own id
-    is no candidate. All rows are dealt into shards of about shard_rows by their id's hash, so that a
-    frequent vector is spread; a shard's graph holds each different vector once, with all its ids.
-    Queries go in blocks to every shard; the best k of all shards follow from exact scores. Rows whose
+    is no candidate. All rows are dealt into shards of about shard_rows by their length, and those of similar
+    length by their id's hash, so that a frequent vector is spread and 32 bits tell distances apart; a shard's graph holds each different vector once, with all its ids.
+    Queries go in blocks to every shard, and are sent once for up to TOGETHER of them; the best k of all shards follow from exact scores. Rows whose
     vector is null, zero or has a null or non-finite component, or whose vec_id is null, take no part;
     vectors of another length are not compared; repeated rows count once, and of several vectors of one
     query id the smallest is asked; fewer than k candidates give
@@ -164,6 +190,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
     """
     vectors = usable(embeddings)
     index, shards = build_index(vectors, shard_rows, degree, build_beam, alpha)
+    # few shards each have a task of their own
+    together = max(1, min(TOGETHER, sum(shards.values()) // 64))
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = {r.dim: -(-r["count"] // block) for r in asked.groupBy("dim").count().collect()}
     sizes = embeddings.sparkSession.createDataFrame([(d, shards[d], n) for d, n in blocks.items() if d in shards], "dim int, shards int, blocks int")
@@ -172,8 +200,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
         .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
         .groupBy("dim", "block", "shards")
         .agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-        .withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
-        .select("dim", "shard", F.col("q.vec_id").alias("query"), F.flatten("q.v").alias("values"))
+        .withColumn("some", F.explode(F.expr(f"sequence(0, (shards - 1) div {together})")))
+        .select("dim", "some", F.col("q.vec_id").alias("query"), F.flatten("q.v").alias("values"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +229,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = 9
                 best = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(own[j[best]]), pa.array(cand[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
-    n = min(10_000, max(1, sum(shards.values())))
-    met = asked.repartition(n, "dim", "shard").join(index.repartition(n, "dim", "shard"), ["dim", "shard"])
+    n = min(10_000, max(1, sum(shards.values()) // together))
+    index = index.withColumn("some", F.expr(f"shard div {together}"))
+    met = asked.withColumn("some", F.col("some").cast("long")).repartition(n, "dim", "some").join(index.repartition(n, "dim", "some"), ["dim", "some"])
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

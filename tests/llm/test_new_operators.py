@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltstone.llm import repair, resample, suffixdedup
+from siltstone.llm import ann, packing, repair, resample, suffixdedup
 
 # conversation repair
 
@@ -275,3 +275,67 @@ def test_resampling_of_odd_rows(spark):
     got = resample.resample(rows, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(got) == 25 and sorted(r.rank for r in got if r.rank) == [1, 2] and all(r.weight == 0 for r in got if r.doc_id == 3)
     assert resample.resample(rows.limit(0), rows.limit(0).withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+# packing against best fit and first fit
+
+
+def plain_fit(lengths: list[int], capacity: int, best: bool) -> int:
+    rooms: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        fits = [(r if best else 0, k) for k, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize(("n", "low", "high"), [(200, 200, 3000), (400, 300, 2500), (1000, 1000, 2048), (300, 1, 4096), (600, 1, 80)])
+def test_plans_are_never_worse_than_best_fit_and_first_fit(n, low, high):
+    for seed in range(4):
+        lengths = np.random.default_rng(seed).integers(low, high + 1, n).tolist()
+        want = [plain_fit(lengths, 4096, how) for how in (True, False)]
+        counts = dict(Counter(lengths))
+        assert [sum(k for _, k in packing.fitted(counts, 4096, how)) for how in (True, False)] == want
+        found, bound = packing.plan(counts, tries=300)
+        used = Counter()
+        for filling, times in found:
+            assert sum(filling) <= 4096
+            for x in filling:
+                used[x] += times
+        assert used == Counter(lengths) and bound <= sum(k for _, k in found) <= min(want)
+
+
+# neighbours of very uneven lengths
+
+
+def uneven(kind: str, n: int = 3000, dim: int = 12) -> np.ndarray:
+    r = np.random.default_rng(11)
+    v = r.normal(size=(n, dim))
+    if kind == "one":
+        v[17] *= 10_000
+    if kind == "large":
+        v *= 1e20
+    if kind == "huge and tiny":
+        v[::3] *= 1e150
+        v[1::3] *= 1e-150
+    if kind == "six decades":
+        v *= 10 ** r.uniform(-3, 3, n)[:, None]
+    return v
+
+
+@pytest.mark.parametrize("kind", ["even", "one", "large", "huge and tiny", "six decades"])
+def test_recall_at_uneven_lengths(spark, kind):
+    v = uneven(kind)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(rows, rows.filter("vec_id % 30 = 0"), 10, shard_rows=700).collect():
+        assert r.score == pytest.approx(float(v[r.query_id] @ v[r.vec_id]), rel=1e-9, abs=abs(r.score) * 1e-9 + 1e-300)
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, len(v), 30):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:10]) & set(got[q]))
+    assert hit >= 0.9 * 10 * len(range(0, len(v), 30)) and len(got) == 100
