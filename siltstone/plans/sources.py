@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.tables import stored
-from siltstone.operators import repeats
+from siltstone.operators import environment, repeats
 from siltstone.plans.catalogue import query
 from siltstone.session import new_path, table
-from siltstone.sources import code
+from siltstone.sources import code, manifests
 from siltstone.streaming import scans
 
 
@@ -108,3 +108,98 @@ def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
         rows.write.mode("append").parquet(f"{at}/in")
         scans.scan(spark, f"{at}/in", "path string, language string, text string, seq int, deleted boolean", f"{at}/out", f"{at}/state")
     return scans.current(spark, f"{at}/out").select("path", "seq", "analysed", "functions", "code")
+
+
+def project_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(project, path, text): the settings and task files of a small project for each supplier."""
+    s = F.col("s_suppkey")
+    put = lambda path, text, when=None: (path, filled(F.lit(text), a=s % 8 + 14, b=s % 6 + 12, c=s % 6 + 18, d=s % 5 + 11, e=s % 4 + 8, f=s % 3 + 9), F.lit(True) if when is None else when)
+    files = [
+        put(".nvmrc", "# node\nv<a>\n"), put("package.json", '{"engines": {"node": ">=<b> <<c>", "vscode": "1"}, "packageManager": "pnpm@8.<d>.0+sha", "scripts": {"test": "x", "lint:fix": "y", "odd": "z"}}'),
+        put("deploy/docker-compose.yml", "services:\n  db:\n    image: postgres:<d>-alpine\n  web:\n    image: own/web:1\n", s % 2 == 0), put(".tool-versions", "# tools\npython 3.<e>\ngolang 1.2<f>\n", s % 3 == 0),
+        put("runtime.txt", "python-3.<f>\n"), put("Makefile", "X := 1\n.PHONY: all\nbuild out: deps \\\n  gen | dirs\n\tcc\ntest:\n\t./t\n%.o: %.c\nodd:\n"),
+        put("Cargo.toml", "[package]\nname = 'x'\n[[bin]]\n", s % 3 == 1), put("sub/Taskfile.yml", "version: '3'\ntasks:\n  build:\n    deps: [gen]\n  check-format: {}\n  odd:\n", s % 5 == 0),
+        put("sub/deeper/pyproject.toml", "[tool.poetry]\n[tool.pytest]\n", s % 4 == 0), put("pnpm-lock.yaml", "packages:\n", s % 2 == 1), put("global.json", "{broken", s % 7 == 0),
+        put("node_modules/x/package.json", '{"scripts": {"build": "no"}}'),
+    ]
+    rows = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(path).alias("path"), text.alias("text"))) for path, text, when in files)))
+    return table(spark, sf, "supplier").select(s.cast("string").alias("project"), F.inline(rows))
+
+
+_NEEDS = """
+s AS (SELECT CAST(s_suppkey AS VARCHAR) AS project, s_suppkey AS s, s_suppkey % 8 + 14 AS a, s_suppkey % 6 + 12 AS b, s_suppkey % 6 + 18 AS c, s_suppkey % 5 + 11 AS d, s_suppkey % 4 + 8 AS e, s_suppkey % 3 + 9 AS f FROM supplier)
+"""
+
+
+@query(f"""WITH {_NEEDS}
+SELECT project, 'runtime' AS kind, 'Node.js' AS name, CAST(a AS VARCHAR) AS version, '.nvmrc' AS source, CAST(NULL AS VARCHAR) AS problem FROM s
+UNION ALL SELECT project, 'runtime', 'Node.js', '>=' || b || ' <' || c, 'package.json', NULL FROM s UNION ALL SELECT project, 'package-manager', 'pnpm', '8.' || d || '.0', 'package.json', NULL FROM s
+UNION ALL SELECT project, 'service', 'PostgreSQL', d || '-alpine', 'deploy/docker-compose.yml', NULL FROM s WHERE s % 2 = 0 UNION ALL SELECT project, 'container', 'Docker', NULL, 'deploy/docker-compose.yml', NULL FROM s WHERE s % 2 = 0
+UNION ALL SELECT project, 'runtime', 'Python', '3.' || e, '.tool-versions', NULL FROM s WHERE s % 3 = 0 UNION ALL SELECT project, 'toolchain', 'Go', '1.2' || f, '.tool-versions', NULL FROM s WHERE s % 3 = 0
+UNION ALL SELECT project, 'runtime', 'Python', '3.' || f, 'runtime.txt', NULL FROM s
+UNION ALL SELECT project, NULL, NULL, NULL, 'global.json', 'Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' FROM s WHERE s % 7 = 0""")
+def environment_requirements(spark: SparkSession, sf: str) -> DataFrame:
+    return environment.requirements(project_texts(spark, sf))
+
+
+@query(f"""WITH {_NEEDS}
+SELECT project, 'Node.js' AS name, greatest(a, b) || '.0' AS low, least(a + 1, c) || '.0' AS high, 2 AS sources, greatest(a, b) >= least(a + 1, c) AS conflict FROM s
+UNION ALL SELECT project, 'pnpm', '8.' || d, '8.' || d, 1, false FROM s UNION ALL SELECT project, 'Go', '1.2' || f, '1.' || CASE f WHEN 9 THEN '30' ELSE '2' || (f + 1) END, 1, false FROM s WHERE s % 3 = 0 AND f < 10
+UNION ALL SELECT project, 'Go', '1.2' || f, '1.2' || (f + 1), 1, false FROM s WHERE s % 3 = 0 AND f >= 10
+UNION ALL SELECT project, 'Python', '3.' || CASE WHEN s % 3 = 0 THEN greatest(e, f) ELSE f END, '3.' || (CASE WHEN s % 3 = 0 THEN least(e, f) ELSE f END + 1), CASE WHEN s % 3 = 0 THEN 2 ELSE 1 END, s % 3 = 0 AND e <> f FROM s""")
+def environment_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of all sources of a tool together, by their first two numbers."""
+    short = lambda c: F.concat_ws(".", F.slice(c, 1, 2).cast("array<string>"))
+    return environment.conflicts(environment.requirements(project_texts(spark, sf))).select("project", "name", short("low").alias("low"), short("high").alias("high"), "sources", "conflict")
+
+
+@query(f"""WITH {_NEEDS}
+SELECT project, CASE WHEN s % 2 = 1 THEN 'pnpm' ELSE 'npm' END || ' install' AS command, 'install' AS purpose, '' AS folder, 'package.json (package manager)' AS source, '' AS needs FROM s
+UNION ALL SELECT project, CASE WHEN s % 2 = 1 THEN 'pnpm run test' ELSE 'npm test' END, 'test', '', 'package.json scripts.test', '' FROM s
+UNION ALL SELECT project, CASE WHEN s % 2 = 1 THEN 'pnpm' ELSE 'npm' END || ' run lint:fix', 'lint', '', 'package.json scripts.lint:fix', '' FROM s
+UNION ALL SELECT project, 'make build', 'build', '', 'Makefile build', 'deps,gen,dirs' FROM s UNION ALL SELECT project, 'make test', 'test', '', 'Makefile test', '' FROM s
+UNION ALL SELECT project, unnest(['cargo build', 'cargo test', 'cargo clippy --all-targets', 'cargo fmt --check', 'cargo run']), unnest(['build', 'test', 'lint', 'format', 'run']), '', 'Cargo.toml', '' FROM s WHERE s % 3 = 1
+UNION ALL SELECT project, 'task build', 'build', 'sub', 'sub/Taskfile.yml build', 'gen' FROM s WHERE s % 5 = 0 UNION ALL SELECT project, 'task check-format', 'format', 'sub', 'sub/Taskfile.yml check-format', '' FROM s WHERE s % 5 = 0
+UNION ALL SELECT project, unnest(['poetry install', 'poetry run pytest']), unnest(['install', 'test']), 'sub/deeper', 'sub/deeper/pyproject.toml', '' FROM s WHERE s % 4 = 0
+UNION ALL SELECT project, 'docker compose up', 'run', 'deploy', 'deploy/docker-compose.yml', '' FROM s WHERE s % 2 = 0""")
+def project_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return environment.commands(project_texts(spark, sf)).withColumn("needs", F.concat_ws(",", "needs"))
+
+
+def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, text): a lock file for each order and a workflow for each customer, in YAML; some cannot be read."""
+    k, c = F.col("l_orderkey"), F.col("c_custkey")
+    form = k % 4
+    entry = F.when(form == 0, filled(F.lit("  /@s<s>/p<p>@<n>.<q>.0(x@1):\n    resolution: {integrity: 'a=='} # c\n"), s=F.col("l_suppkey"), p=F.col("l_partkey"), n=F.col("l_linenumber"), q=F.col("l_quantity").cast("int")))
+    entry = entry.when(form == 1, filled(F.lit("  p<p>l<n>s<s>q<q>:\n    dependency: \"direct main\"\n    version: \"<n>.<q>.0\"\n"), s=F.col("l_suppkey"), p=F.col("l_partkey"), n=F.col("l_linenumber"), q=F.col("l_quantity").cast("int")))
+    entry = entry.when(form == 2, filled(F.lit("\"p<p>@^1\", \"p<p>@~<n>\":\n  version \"<n>.<q>.0\"\n  dependencies:\n    x \"1\"\n\n"), p=F.col("l_partkey"), n=F.col("l_linenumber"), q=F.col("l_quantity").cast("int")))
+    entry = entry.otherwise(filled(F.lit("  p<p>: [<n>\n"), p=F.col("l_partkey"), n=F.col("l_linenumber")))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", entry.alias("entry")).alias("e"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["entry"]), "")
+    head = F.when(form == 2, "# yarn lockfile v1\n\n").otherwise("lockfileVersion: '6.0'\n\npackages:\n")
+    name = F.element_at(F.array(*map(F.lit, ("pnpm-lock.yaml", "pubspec.lock", "yarn.lock", "pnpm-lock.yaml"))), (form + 1).cast("int"))
+    locks = rows.groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("o"), k.cast("string"), F.lit("/"), name).alias("path"), F.concat(head, "body").alias("text"))
+    flow = "name: ci <c>\non:\n  push:\n    branches: [main]\njobs:\n  build:\n    runs-on: ubuntu-<n>\n    steps:\n      - uses: actions/checkout@v<n>\n      - name: 'Test: <c>'\n        run: |\n          make test\n          echo <c>\n  last:\n    needs: [build]\n    uses: own/flow@v1\n"
+    text = F.when(c % 9 == 0, F.lit("jobs:\n\tbad: 1\n")).otherwise(filled(F.lit(flow), c=c, n=F.col("c_nationkey")))
+    flows = table(spark, sf, "customer").select(F.concat(F.lit("c"), c.cast("string"), F.lit("/.github/workflows/ci.yml")).alias("path"), text.alias("text"))
+    return locks.union(flows)
+
+
+@query("""SELECT 'o' || l_orderkey || '/' || CASE l_orderkey % 4 WHEN 1 THEN 'pubspec.lock' WHEN 2 THEN 'yarn.lock' ELSE 'pnpm-lock.yaml' END AS manifest, CASE WHEN l_orderkey % 4 = 1 THEN 'pub' ELSE 'npm' END AS ecosystem,
+  CASE l_orderkey % 4 WHEN 0 THEN '@s' || l_suppkey || '/p' || l_partkey WHEN 1 THEN 'p' || l_partkey || 'l' || l_linenumber || 's' || l_suppkey || 'q' || CAST(floor(l_quantity) AS BIGINT) ELSE 'p' || l_partkey END AS name,
+  l_linenumber || '.' || CAST(floor(l_quantity) AS BIGINT) || '.0' AS requirement, 'locked' AS scope, false AS refused
+FROM lineitem WHERE l_orderkey % 4 <> 3
+UNION ALL SELECT DISTINCT 'o' || l_orderkey || '/pnpm-lock.yaml', 'npm', NULL, NULL, NULL, true FROM lineitem WHERE l_orderkey % 4 = 3""")
+def lock_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Packages of lock files in YAML and its like; a broken file is a row that says so."""
+    found = manifests.declarations(manifest_texts(spark, sf).filter("path not like '%.yml'"))
+    return found.withColumn("refused", F.col("problem").isNotNull()).drop("problem")
+
+
+@query("""WITH c AS (SELECT c_custkey AS c, 'c' || c_custkey || '/.github/workflows/ci.yml' AS path, c_nationkey AS n FROM customer)
+SELECT path, 'ci ' || c AS workflow, 'build' AS job, 'ubuntu-' || n AS runs_on, '' AS needs, 1 AS step, CAST(NULL AS VARCHAR) AS name, 'actions/checkout@v' || n AS uses, CAST(NULL AS VARCHAR) AS run, CAST(NULL AS VARCHAR) AS problem FROM c WHERE c % 9 <> 0
+UNION ALL SELECT path, 'ci ' || c, 'build', 'ubuntu-' || n, '', 2, 'Test: ' || c, NULL, 'make test' || chr(10) || 'echo ' || c || chr(10), NULL FROM c WHERE c % 9 <> 0
+UNION ALL SELECT path, 'ci ' || c, 'last', NULL, 'build', 1, NULL, 'own/flow@v1', NULL, NULL FROM c WHERE c % 9 <> 0
+UNION ALL SELECT path, NULL, NULL, NULL, '', NULL, NULL, NULL, NULL, 'line 2: a tab indents' FROM c WHERE c % 9 = 0""")
+def workflow_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return manifests.workflow_steps(manifest_texts(spark, sf)).withColumn("needs", F.concat_ws(",", "needs"))

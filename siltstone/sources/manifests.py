@@ -8,8 +8,11 @@ import tomllib
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.sources import yaml
 
 Row = tuple[str, str | None, str]  # name, requirement, scope
 
@@ -128,14 +131,41 @@ def composer(text: str) -> Iterator[Row]:
 
 
 def pubspec(text: str) -> Iterator[Row]:
-    scope = None
-    for line in text.splitlines():
-        if m := re.match(r"^(dependencies|dev_dependencies):", line):
-            scope = "runtime" if m[1] == "dependencies" else "development"
-        elif re.match(r"^\S", line):
-            scope = None
-        elif scope and (m := re.match(r"^  ([A-Za-z0-9_]+):\s*(\S+)?\s*$", line)):
-            yield m[1], m[2], scope
+    doc = yaml.load(text)
+    if not isinstance(doc, dict):
+        raise ValueError("pubspec.yaml is not a mapping")
+    for key, scope in (("dependencies", "runtime"), ("dev_dependencies", "development")):
+        for name, spec in (doc.get(key) or {}).items():
+            yield name, spec if isinstance(spec, str) else (spec or {}).get("version"), scope
+
+
+def pubspec_lock(text: str) -> Iterator[Row]:
+    for name, entry in ((yaml.load(text) or {}).get("packages") or {}).items():
+        if (entry or {}).get("version"):
+            yield name, entry["version"], "locked"
+
+
+def pnpm_lock(text: str) -> Iterator[Row]:
+    """Keys such as /name@1.0.0(peer@2), name@1.0.0 and, of old files, /name/1.0.0."""
+    for key in (yaml.load(text) or {}).get("packages") or {}:
+        key = key.lstrip("/").partition("(")[0]
+        name, sign, version = key.rpartition("@")
+        if not name:
+            name, sign, version = key.rpartition("/")
+        if name and version:
+            yield name, version, "locked"
+
+
+def yarn_lock(text: str) -> Iterator[Row]:
+    """Entries of either form: a line of specifiers that ends with a colon, then a version."""
+    name = None
+    for line in text.split("\n"):
+        if line.rstrip().endswith(":") and not line.startswith((" ", "#")):
+            name = line.rstrip()[:-1].split(", ")[0].strip('"').rpartition("@")[0] or None
+        elif name and (m := re.match(r"\s+version:?\s+\"?([^\"\s]+)", line)):
+            if name != "__metadata":
+                yield re.sub(r"@(npm|workspace|patch)$", "", name), m[1], "locked"
+            name = None
 
 
 def swift(text: str) -> Iterator[Row]:
@@ -150,24 +180,63 @@ PROVIDERS: tuple[tuple[str, str, Callable[[str], Iterator[Row]], bool], ...] = (
     ("pypi", r"^pyproject\.toml$", pyproject, False), ("pypi", r"^requirements.*\.txt$", requirements, False),
     ("go", r"^go\.mod$", go_mod, False), ("maven", r"^pom\.xml$", pom, False), ("gradle", r"^build\.gradle(\.kts)?$", gradle, False),
     ("nuget", r"\.(cs|fs|vb)proj$", csproj, False), ("rubygems", r"^Gemfile$", gemfile, False), ("composer", r"^composer\.json$", composer, False),
-    ("pub", r"^pubspec\.yaml$", pubspec, False), ("swiftpm", r"^Package\.swift$", swift, False),
+    ("pub", r"^pubspec\.yaml$", pubspec, False), ("pub", r"^pubspec\.lock$", pubspec_lock, True), ("npm", r"^pnpm-lock\.yaml$", pnpm_lock, True), ("npm", r"^yarn\.lock$", yarn_lock, True), ("swiftpm", r"^Package\.swift$", swift, False),
 )
 
 
 def declarations(files: DataFrame) -> DataFrame:
     """(manifest, ecosystem, name, requirement, scope, problem) of files(path, text): one row a dependency, or the problem of a file that cannot be read."""
     names = [re.compile(p) for _, p, _, _ in PROVIDERS]
+    schema = "manifest string, ecosystem string, name string, requirement string, scope string, problem string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, text in zip(f["path"], f["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for (ecosystem, _, parser, _), name in zip(PROVIDERS, names, strict=True):
-                    if name.search(path.rpartition("/")[2]):
+                    if name.search((path or "").rpartition("/")[2]):
                         try:
-                            rows += [(path, ecosystem, n, r, s, None) for n, r, s in parser(text or "")]
+                            rows += [(path, ecosystem, n, r, s, None) for n, r, s in parser(text.as_py() or "")]
                         except (ValueError, KeyError, AttributeError, TypeError, ET.ParseError) as e:
                             rows.append((path, ecosystem, None, None, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["manifest", "ecosystem", "name", "requirement", "scope", "problem"])
-
-    return files.select("path", "text").mapInPandas(run, "manifest string, ecosystem string, name string, requirement string, scope string, problem string")
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+WORKFLOW = r"(?i)(^|/)\.github/workflows/[^/]*\.ya?ml$"
+
+
+def workflow_steps(files: DataFrame) -> DataFrame:
+    """(path, workflow, job, runs_on, needs, step, name, uses, run, problem) of workflow files(path, text): a row a step, jobs that call another workflow one of their own.
+
+    step counts from 1 within its job. A file that cannot be read is a row with its problem alone.
+    """
+    schema = "path string, workflow string, job string, runs_on string, needs array<string>, step int, name string, uses string, run string, problem string"
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.int32()] + [pa.string()] * 4
+    several = lambda x: [] if x is None else [str(v) for v in x] if isinstance(x, list) else [str(x)]
+
+    def steps(path: str, text: str) -> Iterator[tuple]:
+        doc = yaml.load(text)
+        if not isinstance(doc, dict):
+            raise ValueError("no mapping")
+        for name, job in (doc.get("jobs") or {}).items():
+            head = (path, doc.get("name"), name, ",".join(several(job.get("runs-on"))) or None, several(job.get("needs")))
+            if job.get("uses"):
+                yield *head, 1, None, job["uses"], None, None
+            for k, step in enumerate(job.get("steps") or [], 1):
+                yield *head, k, step.get("name"), step.get("uses"), step.get("run"), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += list(steps(path, text or ""))
+                except (ValueError, AttributeError, TypeError) as e:
+                    rows.append((path, *[None] * 8, str(e)[:200]))
+            columns = zip(*rows, strict=True) if rows else [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    return files.filter(F.col("path").rlike(WORKFLOW)).select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
