@@ -102,32 +102,40 @@ def offsets(width: int) -> list[int]:
     return [*range(0, width - 8, 8), width - 8]
 
 
-def fold_hot(block: Block, start: np.ndarray, count: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, piece, key, known) of suffixes whose tokens are all hot: ranged by all their bytes, equal ones known but for the earliest.
+def folded(block: Block, key: np.ndarray, start: np.ndarray, count: np.ndarray, piece: np.ndarray, step: int = 1 << 19) -> tuple[np.ndarray, ...]:
+    """(start, count, piece, key, known) of suffixes in a row of which many are equal, in place of (start, count, piece).
 
-    However often such a suffix stands in a block, its range gets one text of it.
+    Of equal suffixes among a step of them all but the earliest are known to be repeats and need no text. Those
+    whose tokens are all hot are ranged by all their bytes instead, so that however often one stands in a block,
+    its range gets one text of it a step.
     """
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    piece = np.repeat(piece, count)
+    every = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    pieces = np.repeat(piece, count)
     word = np.ndarray((len(block.raw) - 8,), "<u8", block.raw, strides=(1,))
-    key = np.zeros(len(at), np.uint64)
-    for k in offsets(block.width):
-        key = (key ^ word[at + k]) * MIX[0]
-        key ^= key >> np.uint64(31)
-    key |= TOP
-    none, ids, hashes, begin = (x[piece] for x in block.docs)
-    place = begin + at - block.first[piece]
-    order = np.lexsort((place, hashes, ids, none, key))
-    head = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
-    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    same = same_texts(block.raw, at[order], at[lead], block.width)
-    moved = (place[order] != place[lead]) | (hashes[order] != hashes[lead]) | (ids[order] != ids[lead]) | (none[order] != none[lead])
-    known = np.zeros(len(at), bool)
-    known[order] = same & moved
-    again = np.zeros(len(at), bool)
-    again[order] = same & ~moved & ~head  # the same place of a repeated row
-    left = ~again
-    return at[left], piece[left], key[left], known[left]
+    out = []
+    for a in range(0, len(every), step):
+        at, of = every[a : a + step], pieces[a : a + step]
+        mark = np.zeros(len(at), np.uint64)
+        for k in offsets(block.width):
+            mark = (mark ^ word[at + k]) * MIX[0]
+            mark ^= mark >> np.uint64(31)
+        none, ids, hashes, begin = (x[of] for x in block.docs)
+        place = begin + at - block.first[of]
+        order = np.lexsort((place, hashes, ids, none, mark))
+        head = np.concatenate(([True], mark[order[1:]] != mark[order[:-1]]))
+        lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        same = same_texts(block.raw, at[order], at[lead], block.width)
+        moved = (place[order] != place[lead]) | (hashes[order] != hashes[lead]) | (ids[order] != ids[lead]) | (none[order] != none[lead])
+        known, left = np.zeros(len(at), bool), np.ones(len(at), bool)
+        known[order] = same & moved
+        left[order] = ~same | moved | head  # not the same place of a repeated row
+        own = key[at]
+        own = np.where(own >= TOP, mark | TOP, own)
+        at, of, own, known = at[left], of[left], own[left], known[left]
+        new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | (known[1:] != known[:-1]) | ~known[1:] & (own[1:] != own[:-1])))
+        first = np.flatnonzero(new[: len(at)])
+        out.append((at[first], np.diff(first, append=len(at)), of[first], own[first], known[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def records(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[Block]:
@@ -169,16 +177,11 @@ def ranged(docs: DataFrame, width: int, splitters: np.ndarray, parts: int, hot:
             key = block.keys(hot)
             start, count, piece = block.runs(key)
             of, known = key[start], np.zeros(len(start), bool)
-            heated = of >= TOP
-            if heated.any():
-                at, at_piece, at_key, at_known = fold_hot(block, start[heated], count[heated], piece[heated])
-                # known suffixes in a row are one record
-                new = ~at_known | np.concatenate(([True], (at[1:] != at[:-1] + 1) | (at_piece[1:] != at_piece[:-1]) | ~at_known[:-1]))
-                first = np.flatnonzero(new)
-                runs = np.diff(first, append=len(at))
-                keep = ~heated
-                start, count, piece = np.concatenate((start[keep], at[first])), np.concatenate((count[keep], runs)), np.concatenate((piece[keep], at_piece[first]))
-                of, known = np.concatenate((of[keep], at_key[first])), np.concatenate((known[keep], at_known[first]))
+            # a token that stays the least for so long stands there again and again, as in runs and periods
+            many = (of >= TOP) | (count > 4 * width)
+            if many.any():
+                more = folded(block, key, start[many], count[many], piece[many])
+                start, count, piece, of, known = (np.concatenate((x[~many], y)) for x, y in zip((start, count, piece, of, known), more, strict=True))
             cell = cells(of)
             order = np.argsort(cell, kind="stable")
             start, count, piece, known, cell = start[order], count[order], piece[order], known[order], cell[order]
@@ -366,15 +369,18 @@ def sampled(docs: DataFrame, width: int, suffixes: int, cells: int, size: int) -
             key = block.keys(hot)
             start, count, _ = block.runs(key)
             above = key[start] >= TOP
-            yield pa.RecordBatch.from_arrays([pa.array([key[start[~above]].tobytes()], pa.binary()), pa.array([int(count[above].sum())]), pa.array([int(count.sum())])], ["keys", "above", "all"])
+            blobs = (key[start[~above]].tobytes(), count[~above].tobytes())
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in blobs), pa.array([int(count[above].sum())]), pa.array([int(count.sum())])], ["keys", "counts", "above", "all"])
 
-    rows = part.mapInArrow(run, "keys binary, above long, all long").collect()
+    rows = part.mapInArrow(run, "keys binary, counts binary, above long, all long").collect()
     discard(part)
-    key = np.sort(np.frombuffer(b"".join(r.keys for r in rows), np.uint64))
+    key, count = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64), np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    order = np.argsort(key)
+    key, reached = key[order], np.cumsum(count[order])
     # suffixes of hot tokens alone lie above TOP, evenly by their bytes, and each brings a text of its own
     alone = sum(r.above for r in rows) / max(1, sum(r.all for r in rows))
     above = 1 + int(cells * alone * (width - TOKEN) / 2)
-    borders = key[np.linspace(0, len(key), cells + 1)[1:-1].astype(np.int64)] if len(key) else key
+    borders = key[np.searchsorted(reached, np.linspace(0, reached[-1], cells + 1)[1:-1])] if len(key) else key
     top = TOP + np.arange(above, dtype=np.uint64) * np.uint64((1 << 63) // above)
     return np.unique(np.concatenate((borders, top))), hot
 

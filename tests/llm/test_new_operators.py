@@ -339,3 +339,18 @@ def test_recall_at_uneven_lengths(spark, kind):
         s[q] = -np.inf
         hit += len(set(np.argsort(-s)[:10]) & set(got[q]))
     assert hit >= 0.9 * 10 * len(range(0, len(v), 30)) and len(got) == 100
+
+
+def test_suffix_dedup_of_runs_and_periods(spark):
+    """Texts of one letter, of a period and of lines with one beginning, alone and within prose: few texts stand for them."""
+    r = random.Random(4)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    texts = ["z" * 5000, "z" * 3000 + prose(300), prose(200) + "xyz" * 900, "xyz" * 2000, "".join(f"the same head {k:05d}\n" for k in range(300)), "".join(f"the same head {k:05d}\n" for k in range(150, 400)), prose(4000)]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for size in (1 << 20, 1000):
+        got = suffixdedup.digests(suffixdedup.remove_repeats(rows, cell=5000, size=size)).collect()
+        assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == plain_cut([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    raw = rows.selectExpr("doc_id as id", "0L as hash", "cast(text as binary) as text")
+    none = np.empty(0, np.uint64)
+    head, sent = suffixdedup.opened(pa.Table.from_pandas(suffixdedup.ranged(raw, 100, none, 1, none, 1 << 20).toPandas()), 100)
+    assert sum(map(len, sent)) < 8 * 15_000 and head["count"][head["known"] == 1].sum() > 15_000
