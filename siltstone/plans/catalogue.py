@@ -323,4 +323,4 @@ def maintainability(spark: SparkSession, sf: str) -> DataFrame:
     return quality.maintainability(files, functions(spark, sf), large=40)
 
 
-from siltstone.plans import more, sources, third  # noqa: E402, F401  registers the rest
+from siltstone.plans import more, sources, stored, third  # noqa: E402, F401  registers the rest

@@ -103,9 +103,12 @@ def archives(files: DataFrame, most_files: int = 100_000, most_bytes: int = 1 <<
 MAJOR = 1
 
 
-def artifacts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stored JSON artifacts of this major version; newer minor ones are read, unknown fields ignored, others left out."""
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path)
+def artifacts(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Stored JSON artifacts of this major version; newer minor ones are read, unknown fields ignored, others left out.
+
+    A file is one document, or with lines one a line, as sinks.write_artifact writes them.
+    """
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", str(not lines).lower()).json(path)
     return raw.filter(F.split_part("schema_version", F.lit("."), F.lit(1)).try_cast("int") == MAJOR)
 
 

@@ -68,11 +68,16 @@ def sarif(findings: DataFrame, tool: str, version: str, most: int = 25_000) -> D
     return results.crossJoin(total).select(F.to_json(document).alias("json"))
 
 
-def json_report(tables: dict[str, DataFrame], most: int = 1_000) -> DataFrame:
-    """(json) of one document with the first `most` rows of each table, in the order they are given, and how many there are in all."""
+def json_report(tables: dict[str, DataFrame], most: int = 1_000, order: dict[str, list[Column | str]] | None = None) -> DataFrame:
+    """(json) of one document with the first `most` rows of each table and how many there are in all.
+
+    Rows come in the order that is given for their table, then in that of their texts, so that reruns agree.
+    """
     out = None
     for name, df in tables.items():
-        rows = df.limit(most).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+        by = [*(order or {}).get(name, []), F.to_json(F.struct(*df.columns))]
+        top = df.orderBy(*by).limit(most).select(F.row_number().over(Window.orderBy(*by)).alias("k"), F.struct(*df.columns).alias("row"))
+        rows = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]).alias("rows"))
         one = rows.crossJoin(df.agg(F.count("*").alias("total"))).select(F.struct("total", "rows").alias(name))
         out = one if out is None else out.crossJoin(one)
     if out is None:
