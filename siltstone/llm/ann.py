@@ -133,10 +133,15 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def length_band(v: Column) -> Column:
-    """A number for vectors of similar length, by the logarithm of the length."""
+    """A number for vectors of similar length, by the logarithm of the length; those of about length 1 share one.
+
+    Only where squares leave the range of doubles are components divided by the largest first.
+    """
+    plain = F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)
     most = F.array_max(F.transform(v, F.abs))
-    squares = F.aggregate(v, F.lit(0.0), lambda s, e: s + (e / most) * (e / most))
-    return F.floor((F.log2(most) + F.log2(squares) / 2) / BAND).cast("int")
+    scaled = F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda s, e: s + (e / most) * (e / most))) / 2
+    length = F.when((plain > 1e-250) & (plain < 1e250), F.log2(plain) / 2).otherwise(scaled)
+    return F.floor(length / BAND + 0.5).cast("int")
 
 
 def build_index(vectors: DataFrame, shard_rows: int, degree: int, beam: int, alpha: float) -> tuple[DataFrame, dict[int, int]]:
