@@ -48,6 +48,7 @@ QUALITY = (
 )
 ARCHITECTURE = (
     FindingRule("architecture.module-cycle", "architecture", "warning", "medium", "cycles", "size > 1", "cycle", "concat(CAST(size AS STRING), ' modules depend on each other')", ("size DESC", "cycle"), "size", cap=1_000),
+    FindingRule("architecture.file-cycle", "architecture", "attention", "medium", "file_cycles", "size > 1", "array_join(members, ',')", "CASE WHEN size = 2 THEN concat('Import cycle between ', regexp_extract(members[0], '[^/]*$', 0), ' and ', regexp_extract(members[1], '[^/]*$', 0)) ELSE concat('Import cycle between ', CAST(size AS STRING), ' files') END", ("size DESC", "array_join(members, ',')"), "size", path="members[0]"),
     FindingRule("architecture.concentration", "architecture", "attention", "high", "modules", "modules >= 4 AND place = 1 AND code >= 0.5 * total_code", "module", f"concat(module, ' holds ', {share('code / total_code')}, '% of the code')", ("code DESC", "module"), "code / total_code", 0.5, "module", 1),
     FindingRule("architecture.centrality", "architecture", "info", "medium", "modules", "modules >= 4 AND centrality >= 0.3", "module", "concat(module, ' connects many parts of the system')", ("module",), "centrality", 0.3, "module", 1_000),
     FindingRule("architecture.isolated-module", "architecture", "info", "low", "modules", "modules >= 3 AND fan_in = 0 AND fan_out = 0 AND NOT consumer", "module", "concat(module, ' has no detected links to other modules')", ("module",), path="module", cap=10),
@@ -76,11 +77,18 @@ PROJECT = (
 HISTORY = (
     FindingRule("activity.high-churn-area", "activity", "info", "high", "areas", "recent_changes >= 10 AND active_areas >= 2 AND share >= 0.3 AND NOT is_parent", "area", f"concat({share('share')}, '% of recent changes are in ', CASE WHEN area = '(root)' THEN 'files at the repository root' ELSE concat(area, '/') END)", ("share DESC", "area"), "share", 0.3, "CASE WHEN area = '(root)' THEN NULL ELSE area END", 3),
     FindingRule("contributors.concentration", "contributors", "info", "high", "ownership", "commits >= 20 AND top_share >= 0.75", "'repository'", f"CASE WHEN contributors <= 1 THEN 'All commits come from one contributor identity' ELSE concat({share('top_share')}, '% of commits come from one contributor identity') END", (), "top_share", 0.75),
+    FindingRule("activity.hotspot", "activity", "attention", "medium", "hotspots", "candidates >= 10 AND score >= 0.6", "path", "concat(path, ' is a change hotspot (rank ', CAST(rank AS STRING), ')')", ("rank",), "score", 0.6, "path", 5),
+    FindingRule("evolution.new-module", "evolution", "info", "high", "ages", "class = 'new'", "module", "concat(module, ' is a new module')", ("module",), path="module", cap=5),
     FindingRule("evolution.dormant-period", "activity", "info", "high", "pauses", "days >= 180", "CAST(start AS STRING)", "concat('No commits for ', CAST(days AS STRING), ' days')", ("days DESC", "start"), "days", 180, cap=5),
     FindingRule("evolution.abandoned-area", "maintainability", "info", "medium", "abandoned", "days >= 365", "area", "concat(area, ' has not changed in ', CAST(days AS STRING), ' days')", ("days DESC", "area"), "days", 365, "area", 5),
 )
+_BYTES = "CASE WHEN bytes < 1024 THEN concat(CAST(bytes AS STRING), ' bytes') WHEN bytes < 1048576 THEN concat(format_number(bytes / 1024, '0.0'), ' KiB') WHEN bytes < 1073741824 THEN concat(format_number(bytes / 1048576, '0.0'), ' MiB') ELSE concat(format_number(bytes / 1073741824, '0.0'), ' GiB') END"
+STRUCTURE = (
+    FindingRule("structure.large-binary", "structure", "info", "high", "files", "is_binary AND bytes >= 5242880", "path", f"concat(path, ' is a ', {_BYTES}, ' binary file')", ("bytes DESC", "path"), "bytes", 5242880, "path", 20),
+)
 SECURITY = (
     FindingRule("security.secret-candidate", "security", "high", "medium", "secrets", "NOT sample", "concat(path, ':', CAST(line AS STRING))", "concat('Possible secret in ', path)", ("path", "line"), path="path", cap=50),
+    FindingRule("security.permission", "security", "attention", "high", "permissions", "path IS NOT NULL", "path", "concat(path, ' has mode ', mode)", ("path",), path="path", cap=50),
     FindingRule("security.pattern", "security", "warning", "medium", "hits", "confidence = 'high'", "concat(rule, '|', path, ':', CAST(line AS STRING))", "concat(rule, ' in ', path)", ("rule", "path", "line"), path="path", cap=50),
     FindingRule("security.pattern-review", "security", "attention", "low", "hits", "confidence <> 'high'", "concat(rule, '|', path, ':', CAST(line AS STRING))", "concat(rule, ' in ', path)", ("rule", "path", "line"), path="path", cap=50),
 )

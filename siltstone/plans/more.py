@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as X
 from siltstone.operators import diffs, findings, graph, history, ranking, repeats, textmine
+from siltstone.plans import expected
 from siltstone.plans.catalogue import R4, commits, query
 from siltstone.session import table
 
@@ -63,15 +64,15 @@ def _scan_sql() -> str:
     lang = " ".join(f"WHEN {k} THEN {text(x)}" for k, (_, x) in enumerate(_PLACES))
     said = " ".join(f"WHEN {k} THEN {text(x)}" for k, x in enumerate(_LINES))
     hits = []
-    for r in textmine.RULES:
-        where = [f"language IN ({', '.join(map(text, r.languages))})"] if r.languages else []
-        where += ["path LIKE '.github/%'"] * r.workflows + ["path LIKE 'deploy/%'"] * r.containers
-        tests = [any_of(where), any_of([f"contains(low, {text(k)})" for k in r.keywords]), f"regexp_matches(line, {text(r.pattern)})"]
-        tests += [f"NOT regexp_matches(line, {text(r.unless)})"] * bool(r.unless) + [f"contains(html, {text(r.requires)})"] * bool(r.requires)
-        hits.append(f"SELECT path, n, {text(r.id)} AS rule, {text(r.confidence)} AS confidence FROM l WHERE {' AND '.join(tests)}")
-    syntax = " + ".join(f"CAST(contains(line, {text(x)}) AS INTEGER)" for x in textmine.SYNTAX)
+    for rule, confidence, languages, workflows, containers, keywords, pattern, unless, requires in expected.PATTERNS:
+        where = [f"language IN ({', '.join(map(text, languages))})"] if languages else []
+        where += ["path LIKE '.github/%'"] * workflows + ["path LIKE 'deploy/%'"] * containers
+        tests = [any_of(where), any_of([f"contains(low, {text(k)})" for k in keywords]), f"regexp_matches(line, {text(pattern)})"]
+        tests += [f"NOT regexp_matches(line, {text(unless)})"] * bool(unless) + [f"contains(html, {text(requires)})"] * bool(requires)
+        hits.append(f"SELECT path, n, {text(rule)} AS rule, {text(confidence)} AS confidence FROM l WHERE {' AND '.join(tests)}")
+    syntax = " + ".join(f"CAST(contains(line, {text(x)}) AS INTEGER)" for x in expected.PIECES)
     return f"""WITH t AS (SELECT page_id, html || chr(10) || CASE (page_id // 4) % {len(_LINES)} {said} END AS html FROM pages), f AS (SELECT replace(CASE page_id % 4 {place} END, '{{}}', CAST(page_id AS VARCHAR)) AS path, CASE page_id % 4 {lang} END AS language, html, string_split(html, chr(10)) AS x FROM t),
-e AS (SELECT path, language, html, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM f), l AS (SELECT *, lower(line) AS low FROM e WHERE strlen(line) <= {textmine.LONGEST} AND {syntax} < 2),
+e AS (SELECT path, language, html, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM f), l AS (SELECT *, lower(line) AS low FROM e WHERE strlen(line) <= {expected.LONGEST} AND {syntax} < 2),
 h AS ({" UNION ALL ".join(hits)}) SELECT path, CAST(n AS INTEGER) AS line, rule, confidence FROM h"""
 
 

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import facts, profiles
+from siltstone.functions import facts, profiles, tables
 from siltstone.functions import scalars as X
 from siltstone.operators import diffs, fingerprint, graph, history, modules, project, quality, ranking, rules, structure
+from siltstone.plans import expected
 from siltstone.plans.catalogue import R4, orders, query
 from siltstone.session import table
 
 # --- findings --------------------------------------------------------------
 
 
-def findings_sql(tables: dict[str, str], found: tuple[rules.FindingRule, ...]) -> str:
-    """The findings of rules over tables given as SQL: selected, ordered and cut rule by rule."""
+def findings_sql(tables: dict[str, str], prefix: tuple[str, ...]) -> str:
+    """The findings that are expected over tables given as SQL: selected, ordered and cut rule by rule."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    own = lambda x: x.replace("AS STRING)", "AS VARCHAR)")
     parts = []
-    for r in found:
-        if r.table in tables:
-            order = f"ORDER BY {', '.join(map(own, r.order))}" if r.order else ""
-            threshold = "NULL" if r.threshold is None else r.threshold
+    for rule, category, severity, confidence, name, when, subject, title, path, value, threshold, order, cap in expected.FINDINGS:
+        if name in tables and rule.startswith(prefix):
+            threshold = "NULL" if threshold is None else threshold
             parts.append(
-                f"(SELECT {text(r.id)} AS rule, {text(r.category)} AS category, {text(r.severity)} AS severity, {text(r.confidence)} AS confidence, CAST({own(r.subject)} AS VARCHAR) AS subject, {own(r.title)} AS title, CAST({own(r.path)} AS VARCHAR) AS path, "
-                f"CAST({own(r.value)} AS DOUBLE) AS value, CAST({threshold} AS DOUBLE) AS threshold, greatest((SELECT count(*) FROM t_{r.table} WHERE {own(r.when)}) - {r.cap}, 0) AS omitted FROM (SELECT * FROM t_{r.table} WHERE {own(r.when)} {order} LIMIT {r.cap}))"
+                f"(SELECT {text(rule)} AS rule, {text(category)} AS category, {text(severity)} AS severity, {text(confidence)} AS confidence, CAST({subject} AS VARCHAR) AS subject, {title} AS title, CAST({path} AS VARCHAR) AS path, "
+                f"CAST({value} AS DOUBLE) AS value, CAST({threshold} AS DOUBLE) AS threshold, greatest((SELECT count(*) FROM t_{name} WHERE {when}) - {cap}, 0) AS omitted FROM (SELECT * FROM t_{name} WHERE {when} {'ORDER BY ' + order if order else ''} LIMIT {cap}))"
             )
     ctes = ", ".join(f"t_{k} AS ({v})" for k, v in tables.items())
     return f"WITH {ctes}, f AS ({' UNION ALL '.join(parts)}) SELECT substr(sha256(rule || chr(31) || subject), 1, 12) AS id, * FROM f"
@@ -41,7 +40,7 @@ _QUALITY = {
 }
 
 
-@query(findings_sql(_QUALITY, rules.QUALITY))
+@query(findings_sql(_QUALITY, ("quality.",)))
 def quality_findings(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
     li, part, supplier = table(spark, sf, "lineitem"), table(spark, sf, "part"), table(spark, sf, "supplier")
@@ -62,11 +61,12 @@ _ARCHITECTURE = {
     "cycles": "SELECT CAST(n_regionkey AS VARCHAR) AS cycle, count(*) AS size FROM nation GROUP BY n_regionkey",
     "modules": """SELECT n_name AS module, count(*) OVER () AS modules, code, sum(code) OVER () AS total_code, row_number() OVER (ORDER BY code DESC, n_name) AS place, CAST(code / sum(code) OVER () * 8 AS DOUBLE) AS centrality, n_nationkey % 3 AS fan_in, n_nationkey % 2 AS fan_out, n_nationkey % 4 = 0 AS consumer
  FROM (SELECT n_name, n_nationkey, count(c_custkey) AS code FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2)""",
+    "file_cycles": "SELECT list_sort(list('src/' || s_name)) AS members, count(*) AS size FROM supplier GROUP BY s_nationkey, s_suppkey % 20",
     "imports": "SELECT count(*) FILTER (o_orderstatus <> 'O') AS resolved, count(*) FILTER (o_orderstatus = 'O') AS unresolved FROM orders",
 }
 
 
-@query(findings_sql(_ARCHITECTURE, rules.ARCHITECTURE))
+@query(findings_sql(_ARCHITECTURE, ("architecture.",)))
 def architecture_findings(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -81,6 +81,7 @@ def architecture_findings(spark: SparkSession, sf: str) -> DataFrame:
     found = {
         "cycles": graph.cycles(nation.select(F.col("n_name").alias("node"), F.col("n_regionkey").cast("string").alias("component"))).withColumnRenamed("component", "cycle"),
         "modules": modules,
+        "file_cycles": table(spark, sf, "supplier").groupBy("s_nationkey", F.col("s_suppkey") % 20).agg(F.sort_array(F.collect_list(F.concat(F.lit("src/"), "s_name"))).alias("members"), F.count("*").alias("size")),
         "imports": table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus") != "O").alias("resolved"), F.count_if(F.col("o_orderstatus") == "O").alias("unresolved")),
     }
     return rules.apply(found, rules.ARCHITECTURE)
@@ -95,7 +96,7 @@ _DEPENDENCIES = {
 }
 
 
-@query(findings_sql(_DEPENDENCIES, rules.DEPENDENCIES))
+@query(findings_sql(_DEPENDENCIES, ("dependencies.",)))
 def dependency_findings(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -118,7 +119,7 @@ _PROJECT = {
 }
 
 
-@query(findings_sql(_PROJECT, rules.PROJECT))
+@query(findings_sql(_PROJECT, ("tests.", "build.", "docs.")))
 def project_findings(spark: SparkSession, sf: str) -> DataFrame:
     lit = F.lit
     one = table(spark, sf, "part").agg(
@@ -130,19 +131,26 @@ def project_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 _HISTORY = {
     "areas": """SELECT 'area' || user_id % 7 AS area, count(*) AS recent_changes, 7 AS active_areas, CAST(count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) * 3 AS DOUBLE) AS share, user_id % 7 = 0 AS is_parent FROM events GROUP BY user_id % 7""",
+    "abandoned": "SELECT 'a' || o_custkey AS area, CAST(floor((epoch((SELECT max(o_orderdate) FROM orders)) - epoch(max(o_orderdate))) / 86400) AS BIGINT) AS days FROM orders GROUP BY o_custkey",
+    "hotspots": "SELECT 'p' || p_partkey AS path, count(*) OVER () AS candidates, p_size / CAST(50.0 AS DOUBLE) AS score, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part",
+    "ages": "SELECT n_name AS module, CASE n_nationkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' END AS class FROM nation",
     "ownership": "SELECT count(*) AS commits, count(DISTINCT user_id) AS contributors, CAST(0.8 AS DOUBLE) AS top_share FROM events",
     "pauses": """SELECT strftime(start, '%Y-%m-%d') || ' ' || author AS start, days FROM (SELECT o_custkey AS author, o_orderdate AS start, CAST(floor((epoch(lead(o_orderdate) OVER w) - epoch(o_orderdate)) / 86400) AS BIGINT) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE days >= 60 ORDER BY days DESC, start, author LIMIT 50""",
 }
 
 
-@query(findings_sql(_HISTORY, rules.HISTORY))
+@query(findings_sql(_HISTORY, ("activity.", "contributors.", "evolution.")))
 def history_findings(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     n = e.agg(F.count("*").alias("total"))
     areas = e.groupBy((F.col("user_id") % 7).alias("k")).agg(F.count("*").alias("recent_changes")).crossJoin(F.broadcast(n))
-    pauses = history.dormant_periods(orders(spark, sf), by=("author",))
+    o = orders(spark, sf)
+    pauses = history.dormant_periods(o, by=("author",))
     found = {
         "areas": areas.select(F.concat(F.lit("area"), F.col("k").cast("string")).alias("area"), "recent_changes", F.lit(7).alias("active_areas"), (F.col("recent_changes") / F.col("total") * 3).alias("share"), (F.col("k") == 0).alias("is_parent")),
+        "abandoned": o.groupBy("author").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(o.agg(F.max("ts").alias("latest")))).select(F.concat(F.lit("a"), F.col("author").cast("string")).alias("area"), X.days_until(F.col("last"), F.col("latest")).alias("days")),
+        "hotspots": tables.in_order(table(spark, sf, "part"), [F.desc("p_size"), F.asc("p_partkey")], "rank").crossJoin(F.broadcast(table(spark, sf, "part").agg(F.count("*").alias("candidates")))).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), "candidates", (F.col("p_size") / 50.0).alias("score"), "rank"),
+        "ages": table(spark, sf, "nation").select(F.col("n_name").alias("module"), F.when(F.col("n_nationkey") % 3 == 0, "new").when(F.col("n_nationkey") % 3 == 1, "old").alias("class")),
         "ownership": e.agg(F.count("*").alias("commits"), F.count_distinct("user_id").alias("contributors"), F.lit(0.8).alias("top_share")),
         "pauses": pauses.select(F.concat(F.date_format("start", "yyyy-MM-dd"), F.lit(" "), F.col("author").cast("string")).alias("start"), "days"),
     }
@@ -151,21 +159,33 @@ def history_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 _SECURITY = {
     "secrets": "SELECT 'p' || page_id AS path, 1 AS line, page_id % 3 = 0 AS sample FROM pages",
+    "permissions": "SELECT 's' || s_suppkey AS path, '0' || (600 + s_suppkey % 78) AS mode FROM supplier WHERE s_suppkey % 2 = 0",
     "hits": "SELECT 'd' || doc_id AS path, 'r' || doc_id % 4 AS rule, doc_id % 7 AS line, CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE 'low' END AS confidence FROM documents",
 }
 
 
-@query(findings_sql(_SECURITY, rules.SECURITY))
+@query(findings_sql(_SECURITY, ("security.",)))
 def security_findings(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda x, c: F.concat(F.lit(x), c.cast("string"))
     p, d = F.col("page_id"), F.col("doc_id")
     found = {
         "secrets": table(spark, sf, "pages").select(text("p", p).alias("path"), F.lit(1).alias("line"), (p % 3 == 0).alias("sample")),
+        "permissions": table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(text("s", F.col("s_suppkey")).alias("path"), text("0", F.lit(600) + F.col("s_suppkey") % 78).alias("mode")),
         "hits": table(spark, sf, "documents").select(text("d", d).alias("path"), text("r", d % 4).alias("rule"), (d % 7).alias("line"), F.when(d % 5 == 0, "high").otherwise("low").alias("confidence")),
     }
     return rules.apply(found, rules.SECURITY)
 
 
+_STRUCTURE = {"files": "SELECT 'bin/p' || p_partkey AS path, p_size * p_size * 3000 * p_partkey AS bytes, p_partkey % 3 <> 0 AS is_binary FROM part"}
+
+
+@query(findings_sql(_STRUCTURE, ("structure.",)))
+def structure_findings(spark: SparkSession, sf: str) -> DataFrame:
+    p, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    rows = table(spark, sf, "part").select(F.concat(F.lit("bin/p"), p.cast("string")).alias("path"), (size * size * 3000 * p).alias("bytes"), (p % 3 != 0).alias("is_binary"))
+    return rules.apply({"files": rows}, rules.STRUCTURE)
+
+
 # --- classes of files ------------------------------------------------------
 
 #: Paths by kind, with what the ladder of rules makes of them, written out.
@@ -397,7 +417,7 @@ def inferred_modules(spark: SparkSession, sf: str) -> DataFrame:
 def metrics_sql(tables: dict[str, str]) -> str:
     parts = []
     for name, sql in tables.items():
-        for k, v in fingerprint.METRICS[name].items():
+        for k, v in expected.METRICS[name].items():
             zero = f"coalesce({v}, 0)" if " / " not in v and not v.startswith(("avg", "median", "max")) else v
             parts.append(f"SELECT '{k}' AS id, CAST({zero} AS DOUBLE) AS v FROM ({sql})")
     return f"SELECT id, {R4('v')} AS value FROM ({' UNION ALL '.join(parts)}) WHERE v IS NOT NULL"
@@ -442,7 +462,7 @@ _MEASURES = """SELECT (SELECT count(*) FROM nation) AS modules, (SELECT count(*)
  count(*) FILTER (p_partkey % 4 = 0) AS test_files, count(*) FILTER (p_partkey % 4 <> 0) AS source_files, count(*) FILTER (p_partkey % 8 = 1) AS inline_test_files, 5 AS checks_present, 1 AS checks_partial, 8 AS checks, 40 AS commits_90, CAST(NULL AS DOUBLE) AS duplication_ratio, 30 AS resolved, 10 AS unresolved FROM part"""
 
 
-@query(f"WITH m AS ({_MEASURES}), d AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS id, CAST({v} AS DOUBLE) AS v FROM m' for k, v in (fingerprint.DIMENSIONS | fingerprint.SIGNALS).items())}) SELECT id, {R4('greatest(0.0, least(1.0, v))')} AS value FROM d WHERE v IS NOT NULL")
+@query(f"WITH m AS ({_MEASURES}), d AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS id, CAST({v} AS DOUBLE) AS v FROM m' for k, v in expected.DIMENSIONS.items())}) SELECT id, {R4('greatest(0.0, least(1.0, v))')} AS value FROM d WHERE v IS NOT NULL")
 def fingerprint_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     n, r = (table(spark, sf, t).agg(F.count("*").alias(c)) for t, c in (("nation", "modules"), ("region", "max_fan_in")))
     p = F.col("p_partkey")
