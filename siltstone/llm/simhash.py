@@ -145,15 +145,20 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: in
     be reached, the row's own included. Equal fingerprints are one node, so that copies cost one
     comparison. Null and empty texts have fingerprint 0 and link like any other; a null doc_id gets a
     row and is never a component_id unless all of its component are null; repeated rows stay; an
-    empty table gives none; other columns are ignored.
+    empty table gives none; other columns are ignored. A fingerprint of more than a thousandth of all rows,
+    of which there are less than a thousand, is looked up where its rows are read; others meet theirs by a shuffle.
     """
     marks = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(written(links(nodes, radius, tile), "links")).withColumnRenamed("node", "fp")
     linked = roots.join(nodes, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
-    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"), "classes")
+    total = of.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(of.filter(F.col("n") * 1000 > total).select("fp", F.struct("component_id").alias("hit")))
+    met = marks.join(often, "fp", "left")
+    rest = met.filter("hit is null").drop("hit").join(of.filter(F.col("n") * 1000 <= total), "fp").select("doc_id", "fp", "component_id")
+    return met.filter("hit is not null").select("doc_id", "fp", "hit.component_id").union(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 4096) -> DataFrame:

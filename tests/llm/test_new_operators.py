@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltstone.llm import ann, packing, repair, resample, suffixdedup
+from siltstone.llm import ann, packing, repair, resample, simhash, suffixdedup
 
 # conversation repair
 
@@ -354,3 +354,13 @@ def test_suffix_dedup_of_runs_and_periods(spark):
     none = np.empty(0, np.uint64)
     head, sent = suffixdedup.opened(pa.Table.from_pandas(suffixdedup.ranged(raw, 100, none, 1, none, 1 << 20).toPandas()), 100)
     assert sum(map(len, sent)) < 8 * 15_000 and head["count"][head["known"] == 1].sum() > 15_000
+
+
+def test_near_duplicates_with_one_fingerprint_in_most_rows(spark):
+    r = random.Random(2)
+    texts = [(k, "the same few words " * 5) for k in range(0, 3000, 2)] + [(k, " ".join(r.choices("abcdefghijklmnop", k=40))) for k in range(1, 800, 2)] + [(None, ""), (5000, None)]
+    got = {x.doc_id: x for x in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    marks = {k: simhash.fingerprint(t) for k, t in texts}
+    assert len(got) == len(texts) and all(int(got[k].fingerprint, 16) == marks[k] for k in marks)
+    assert {got[k].component_id for k in range(0, 3000, 2)} == {0} or marks[0] in {marks[k] for k in range(1, 800, 2)}
+    assert got[None].component_id == got[5000].component_id == 5000
