@@ -172,7 +172,7 @@ def ranged(docs: DataFrame, width: int, splitters: np.ndarray, parts: int, hot:
         return at * parts + np.clip(inside, 0, parts - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=9)
         for block in records(batches, width, size):
             key = block.keys(hot)
             start, count, piece = block.runs(key)
