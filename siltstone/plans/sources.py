@@ -203,3 +203,26 @@ UNION ALL SELECT path, 'ci ' || c, 'last', NULL, 'build', 1, NULL, 'own/flow@v1'
 UNION ALL SELECT path, NULL, NULL, NULL, '', NULL, NULL, NULL, NULL, 'line 2: a tab indents' FROM c WHERE c % 9 = 0""")
 def workflow_steps(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.workflow_steps(manifest_texts(spark, sf)).withColumn("needs", F.concat_ws(",", "needs"))
+
+
+@query(f"""WITH {PLACED}
+SELECT path, 1 AS imports, CAST(functions + CASE k WHEN 1 THEN 3 ELSE 1 END AS INT) AS symbols, CAST(functions + CASE k WHEN 1 THEN 1 ELSE 0 END AS INT) AS functions,
+  functions + 2 * big + CASE k WHEN 1 THEN 2 ELSE 0 END AS cyclomatic_total, CAST(greatest((SELECT max(1 + 2 * p.big) FROM p WHERE p.c = t.c), CASE k WHEN 1 THEN 2 ELSE 0 END) AS INT) AS cyclomatic_max,
+  CAST((SELECT max(p.n) FROM p WHERE p.c = t.c) AS INT) AS longest_function, CASE WHEN big > 0 OR k = 1 THEN 1 ELSE 0 END AS max_nesting FROM t""")
+def code_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return code.summary(code.analyze(sources(spark, sf)))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT s_suppkey AS s, n FROM supplier, n)
+SELECT 'pkg/m' || s || '.py' AS src, 'pkg/m' || (3 * s + 1) % n || '.py' AS dst, 'import' AS mechanism, 2 AS line FROM s WHERE (3 * s + 1) % n <> s AND (3 * s + 1) % n IN (SELECT s FROM s)
+UNION ALL SELECT 'pkg/m' || s || '.py', 'pkg/data/t' || s % 5 || '.sql', 'reference', 3 FROM s WHERE s % 5 IN (SELECT s FROM s WHERE s < 5)
+UNION ALL SELECT 'pkg/m' || s || '.py', 'pkg/m' || (s + 1) % n || '.py', 'reference', 4 FROM s WHERE (s + 1) % n IN (SELECT s FROM s) AND (s + 1) % n <> s""")
+def code_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """From texts to edges: imports that are files, and paths that strings name, beside the file or from the root."""
+    supplier, s = table(spark, sf, "supplier"), F.col("s_suppkey")
+    n = supplier.agg(F.count("*").alias("n"))
+    text = "import os\nfrom pkg.m<a> import x\nP = './data/t<k>.sql'\nQ = [\"pkg/m<b>.py\", 'no/such.py', \"a 'pkg/m<b>.py' b\"]\n# 'pkg/m<a>.py'\n"
+    rows = supplier.crossJoin(F.broadcast(n)).select(filled(F.lit("pkg/m<s>.py"), s=s).alias("path"), F.lit("python").alias("language"), filled(F.lit(text), a=(3 * s + 1) % F.col("n"), k=s % 5, b=(s + 1) % F.col("n")).alias("text"))
+    data = supplier.filter("s_suppkey < 5").select(filled(F.lit("pkg/data/t<s>.sql"), s=s).alias("path"), F.lit("sql").alias("language"), F.lit("select 1\n").alias("text"))
+    files = rows.union(data)
+    return code.edges(code.analyze(files), files)

@@ -31,7 +31,7 @@ def content_key(text: str, language: str | None) -> str:
 
 def analysed(text: str, language: str | None) -> tuple[int, ...]:
     raw = text.encode("utf-8", "surrogatepass")
-    lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, _ = code.facts(language or "", raw, lexing.read([raw], LANGUAGES.get(language or ""))[0])
+    lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, *_ = code.facts(language or "", raw, lexing.read([raw], LANGUAGES.get(language or ""))[0])
     return lines, comment, blank, len(functions), outside + sum(s["complexity"] or 0 for s in symbols), len(tokens)
 
 
