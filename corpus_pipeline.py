@@ -26,7 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a document of which nothing is left stays as an empty text."""
+    """Removes repeated lines; a document of which nothing is left stays as an empty text.
+
+    Null texts stay null and empty ones empty; of equal lines the first by id and place stays, null ids last;
+    rows equal in id and text are one document and keep the same lines; an empty table stays empty.
+    """
     return linedup.dedup_lines(docs, short=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
