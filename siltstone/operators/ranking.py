@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
+from operator import mul, sub
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import ratio
+from siltstone.functions.tables import discard, in_order, stored
 
 
 def retrieval(judged: DataFrame, k: int, group: str = "query") -> DataFrame:
@@ -93,54 +95,105 @@ def split_problems(parts: DataFrame) -> DataFrame:
     return parts.groupBy("family").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
-#: So many labelled rows, or pairs of them, are learned from in one task at most; people make labels one by one.
-MOST_LABELS = 200_000
+#: A bound on labelled rows, or on pairs of them, that a caller may set: more raise. None by itself.
+MOST_LABELS: int | None = None
+#: A link of the chain that descends holds about so many rows.
+LINK = 500_000
 
 
-def bounded(rows: DataFrame, what: str) -> DataFrame:
-    """rows, if there are few enough for one task; else raises."""
-    n = rows.limit(MOST_LABELS + 1).count()
-    if n > MOST_LABELS:
-        raise ValueError(f"{what}: more than {MOST_LABELS} labelled rows do not fit one task")
-    return rows
+def bounded(n: int, what: str) -> None:
+    if MOST_LABELS is not None and n > MOST_LABELS:
+        raise ValueError(f"{what}: more than {MOST_LABELS} labelled rows or pairs")
+
+
+def descend(w: list[float], v: list[float], slope: Callable[[float], float], rate: float, l2: float) -> list[float]:
+    """Weights after a step over v; slope gives the loss's slope at a margin."""
+    s = slope(1 / (1 + math.exp(-max(-32.0, min(32.0, sum(map(mul, w, v)))))))
+    return [x - rate * (s * y + l2 * x) for x, y in zip(w, v, strict=True)]
+
+
+def chained(rows: DataFrame, features: list[str], epochs: int, epoch: Callable[[list[float], Iterator[pa.RecordBatch]], list[float]]) -> DataFrame:
+    """(feature, weight) after epochs over rows(link, place, ...), a stored table: each link in order, which one task at a time goes through from the weights of the link before.
+
+    Steps depend on each other, so that links follow one another; a task holds a link, and what goes from
+    link to link is a row of weights. A single link runs all its epochs in one task.
+    """
+    spark = rows.sparkSession
+    links = [r[0] for r in rows.select("link").distinct().orderBy("link").collect()]
+    w = [0.0] * len(features)
+    for _ in range(1 if len(links) == 1 else epochs):
+        for k in links:
+            w = _link(rows, k, w, epochs if len(links) == 1 else 1, epoch)
+    discard(rows)
+    return spark.createDataFrame(list(zip(features, w, strict=True)), "feature string, weight double").coalesce(1)
+
+
+def _link(rows: DataFrame, k: int, w: list[float], times: int, epoch: Callable[[list[float], list[pa.RecordBatch]], list[float]]) -> list[float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = list(batches), w
+        for _ in range(times):
+            now = epoch(now, held)
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.list_(pa.float64()))], ["w"])
+
+    one = rows.filter(F.col("link") == k).drop("link").coalesce(1).sortWithinPartitions("place")
+    return list(one.mapInArrow(run, "w array<double>").first()[0])
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, rate: float = 0.05, l2: float = 0.001, epochs: int = 20) -> DataFrame:
     """(feature, weight) of a logistic model by stochastic gradient descent over sorted rows, the same each time.
 
-    Steps depend on each other, so one task runs them; more than MOST_LABELS rows raise.
+    Steps depend on each other: rows are dealt into links of LINK in their order, however many there are.
     """
+    rows = rows.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y"))
+    if MOST_LABELS is not None:
+        bounded(rows.limit(MOST_LABELS + 1).count(), "fit_logistic")
+    placed = in_order(rows, [*map(F.col, features), F.col("__y")])
+    n = len(features)
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([*features, label])
-        a, y, w = x[features].to_numpy(float), x[label].to_numpy(float), np.zeros(len(features))
-        for _ in range(epochs):
-            for v, t in zip(a, y, strict=True):
-                w -= rate * ((1 / (1 + np.exp(-np.clip(v @ w, -32, 32))) - t) * v + l2 * w)
-        return pd.DataFrame({"feature": features, "weight": w})
+    def epoch(w: list[float], batches: list[pa.RecordBatch]) -> list[float]:
+        for batch in batches:
+            for *v, y in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in range(n + 1)), strict=True):
+                w = descend(w, v, lambda p, y=y: p - y, rate, l2)
+        return w
 
-    return bounded(rows.select(*features, label), "fit_logistic").groupBy().applyInPandas(run, "feature string, weight double")
+    link = F.floor((F.col("place") - 1) / LINK).cast("int")
+    return chained(stored(placed.select(*features, "__y", "place", link.alias("link")), "links"), features, epochs, epoch)
 
 
 def fit_pairwise(rows: DataFrame, features: list[str], label: str, group: str, rate: float = 0.05, l2: float = 0.001, epochs: int = 20) -> DataFrame:
-    """(feature, weight) from pairs of a relevant and another item of one group, by the same descent; more than MOST_LABELS pairs raise."""
-    pairs = rows.groupBy(group).agg(F.count_if(F.col(label) != 0).alias("y"), F.count_if(F.col(label) == 0).alias("n")).agg(F.sum(F.col("y") * F.col("n"))).first()[0]
-    if (pairs or 0) > MOST_LABELS:
-        raise ValueError(f"fit_pairwise: more than {MOST_LABELS} pairs do not fit one task")
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        w = np.zeros(len(features))
-        groups = [g for _, g in x.sort_values([group, *features, label]).groupby(group, sort=True)]
-        for _ in range(epochs):
-            for g in groups:
-                a, y = g[features].to_numpy(float), g[label].to_numpy(bool)
-                for p in a[y]:
-                    for q in a[~y]:
-                        d = p - q
-                        w -= rate * ((1 / (1 + np.exp(-np.clip(d @ w, -32, 32))) - 1) * d + l2 * w)
-        return pd.DataFrame({"feature": features, "weight": w})
-
-    return rows.select(*features, label, group).groupBy().applyInPandas(run, "feature string, weight double")
+    """(feature, weight) from pairs of a relevant and another item of one group, by the same descent.
+
+    Pairs are made where they are stepped over, never listed: a link holds the items of whole groups, which
+    begin within LINK rows of each other. Steps are as many as pairs, which grow with the square of a group.
+    """
+    if MOST_LABELS is not None:
+        pairs = rows.groupBy(group).agg(F.count_if(F.col(label) != 0).alias("y"), F.count_if(F.col(label) == 0).alias("n")).agg(F.sum(F.col("y") * F.col("n"))).first()[0]
+        bounded(pairs or 0, "fit_pairwise")
+    rows = rows.filter(F.col(group).isNotNull()).select(F.col(group).alias("__g"), *(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y"))
+    placed = stored(in_order(rows, [F.col("__g"), *map(F.col, features), F.col("__y")]), "placed")
+    start = placed.groupBy("__g").agg(F.min("place").alias("first"))
+    n = len(features)
+
+    def epoch(w: list[float], batches: list[pa.RecordBatch]) -> list[float]:
+        ahead, behind, now = [], [], None
+
+        def group_done(w: list[float]) -> list[float]:
+            for p in ahead:
+                for q in behind:
+                    w = descend(w, list(map(sub, p, q)), lambda x: x - 1, rate, l2)
+            return w
+
+        for batch in batches:
+            for *v, y, first in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in range(n + 2)), strict=True):
+                if first != now:
+                    w, ahead, behind, now = group_done(w), [], [], first
+                (ahead if y else behind).append(v)
+        return group_done(w)
+
+    link = F.floor((F.col("first") - 1) / LINK).cast("int")
+    linked = stored(placed.join(start, "__g").select(*features, "__y", "first", "place", link.alias("link")), "links")
+    discard(placed)
+    return chained(linked, features, epochs, epoch)
 
 
 def within_budget(items: DataFrame, by: str, cost: str, order: list[str], budget: int) -> DataFrame:

@@ -123,6 +123,25 @@ def test_training_has_a_bound(spark, monkeypatch):
             fit()
 
 
+def test_training_in_links(spark, monkeypatch):
+    """More rows and pairs than one task used to take, and the same weights however rows are dealt."""
+    many = spark.range(200_001).select((F.col("id") % 97 / 97.0).alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    assert ranking.fit_logistic(many, ["x"], "y", epochs=1).count() == 1
+    assert ranking.fit_pairwise(many.limit(1000).withColumn("g", F.lit("a")), ["x"], "y", "g", epochs=1).first().weight != 0
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(y), None if g == 9 else int(g)) for a, b, y, g in zip(rng.random(60), rng.integers(0, 3, 60), rng.integers(0, 2, 60), rng.integers(0, 10, 60), strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, g int").repartition(5)
+    monkeypatch.setattr(ranking, "LINK", 13)
+    got = [r.weight for r in ranking.fit_logistic(df, ["a", "b"], "y", epochs=3).collect()]
+    assert np.allclose(got, descent([(r[:2], r[2]) for r in sorted((a, b, y) for a, b, y, _ in rows)], 2, 3), atol=1e-12)
+    by = defaultdict(list)
+    for a, b, y, g in sorted(r for r in rows if r[3] is not None):
+        by[g].append(((a, b), y))
+    pairs = [(tuple(x - z for x, z in zip(p, n, strict=True)), 1.0) for g in sorted(by) for p, y in by[g] if y for n, o in by[g] if not o]
+    got = [r.weight for r in ranking.fit_pairwise(df, ["a", "b"], "y", "g", epochs=3).collect()]
+    assert np.allclose(got, descent(pairs, 2, 3), atol=1e-12)
+
+
 def test_betweenness_and_shortest_cycle_of_sparse_graphs(spark):
     rng = np.random.default_rng(2)
     edges = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in rng.integers(0, 30, (70, 2)).tolist()})
