@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import facts
-from siltstone.functions.tables import stored
+from siltstone.functions.tables import spread, stored
 from siltstone.operators import diffs, textmine
 from siltstone.plans.catalogue import query
 from siltstone.plans.sources import filled
@@ -249,7 +249,7 @@ def manifest_declarations(spark: SparkSession, sf: str) -> DataFrame:
     """Dependencies that manifests and lock files of ten kinds declare."""
     k = (F.col("p_partkey") % len(MANIFESTS)).cast("int")
     pick = lambda j: F.get(F.array(*(F.lit(m[j]) for m in MANIFESTS)), k)
-    rows = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0)).alias("path"), filled(pick(1), p=F.col("p_partkey"), s=F.col("p_size")).alias("text"))
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0)).alias("path"), filled(pick(1), p=F.col("p_partkey"), s=F.col("p_size")).alias("text"))
     return manifests.declarations(rows).select("manifest", "ecosystem", "name", "requirement", "scope")
 
 
@@ -279,8 +279,8 @@ def code_imports(spark: SparkSession, sf: str) -> DataFrame:
     """What texts of nine languages import, by line, and their packages."""
     k = (F.col("p_partkey") % len(IMPORTED)).cast("int")
     pick = lambda j: F.get(F.array(*(F.lit(m[j]) for m in IMPORTED)), k)
-    rows = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), pick(0).alias("language"), filled(pick(1), p=F.col("p_partkey")).alias("text"))
-    return code.analyze(rows).select("path", "package", F.inline("imports")).select("path", "line", "module", "package")
+    rows = spread(table(spark, sf, "part").select("p_partkey")).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), pick(0).alias("language"), filled(pick(1), p=F.col("p_partkey")).alias("text"))
+    return code.analyze(rows, "imports", "package").select("path", "package", F.inline("imports")).select("path", "line", "module", "package")
 
 
 @query("""SELECT 'p' || p_partkey AS path, 2 AS line, CASE p_partkey % 3 WHEN 0 THEN 'TODO' WHEN 1 THEN 'FIXME' ELSE 'DEPRECATED' END AS kind, 'part ' || p_partkey AS text FROM part

@@ -19,6 +19,7 @@ VERSION = "1"
 FACTS = "code long, comment long, blank long, functions long, complexity long, tokens long"
 STATE = f"seq long, key string, deleted boolean, analysed long, {FACTS}"
 CHANGES = f"path string, seq long, action string, analysed long, {FACTS}"
+NEEDED = frozenset(("functions", "symbols", "outside", "tokens"))
 _FACTS = [x.split()[0] for x in FACTS.split(", ")]
 
 
@@ -31,7 +32,7 @@ def content_key(text: str, language: str | None) -> str:
 
 def analysed(text: str, language: str | None) -> tuple[int, ...]:
     raw = text.encode("utf-8", "surrogatepass")
-    lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, *_ = code.facts(language or "", raw, lexing.read([raw], LANGUAGES.get(language or ""))[0])
+    lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, *_ = code.facts(language or "", raw, lexing.read([raw], LANGUAGES.get(language or ""))[0], NEEDED)
     return lines, comment, blank, len(functions), outside + sum(s["complexity"] or 0 for s in symbols), len(tokens)
 
 
