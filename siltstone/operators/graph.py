@@ -31,6 +31,11 @@ def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(seen, "node", "left_anti")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, met by a shuffle in joins: what is joined round after round would add up at the driver if it were broadcast."""
+    return df.hint("merge")
+
+
 def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node of its strongly connected component.
 
@@ -48,7 +53,7 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     done = spark.createDataFrame([], nodes.select("node", F.col("node").alias("component")).schema)
 
     def within(rows: DataFrame, kept: DataFrame) -> DataFrame:
-        return stored(rows.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
+        return stored(rows.join(apart(kept.select(F.col("node").alias("src"))), "src", "left_semi").join(apart(kept.select(F.col("node").alias("dst"))), "dst", "left_semi"), "edges")
 
     for k in count():
         if rounds is not None and k >= rounds and not nodes.isEmpty():
@@ -56,10 +61,10 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if k % 32 == 31:
             done = stored(done, "done")
         own = left.filter("src != dst")
-        inner = own.select(F.col("src").alias("node")).intersect(own.select(F.col("dst").alias("node")))
-        single = stored(nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "done")
+        inner = own.select(F.col("src").alias("node")).distinct().join(apart(own.select(F.col("dst").alias("node"))), "node", "left_semi")
+        single = stored(nodes.join(apart(inner), "node", "left_anti").select("node", F.col("node").alias("component")), "done")
         done, before = done.union(single), (nodes, left)
-        nodes = stored(nodes.join(inner, "node", "left_semi"), "nodes")
+        nodes = stored(nodes.join(apart(inner), "node", "left_semi"), "nodes")
         left = within(own, nodes)
         discard(*before)
         if nodes.isEmpty():
@@ -68,28 +73,28 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             continue
         color, grown = nodes.select("node", F.col("node").alias("color")), None
         while True:  # forward: the largest color that reaches a node
-            near = left.join(color, left.src == color.node).groupBy("dst").agg(F.max("color").alias("new"))
-            last, grown = grown, stored(color.join(near, color.node == near.dst, "left").select("node", F.greatest("color", F.coalesce("new", "color")).alias("color"), (F.coalesce("new", "color") > F.col("color")).alias("moved")), "colors")
+            near = left.join(apart(color), left.src == color.node).groupBy("dst").agg(F.max("color").alias("new"))
+            last, grown = grown, stored(color.join(apart(near), color.node == near.dst, "left").select("node", F.greatest("color", F.coalesce("new", "color")).alias("color"), (F.coalesce("new", "color") > F.col("color")).alias("moved")), "colors")
             if last is not None:
                 discard(last)
             color = grown.select("node", "color")
             if grown.filter("moved").isEmpty():
                 break
         c = color.withColumnsRenamed({"node": "n", "color": "c"})
-        same = stored(left.join(color, left.src == color.node).drop("node").join(c, F.col("dst") == c.n).filter("color = c").select("src", "dst"), "same")
+        same = stored(left.join(apart(color), left.src == color.node).drop("node").join(apart(c), F.col("dst") == c.n).filter("color = c").select("src", "dst"), "same")
         back = stored(color.filter("node = color"), "back")
         front, waves = back, []
         while True:  # backward within a color from the node it is named after
-            more = same.join(front, same.dst == front.node).select(F.col("src").alias("node"), "color").distinct().join(back.select("node"), "node", "left_anti")
+            more = same.join(apart(front), same.dst == front.node).select(F.col("src").alias("node"), "color").distinct().join(apart(back.select("node")), "node", "left_anti")
             front = stored(more, "more")
             if front.isEmpty():
                 break
             waves.append(front)
             back = back.union(front)
-        named = back.join(back.groupBy("color").agg(F.min("node").alias("component")), "color").select("node", "component")
+        named = back.join(apart(back.groupBy("color").agg(F.min("node").alias("component"))), "color").select("node", "component")
         named = stored(named, "done")
         done, before = done.union(named), (nodes, left)
-        nodes = stored(nodes.join(named, "node", "left_anti"), "nodes")
+        nodes = stored(nodes.join(apart(named), "node", "left_anti"), "nodes")
         left = within(left, nodes)
         discard(*before, grown, same, front, *waves)
     return done
@@ -134,17 +139,17 @@ def layers(edges: DataFrame, components: DataFrame, rounds: int | None = None) -
     No way has more layers than there are components: beyond that, or at a given bound on rounds, it raises.
     """
     a, b = components.select(F.col("node").alias("src"), F.col("component").alias("x")), components.select(F.col("node").alias("dst"), F.col("component").alias("y"))
-    dag = stored(edges.select("src", "dst").join(a, "src").join(b, "dst").filter("x != y").select("x", "y").distinct(), "dag")
+    dag = stored(edges.select("src", "dst").join(apart(a), "src").join(apart(b), "dst").filter("x != y").select("x", "y").distinct(), "dag")
     level = stored(components.select("component").distinct().withColumn("layer", F.lit(0)), "layers")
     most = level.count() if rounds is None else rounds
     for k in count(1):
-        up = dag.join(level.filter(F.col("layer") == k - 1), dag.y == level.component).select("x").distinct()
+        up = dag.join(apart(level.filter(F.col("layer") == k - 1)), dag.y == level.component).select("x").distinct()
         if up.isEmpty():
             break
         if k >= most:
             raise RuntimeError(f"layers: edges still lead up after layer {k - 1}")
-        level = stored(level.join(up, level.component == up.x, "left").select("component", F.when(F.col("x").isNotNull(), k).otherwise(F.col("layer")).alias("layer")), "layers")
-    return components.join(level, "component").select("node", "layer")
+        level = stored(level.join(apart(up), level.component == up.x, "left").select("component", F.when(F.col("x").isNotNull(), k).otherwise(F.col("layer")).alias("layer")), "layers")
+    return components.join(apart(level), "component").select("node", "layer")
 
 
 def shortest_cycle(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
@@ -251,8 +256,8 @@ def assign_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     known = stored(nodes.select("node").distinct(), "nodes")
     e = edges.filter("src != dst").select("src", "dst").distinct()
-    e = stored(e.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
-    free = known.join(e.select(F.col("src").alias("node")), "node", "left_anti")
+    e = stored(e.join(apart(known.withColumnRenamed("node", "src")), "src", "left_semi").join(apart(known.withColumnRenamed("node", "dst")), "dst", "left_semi"), "edges")
+    free = known.join(apart(e.select(F.col("src").alias("node"))), "node", "left_anti")
     front, done, left = stored(free.withColumn("layer", F.lit(0)), "front"), None, e
     for k in count(1):
         done = front if done is None else done.unionByName(front)
@@ -260,11 +265,11 @@ def assign_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         if k % 32 == 0:
             done = stored(done, "layers")
-        rest = stored(left.join(front.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
-        met = left.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        front = stored(met.join(rest.select(F.col("src").alias("node")), "node", "left_anti").withColumn("layer", F.lit(k)), "front")
+        rest = stored(left.join(apart(front.select(F.col("node").alias("dst"))), "dst", "left_anti"), "edges")
+        met = left.join(apart(front.select(F.col("node").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        front = stored(met.join(apart(rest.select(F.col("src").alias("node"))), "node", "left_anti").withColumn("layer", F.lit(k)), "front")
         left = rest
-    return known.join(done, "node", "left")
+    return known.join(apart(done), "node", "left")
 
 
 def modularity(modules: DataFrame) -> DataFrame:

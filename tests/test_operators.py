@@ -301,3 +301,35 @@ def test_streams(tmp_path, spark, sf):
     q = events.on_batch(events.deduplicated(events.stream(spark, source, table.schema), "60 days"), lambda df, n: totals.append(df.count()), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert sum(totals) == table.count()
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """A task of the sums over areas and of merged ranges holds about so many rows, however many there are."""
+    from siltstone.functions import tables
+    from siltstone.operators import history, quality
+
+    seen = []
+    count = tables.part_count
+    monkeypatch.setattr(history, "part_count", lambda df, rows=50: seen.append(count(df, rows)) or seen[-1])
+    df = spark.range(1000).select(F.col("id").alias("commit"), F.concat(F.lit("a/b"), (F.col("id") % 7).cast("string"), F.lit("/c"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("added"), F.lit(1).alias("deleted"))
+    got = {r.area: (r.commits, r.churn, r.files) for r in history.areas(df).collect()}
+    assert seen == [20] and got["a"] == (1000, 2000, 1000) and got["a/b0"] == (143, 286, 143)
+    assert tables.dealt(df, "commit", rows=50).rdd.getNumPartitions() == 20
+    ranges = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 2).alias("start"), (F.col("id") * 2 + F.col("id") % 2 * 10).alias("end"))
+    got = {r.g: (r.covered, r.blocks) for r in quality.covered_lines(ranges, ["g"]).collect()}
+    for g in range(3):
+        lines = {x for k in range(g, 1000, 3) for x in range(2 * k, 2 * k + k % 2 * 10 + 1)}
+        assert got[g] == (len(lines), sum(x - 1 not in lines for x in lines))
+
+
+def test_layers_send_nothing_to_the_driver(spark, monkeypatch):
+    """Joins of rounds are shuffles, however small their tables."""
+    from siltstone.operators import graph
+
+    plans = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, tag))
+    e = spark.createDataFrame([(a, a // 2) for a in range(1, 40)], "src long, dst long")
+    assert {r.node: r.layer for r in graph.layers(e, graph.strong_components(e)).collect()} == {k: k.bit_length() for k in range(40)}
+    assert graph.assign_layers(e.select(F.col("src").alias("node")), e).count() == 39
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
