@@ -33,6 +33,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
+#: A task of a step over all rows gets about so many.
+ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """df by keys, in parts of about so many rows and no fewer than shuffles have: what a task holds does not grow with the data."""
+    return df.repartition(part_count(df, rows), *keys)
+
+
+def part_count(df: DataFrame, rows: int = ROWS) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() has made, once all that reads them has been written itself."""
     for table in tables:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import activity_areas, activity_level, area_of, days_until, parse_version, round4
+from siltstone.functions.tables import part_count
 
 DAY = 86_400
 
@@ -189,11 +190,12 @@ def areas(changes: DataFrame) -> DataFrame:
     """(area, commits, churn, files): a change counts for one or two areas, a commit once an area.
 
     Changes are summed by (commit, path) before they are spread over areas; commits are counted as rows
-    by (area, commit), files from the different paths.
+    by (area, commit), files from the different paths. Both sums are dealt into parts of bounded size.
     """
-    per = changes.groupBy("commit", "path").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn"))
+    n = part_count(changes)
+    per = changes.repartition(n, "commit", "path").groupBy("commit", "path").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn"))
     spread = lambda df, *keep: df.select(*keep, F.explode(activity_areas(F.col("path"))).alias("area"))
-    by_commit = spread(per, "commit", "churn").groupBy("area", "commit").agg(F.sum("churn").alias("churn"))
+    by_commit = spread(per, "commit", "churn").repartition(n, "area", "commit").groupBy("area", "commit").agg(F.sum("churn").alias("churn"))
     found = by_commit.groupBy("area").agg(F.count("commit").alias("commits"), F.sum("churn").alias("churn"))
     files = spread(changes.select("path").distinct()).groupBy(F.col("area").alias("of")).agg(F.count("*").alias("files"))
     return found.join(files, F.col("area") == F.col("of")).select("area", "commits", "churn", "files")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import ratio, round4
-from siltstone.functions.tables import stored
+from siltstone.functions.tables import dealt, stored
 
 #: What a hotspot's score is made of.
 WEIGHTS = {"commits": 0.30, "churn": 0.20, "recent_commits": 0.15, "complexity": 0.15, "lines": 0.10, "authors": 0.05, "dependents": 0.05}
@@ -68,10 +68,10 @@ def top_over(df: DataFrame, measure: str, least: float, tie: list[str], limit: i
 
 
 def covered_lines(ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Lines that inclusive ranges (start, end) cover in each group; overlapping and touching ones are merged."""
+    """Lines that inclusive ranges (start, end) cover in each group; overlapping and touching ones are merged. A task puts some groups of bounded size in order."""
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    marked = dealt(ranges, *by).withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
     island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = island.groupBy(*by, "island").agg((F.max("end") - F.min("start") + 1).alias("lines"))
     return merged.groupBy(*by).agg(F.sum("lines").alias("covered"), F.count("*").alias("blocks"))
