@@ -52,13 +52,14 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table.stored_at)
 
 
-def in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+def in_order(df: DataFrame, order: list[Column], name: str = "place", ranges: int | None = None) -> DataFrame:
     """df with each row's place, from 1, in an order of all rows; ties are put in any order.
 
     Rows are dealt into ranges of the order, which are written once, so that places within a range and
-    the sizes of the ranges before it agree; no task orders all rows.
+    the sizes of the ranges before it agree; no task orders all rows. ranges says how many, else as many as
+    shuffles have.
     """
-    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    dealt = stored((df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__range", before.alias("__before"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import facts
-from siltstone.functions.tables import spread, stored
+from siltstone.functions.tables import dealt, part_count, spread, stored
 from siltstone.operators import diffs, textmine
 from siltstone.plans.catalogue import query
 from siltstone.plans.sources import filled
@@ -183,7 +183,7 @@ def log_commits(spark: SparkSession, sf: str) -> DataFrame:
     """Commits and their changes from a printed history, written in parts and read by Spark's reader."""
     o, at = F.col("o_orderkey"), new_path(spark, "log")
     unique = F.struct("l_linenumber", "l_quantity")
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min(unique).alias("m")).select("l_orderkey", "l_partkey", "l_suppkey", "m.*")
+    items = dealt(table(spark, sf, "lineitem"), "l_orderkey", rows=250_000).groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min(unique).alias("m")).select("l_orderkey", "l_partkey", "l_suppkey", "m.*")
     path = filled(F.lit("src/p<p>/s<s>.c"), p=F.col("l_partkey"), s=F.col("l_suppkey"))
     moved, binary = F.col("l_suppkey") % 6 == 0, F.col("l_partkey") % 7 == 0
     raw = F.concat(F.lit(":100644 100644 aaa bbb "), F.when(moved, F.concat(F.lit("R090\0old/"), path)).otherwise("M"), F.lit("\0"), path, F.lit("\0"))
@@ -192,7 +192,7 @@ def log_commits(spark: SparkSession, sf: str) -> DataFrame:
     bodies = items.groupBy("l_orderkey").agg(F.collect_list(raw).alias("raw"), F.collect_list(numstat).alias("stat"))
     head = filled(F.lit("<h>\x1f<p>\x1fN <c>\x1fu<c>@x\x1f1700000000\x1f+0100\x1fcommit <o>"), h=F.sha1(F.concat(F.lit("c"), o.cast("string"))), p=F.when(o % 5 == 0, "aa bb").otherwise("aa"), c=F.col("o_custkey"), o=o)
     rows = table(spark, sf, "orders").join(bodies, F.col("l_orderkey") == o, "left").select(o, F.explode(F.array(F.struct(F.lit(0).alias("n"), head.alias("value")), F.struct(F.lit(1).alias("n"), F.concat(F.lit("\n"), F.coalesce(F.array_join("raw", ""), F.lit("")), F.coalesce(F.array_join("stat", ""), F.lit(""))).alias("value")))).alias("r"))
-    rows.select(o, "r.*").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey", "n").select("value").write.option("lineSep", "\x1e").text(at)
+    rows.select(o, "r.*").repartitionByRange(max(4, part_count(table(spark, sf, "orders"), 250_000)), "o_orderkey").sortWithinPartitions("o_orderkey", "n").select("value").write.option("lineSep", "\x1e").text(at)
     commits, changes = gitlog.history(spark, at)
     commits = commits.drop("changes")
     per = changes.groupBy("seq").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count_if("binary").alias("binaries"), F.count_if(F.col("status") == "renamed").alias("renamed"), F.count("*").alias("changes"))

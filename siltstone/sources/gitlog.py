@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import parent
-from siltstone.functions.tables import in_order
+from siltstone.functions.tables import in_order, part_count
 
 #: What `git log` is asked to print before each commit: fields end with a unit separator, the head with a record separator.
 FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%at%x1f%ad%x1f%s%x1e"
@@ -58,11 +58,12 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     and what a commit changes is the row after its head.
     """
     rows = spark.read.option("lineSep", "\x1e").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"), "value")
-    placed = in_order(rows, [F.col("file"), F.col("part"), F.col("row")]).select("place", "value")
+    n = part_count(rows, 250_000)
+    placed = in_order(rows, [F.col("file"), F.col("part"), F.col("row")], ranges=n).select("place", "value")
     is_head = F.col("value").contains("\x1f")
     bodies = placed.filter(~is_head).select((F.col("place") - 1).alias("of"), F.col("value").alias("body"))
-    heads = in_order(placed.filter(is_head), [F.col("place")], "seq")
-    both = heads.join(bodies, F.col("place") == F.col("of"), "left").select((F.col("seq") - 1).alias("seq"), "value", F.coalesce("body", F.lit("")).alias("body"))
+    heads = in_order(placed.filter(is_head), [F.col("place")], "seq", ranges=n)
+    both = heads.repartition(n, "place").join(bodies.repartition(n, "of"), F.col("place") == F.col("of"), "left").select((F.col("seq") - 1).alias("seq"), "value", F.coalesce("body", F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -333,3 +333,11 @@ def test_layers_send_nothing_to_the_driver(spark, monkeypatch):
     assert {r.node: r.layer for r in graph.layers(e, graph.strong_components(e)).collect()} == {k: k.bit_length() for k in range(40)}
     assert graph.assign_layers(e.select(F.col("src").alias("node")), e).count() == 39
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_places_in_a_given_number_of_ranges(spark):
+    """Places are those of all rows however many ranges a caller asks for."""
+    from siltstone.functions.tables import in_order
+
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("x"))
+    assert all(r.place == r.x + 1 for r in in_order(df, [F.col("x")], ranges=9).collect())
