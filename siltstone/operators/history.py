@@ -325,22 +325,42 @@ def file_states(changes: DataFrame) -> DataFrame:
 
     changes: (seq, commit, ts, path, old, status, added, deleted); a rename has its new name in path and the
     old one in old. A change counts for what its file is called at the end: the next rename of its path
-    is looked up within the path, and where its chain ends in rename_chains. deleted: the last change
-    was a deletion. Rows of one path are put in order, never all rows.
+    is looked up within the path, and where its chain ends by leaps of hops that carry numbers alone.
+    deleted: the last change was a deletion. Rows of one path are put in order, never all rows; changes are
+    read once beyond a count of them.
     """
-    renames = changes.filter("status = 'renamed'").select("seq", "old", F.col("path").alias("new"))
-    ends = rename_chains(renames).select(F.col("seq").alias("rename"), "current")
-    rows = changes.select("path", "seq", F.lit(None).cast(changes.schema["seq"].dataType).alias("rename"), "commit", "ts", "status", (F.col("added") + F.col("deleted")).alias("churn"))
-    marks = renames.select(F.col("old").alias("path"), "seq", F.col("seq").alias("rename"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("commit", "ts", "status", "churn")))
-    later = Window.partitionBy("path").orderBy(F.desc("seq"), F.col("rename").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True))).withColumn("rename", F.last("rename", ignorenulls=True).over(later)).filter("not mark")
-    named = placed.join(ends, "rename", "left").withColumn("current", F.coalesce("current", "path"))
-    per = named.groupBy("current", "path", "commit").agg(F.sum("churn").alias("churn"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.struct("seq", "status")).alias("end"))
-    files = per.groupBy("current").agg(F.sum("churn").alias("churn"), F.min("first").alias("first_seen"), F.max("last").alias("last_changed"), (F.max("end")["status"] == "deleted").alias("deleted"))
-    counts = per.groupBy("current", "commit").agg(F.lit(1).alias("one")).groupBy(F.col("current").alias("of")).agg(F.count("commit").alias("commits"))
-    names = per.select("current", "path").distinct().groupBy(F.col("current").alias("called")).agg(F.count("*").alias("names"))
-    out = files.join(counts, F.col("current") == F.col("of")).join(names, F.col("current") == F.col("called"))
-    return out.select(F.col("current").alias("path"), "names", "commits", "churn", "first_seen", "last_changed", "deleted")
+    from siltstone.functions.tables import ROWS, discard, part_count, stored
+
+    kind = changes.schema
+    row = F.struct("path", F.lit(None).cast(kind["seq"].dataType).alias("rename"), "commit", "ts", (F.col("added") + F.col("deleted")).alias("churn"), "status")
+    mark = F.struct(F.col("old").alias("path"), F.col("seq").alias("rename"), *(F.lit(None).cast(t).alias(c) for c, t in (("commit", kind["commit"].dataType), ("ts", kind["ts"].dataType), ("churn", "long"), ("status", "string"))))
+    both = changes.select("seq", F.explode(F.when(F.col("status") == "renamed", F.array(row, mark)).otherwise(F.array(row))).alias("r")).select("seq", "r.*").repartition(part_count(changes, ROWS), "path")
+    later = Window.partitionBy("path").orderBy(F.desc("seq"), F.col("rename").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumns({"mark": F.col("rename").isNotNull(), "next": F.last("rename", ignorenulls=True).over(later)}).filter("not mark").drop("mark", "rename")
+    placed = stored(placed.withColumn("id", F.monotonically_increasing_id()), "placed")
+    # a rename's own row stands under its new name, so that the next rename of that name follows it
+    hops = placed.filter("status = 'renamed'").select("seq", "id", "next", F.col("path").alias("current"))
+    ids = hops.select(F.col("seq").alias("next"), F.col("id").alias("to"))
+    state = stored(hops.select("id", "next").join(ids, "next", "left").select("id", "to"), "hops")
+    last = [stored(state.filter("to is null").select("id", F.col("id").alias("end")), "ends")]
+    left = stored(state.filter("to is not null"), "hops")
+    discard(state)
+    while not left.isEmpty():
+        # those whose next is an end are done; the others leap as far as their next does
+        step = left.join(last[-1].withColumnRenamed("id", "to"), "to", "left").join(left.select(F.col("id").alias("to"), F.col("to").alias("further")), "to", "left")
+        step = stored(step.select("id", "to", "end", "further"), "step")
+        last.append(stored(last[-1].union(step.filter("end is not null").select("id", "end")), "ends"))
+        before, left = left, stored(step.filter("end is null").select("id", F.col("further").alias("to")), "hops")
+        discard(before, step, last[-2])
+    ends = last[-1].join(hops.select(F.col("id").alias("end"), "current"), "end").select("id", "current").join(hops.select("id", F.col("seq").alias("next")), "id").select("next", "current")
+    ends = stored(ends, "currents")
+    called = lambda df: df.join(ends, "next", "left").withColumn("current", F.coalesce("current", "path")).filter("current is not null")
+    # rows of one file lie in one part from here on, so that no more sums need a shuffle
+    rows = called(placed).select("current", "commit", "churn", "ts", "seq", "status").repartition(part_count(placed, ROWS), "current")
+    per = rows.groupBy("current", "commit").agg(F.sum("churn").alias("churn"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.struct("seq", "status")).alias("end"))
+    files = per.groupBy("current").agg(F.count("commit").alias("commits"), F.sum("churn").alias("churn"), F.min("first").alias("first_seen"), F.max("last").alias("last_changed"), (F.max("end")["status"] == "deleted").alias("deleted"))
+    names = called(placed.select("path", "next").distinct()).select("current", "path").distinct().groupBy("current").agg(F.count("*").alias("names"))
+    return files.join(names, "current").select(F.col("current").alias("path"), "names", "commits", "churn", "first_seen", "last_changed", "deleted")
 
 
 def snapshots(changes: DataFrame, targets: list, by: str = "language") -> DataFrame:

@@ -294,7 +294,7 @@ def renamed(spark: SparkSession, sf: str) -> DataFrame:
 
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").cast("long").alias("added"), (F.col("l_returnflag") == "R").cast("int").alias("r"), "l_linenumber", "l_suppkey")
     order = Window.partitionBy("part").orderBy("commit", "l_linenumber", "l_suppkey", "ts", "added")
-    n = li.withColumns({"n": F.row_number().over(order), "v": F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    n = tables.dealt(li, "part").withColumns({"n": F.row_number().over(order), "v": F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     name = lambda v: F.concat(F.lit("p"), F.col("part").cast("string"), F.lit("/v"), v.cast("string"))
     seq = F.struct("commit", "part", "n")
     return n.select(seq.alias("seq"), "commit", "ts", name(F.col("v")).alias("path"), F.when(F.col("r") == 1, name(F.col("v") - 1)).alias("old"), F.when(F.col("r") == 1, "renamed").otherwise("modified").alias("status"), "added", F.lit(0).cast("long").alias("deleted"))

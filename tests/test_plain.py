@@ -202,6 +202,16 @@ def test_states_of_renamed_and_deleted_files(spark):
     assert got == {"b": (2, 3, 10, False), "c": (1, 2, 4, True), "a": (1, 1, 7, False)}
 
 
+def test_changes_are_read_once_for_states_of_files(spark):
+    """What is left to do for the states reads stored rows alone, and the end of a long chain is found."""
+    rows = [(k, k, f"p{k}", f"p{k - 1}" if k else None, "renamed" if k else "added", 1) for k in range(70)] + [(100, 3, "p69", None, "modified", 2), (101, 3, "alone", None, "added", 4)]
+    df = spark.createDataFrame([(s, c, p, o, k, a) for s, c, p, o, k, a in rows], "seq long, commit long, path string, old string, status string, added long").withColumns({"ts": F.timestamp_seconds("seq"), "deleted": F.lit(0).cast("long")})
+    states = history.file_states(df)
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    assert {(r.path, r.names, r.commits, r.churn, r.deleted) for r in states.collect()} == {("p69", 70, 70, 72, False), ("alone", 1, 1, 4, False)}
+
+
 def shingle_sets(texts, width=5):
     import zlib
 
