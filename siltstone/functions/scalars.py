@@ -381,8 +381,6 @@ def looks_generated(text: Column, language: Column) -> Column:
 
 def detect_license(text: Column) -> Column:
     """(spdx, confidence) of a licence text, null if none is known."""
-    t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    has = t.contains
     # Fixed values: (phrases that all occur, identifier, confidence), the first that fits.
     ladder = (
         (("gnu affero general public license",), "AGPL-3.0", "high"),
@@ -405,13 +403,18 @@ def detect_license(text: Column) -> Column:
         (("altered source versions must be plainly marked",), "Zlib", "high"),
         (("mit license",), "MIT", "medium"),
     )
-    out = F.lit(None).cast("struct<spdx:string,confidence:string>")
-    for phrases, spdx, confidence in reversed(ladder):
-        test = F.lit(True)
-        for p in phrases:
-            test &= has(p)
-        out = F.when(test, F.struct(F.lit(spdx).alias("spdx"), F.lit(confidence).alias("confidence"))).otherwise(out)
-    return out
+
+    def found(t: Column) -> Column:
+        out = F.lit(None).cast("struct<spdx:string,confidence:string>")
+        for phrases, spdx, confidence in reversed(ladder):
+            test = F.lit(True)
+            for p in phrases:
+                test &= t.contains(p)
+            out = F.when(test, F.struct(F.lit(spdx).alias("spdx"), F.lit(confidence).alias("confidence"))).otherwise(out)
+        return out
+
+    # the plain form of a text is made once, not once a phrase as in a filter on the result
+    return F.get(F.transform(F.array(F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))), found), F.lit(0))
 
 
 # Folders of tests.
