@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,8 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
 # --- similar texts ---------------------------------------------------------
 
 SLOTS, BAND = 64, 4
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 
 
 def token_hashes(text: str) -> np.ndarray:
@@ -171,6 +174,7 @@ def shingles(tokens: np.ndarray, width: int = 5) -> np.ndarray | None:
     return None if len(tokens) < width else np.unique(rolling(tokens, width))
 
 
+@lru_cache
 def coefficients(n: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets of n hash functions x -> a x + b modulo 2 to the 64."""
     rng = np.random.default_rng(17)
@@ -183,8 +187,10 @@ def minhash(h: np.ndarray) -> np.ndarray:
     a, b = coefficients()
     out = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(h), 1 << 14):
-            out = np.minimum(out, (h[at : at + (1 << 14), None] * a + b).min(0))
+        for at in range(0, len(h), 1 << 12):
+            each = np.multiply.outer(a, h[at : at + (1 << 12)])
+            each += b[:, None]
+            out = np.minimum(out, each.min(1))
     return out
 
 
@@ -193,17 +199,60 @@ def tokens_of(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy().view(np.uint32).astype(np.uint64) if value.is_valid else np.empty(0, np.uint64)
 
 
+def odd_sketch(h: np.ndarray) -> np.ndarray:
+    """For each of 64 SKETCH bits, whether an odd number of a set's hashes falls on it, as 64-bit words.
+
+    Two sketches differ in no more bits than their sets differ in members, so that they rule out pairs
+    without ever losing one that is similar.
+    """
+    with np.errstate(over="ignore"):
+        bits = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * SKETCH - 1).bit_length())
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(files: DataFrame, least: int = 50) -> DataFrame:
-    """(path, language, signature) of files(path, language, tokens) with at least so many tokens."""
+    """(path, language, tokens, signature, c1, c2, n, o0 to o15) of files(path, language, tokens) with at least so many tokens.
+
+    c1 and c2 are 128 bits of the shingle set's hash, n is its size, the others are its odd sketch.
+    """
+    odd = [f"o{k}" for k in range(SKETCH)]
+    names = ["path", "language", "tokens", "signature", "c1", "c2", "n", *odd]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for batch in batches:
-            found = [(k, minhash(shingles(t))) for k, x in enumerate(batch.column(2)) if len(t := tokens_of(x)) >= least]
-            at = pa.array([k for k, _ in found], pa.int64())
-            marks = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SLOTS, np.concatenate([m.view(np.int64) for _, m in found]) if found else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), marks], ["path", "language", "signature"])
+            found = [(k, shingles(t)) for k, x in enumerate(batch.column(2)) if len(t := tokens_of(x)) >= least]
+            at, sets = pa.array([k for k, _ in found], pa.int64()), [h for _, h in found]
+            marks = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS, np.concatenate([minhash(h).view(np.int64) for h in sets]) if sets else np.empty(0, np.int64))
+            same = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), np.int64).reshape(-1, 2)
+            bits = np.array([odd_sketch(h) for h in sets], np.int64).reshape(-1, SKETCH)
+            numbers = [*same.T, np.array([len(h) for h in sets], np.int64), *bits.T]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), marks, *(pa.array(np.ascontiguousarray(c)) for c in numbers)], names)
 
-    return files.select(F.col("path").cast("string"), F.col("language").cast("string"), "tokens").mapInArrow(run, "path string, language string, signature array<long>")
+    longs = ", ".join(f"{c} long" for c in names[4:])
+    return files.select(F.col("path").cast("string"), F.col("language").cast("string"), "tokens").mapInArrow(run, f"path string, language string, tokens array<int>, signature array<long>, {longs}")
+
+
+def plausible(x: str, y: str, least: float) -> Column:
+    """Whether sizes and sketches of x and y (prefixes of columns) leave it open that the similarity is least or more."""
+    bits = reduce(Column.__add__, (F.bit_count(F.col(f"{x}o{k}").bitwiseXOR(F.col(f"{y}o{k}"))) for k in range(SKETCH)))
+    sized = F.least(x + "n", y + "n") >= least * F.greatest(x + "n", y + "n") - 1e-6
+    return sized & (bits <= (1 - least) / (1 + least) * (F.col(x + "n") + F.col(y + "n")) + 1e-6)
+
+
+def unlinked(left: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of left(key, path, root) in one bucket with different roots that sizes and sketches, in marks, do not rule out.
+
+    A bucket is dealt into tiles of about TILE texts, and each pair of tiles is a key of its own, so that
+    no task has a whole large bucket; only what the sketches leave is emitted.
+    """
+    tiles = left.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = left.join(tiles, "key").withColumn("sub", F.pmod(F.xxhash64("path"), F.col("tiles")).cast("int")).join(marks, "path")
+    x, y = (dealt.withColumn("other", F.explode(F.expr(e))).select(*(F.col(c).alias(p + c) for c in [*dealt.columns, "other"])) for p, e in (("x_", "sequence(sub, tiles - 1)"), ("y_", "sequence(0, sub)")))
+    once = (F.col("x_sub") != F.col("y_sub")) | (F.col("x_path") < F.col("y_path"))
+    met = (F.col("x_key") == F.col("y_key")) & (F.col("x_sub") == F.col("y_other")) & (F.col("x_other") == F.col("y_sub"))
+    return x.join(y, met & (F.col("x_root") != F.col("y_root")) & once & plausible("x_", "y_", least)).select(F.col("x_path").alias("a"), F.col("y_path").alias("b"))
 
 
 def exact(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -225,10 +274,8 @@ def exact(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", "leader", "x", "y").mapInArrow(run, "path string, leader string, similarity double")
 
 
-#: Buckets with more texts than this compare all with a few leaders first, before texts are compared one by one.
-SMALL = 64
-#: So many classes of a bucket give a leader in a round.
-LEADERS = 16
+#: Texts of a bucket that meet as many others in one task.
+TILE = 1024
 
 
 def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -236,52 +283,47 @@ def similar(files: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     16 bands of 4 MinHash slots select candidates of one language; the similarity is the exact one of
     their shingle sets. Texts that links join are a class; the links found span each class, so that a
-    group of copies makes about as many as it has members. Each text is compared with the first of its
-    buckets. Buckets that still hold several classes and more than SMALL texts compare all with LEADERS
-    of them, again with others until they are small; then texts of different classes are compared one
-    by one, so that no text of a bucket is kept apart from a class that it is similar to. files has path,
-    language and text, or tokens as code.analyze names them in place of text.
+    group of copies makes about as many as it has members. Texts of equal shingle sets are linked with
+    the first of them, which alone goes on. Each text is compared with the first of its buckets; in
+    buckets that still hold several classes, texts of different classes meet, tile by tile. Sizes and
+    odd sketches rule out most pairs, none of them similar, before texts are joined to them and
+    compared, so that no text of a bucket is kept apart from a class that it is similar to. files has
+    path, language and text, or tokens as code.analyze names them in place of text.
     """
     if "tokens" not in files.columns:
         files = hashed(files, "language")
-    files = stored(files.select("path", "language", "tokens"), "tokens")
-    sig = stored(signatures(files), "signatures")
+    every = stored(signatures(files.select("path", "language", "tokens").filter("path is not null")), "signatures")
+    same = [F.xxhash64("language", "c1").alias("c1"), F.xxhash64(F.lit(1), "language", "c2").alias("c2")]
+    groups = every.select("path", *same).groupBy("c1", "c2").agg(F.min("path").alias("leader"), F.max("path").alias("last")).filter("leader != last").drop("last")
+    copies = stored(every.select("path", *same).join(groups, ["c1", "c2"]).filter("path != leader").distinct(), "copies")
     keys = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda b: F.xxhash64("language", b, F.slice("signature", b * BAND + 1, BAND)))
-    each = stored(sig.select("path", F.explode(keys).alias("key")), "bands")
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("leader")).filter("n > 1").drop("n")
+    each = stored(every.select("path", "language", "signature", *same).join(copies, ["path", "c1", "c2"], "left_anti").select("path", F.explode(keys).alias("key")), "bands")
+    shared = each.groupBy("key").agg(F.min("path").alias("leader"), F.max("path").alias("last")).filter("leader != last").drop("last")
     state = stored(each.join(shared, "key"), "buckets")
-    texts = stored(files.select("path", "tokens").join(state.select("path").distinct(), "path", "left_semi"), "texts")
+    near = stored(every.drop("language", "signature", "c1", "c2").join(state.select("path").distinct(), "path", "left_semi"), "texts")
+    marks, texts = near.drop("tokens"), near.select("path", "tokens")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.greatest("a", "b").alias("path"), F.least("a", "b").alias("leader")).distinct()
-        return stored(exact(ordered, texts).filter(F.col("similarity") >= threshold), "links")
+        return stored(exact(ordered, texts).filter(F.col("similarity") >= threshold).distinct(), "links")
 
     def classes(links: DataFrame) -> DataFrame:
         return stored(linked(links.select(F.col("path").alias("a"), F.col("leader").alias("b"))), "classes")
 
-    def several(left: DataFrame, roots: DataFrame) -> DataFrame:
-        """(key, path, root) of buckets with several classes."""
-        named = left.join(roots.withColumnRenamed("node", "path"), "path", "left").select("key", "path", F.coalesce("root", "path").alias("root"))
-        apart = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-        return stored(named.join(apart, "key"), "apart")
-
-    links = links_of(state.filter("path != leader").select(F.col("path").alias("a"), F.col("leader").alias("b")).distinct())
+    x, y = (marks.select(*(F.col(c).alias(p + c) for c in marks.columns)) for p in ("x_", "y_"))
+    first = state.filter("path != leader").select(F.col("path").alias("x_path"), F.col("leader").alias("y_path")).distinct()
+    links = links_of(first.join(x, "x_path").join(y, "y_path").filter(plausible("x_", "y_", threshold)).select(F.col("x_path").alias("a"), F.col("y_path").alias("b")))
     roots = classes(links)
     # the first text of a bucket has met all others
-    left = several(state.filter("path != leader").select("key", "path"), roots)
-    while True:
-        big = left.join(left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key"), "key", "left_semi")
-        lead = big.groupBy("key", "root").agg(F.min("path").alias("a"))
-        lead = lead.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("a"))).filter(F.col("n") <= LEADERS).select("key", "a", F.col("root").alias("of"))
-        lead = stored(lead, "leaders")
-        if lead.isEmpty():
-            break
-        links = links.union(links_of(left.join(lead, "key").filter("root != of").select("a", F.col("path").alias("b"))))
-        roots = classes(links)
-        left = several(left.join(lead.select("key", F.col("a").alias("path")), ["key", "path"], "left_anti").select("key", "path"), roots)
-    one, two = left.withColumnsRenamed({"path": "a", "root": "x"}), left.withColumnsRenamed({"path": "b", "root": "y"})
-    links = links.union(links_of(one.join(two, "key").filter("x < y").select("a", "b")))
-    return links.distinct().join(classes(links).select(F.col("node").alias("path"), F.col("root").alias("first")), "path").select("path", "leader", "similarity", "first")
+    named = state.filter("path != leader").join(roots.withColumnRenamed("node", "path"), "path", "left").select("key", "path", F.coalesce("root", "path").alias("root"))
+    apart = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+    left = stored(named.join(apart, "key"), "apart")
+    more = links_of(unlinked(left, marks, threshold))
+    if not more.isEmpty():
+        links, roots = links.union(more), classes(links.union(more))
+    # of copies, only the first has a root
+    found = links.join(roots, links.path == roots.node).select("path", "leader", "similarity", F.col("root").alias("first"))
+    return found.union(copies.join(roots, copies.leader == roots.node, "left").select("path", "leader", F.lit(1.0), F.coalesce("root", "leader")))
 
 
 # --- repeated fragments ----------------------------------------------------

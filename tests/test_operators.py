@@ -220,6 +220,27 @@ def test_similar_texts_that_a_smaller_text_stands_between(spark):
     assert {r.path: r.first for r in rows} == {p: c for p, c in root.items() if p != c}
 
 
+def test_similar_texts_compares_only_what_may_be_similar(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(500)]
+
+    def edited(n):
+        out = list(base)
+        for k in rng.choice(len(out), n, replace=False):
+            out[k] = f"x{rng.integers(1 << 40)}"
+        return " ".join(out)
+
+    # near copies, copies of one of them, and texts that share buckets with all but are half as similar as they would have to be
+    texts = {"a": " ".join(base)} | {f"b{k:02}": edited(3) for k in range(40)} | {f"d{k:02}": edited(45) for k in range(40)}
+    texts |= {f"c{k:02}": texts["b07"] for k in range(30)}
+    compared, exact = [], textmine.exact
+    monkeypatch.setattr(textmine, "exact", lambda pairs, files: (compared.append(pairs.count()), exact(pairs, files))[1])
+    rows = textmine.similar(spark.createDataFrame([(p, "en", t) for p, t in texts.items()], "path string, language string, text string")).collect()
+    assert sum(compared) < len(texts)
+    assert {(r.path, r.first) for r in rows} == {(p, "a") for p in texts if p[0] in "bc"}
+    assert {(r.leader, r.similarity) for r in rows if r.path[0] == "c"} == {("b07", 1.0)}
+
+
 def test_git_dump(tmp_path, spark):
     dump = "\x1eh2\x1fh1\x1fAda\x1fa@x\x1f1700000000\x1f+0100\x1fMove\x1e\n\0:100644 100644 aaa bbb R100\0old.py\0new.py\0" + "2\t1\t\0old.py\0new.py\0" + "\x1eh1\x1f\x1fAda\x1fa@x\x1f1600000000\x1f+0000\x1fStart\x1e\n\0:000000 100644 000 aaa A\0old.py\0-\t-\told.py\0"
     (tmp_path / "log").write_text(dump)
