@@ -80,3 +80,23 @@ def test_lock_files(spark):
         ("npm", "a", "1.0.0", "locked"), ("npm", "@s/b", "2.0.0", "locked"), ("npm", "c", "3.1.0", "locked"), ("npm", "@s/a", "1.2.3", "locked"), ("npm", "b", "1.4.0", "locked"), ("pub", "http", "1.2.0", "locked"),
         ("pub", "http", "^1.2.0", "runtime"), ("pub", "flutter", None, "runtime"), ("pub", "lints", None, "development"), ("pub", None, None, None),
     }
+
+
+def test_yaml_of_quotes_in_quotes():
+    """An apostrophe within double quotes is a character like any other."""
+    assert yaml.load("a: [\"it's\", \"x'\"]\nb: \"'\"\n") == {"a": ["it's", "x'"], "b": "'"}
+
+
+def test_yaml_reads_a_line_once(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def match(self, *args):
+            self.calls += 1
+            return self.pattern.match(*args)
+
+    text = "packages:\n" + "".join(f"  p{k}:\n    kind: x\n    version: \"1.{k}\"\n" for k in range(100))
+    monkeypatch.setattr(yaml, "_KEY", counted := Counted(yaml._KEY))
+    assert len(yaml.load(text)["packages"]) == 100
+    assert counted.calls <= text.count("\n")
