@@ -16,6 +16,10 @@ SLOTS = ORDER * ORDER
 WORDS = 16
 #: Lines of a family that meet as many others in one task.
 TILE = 256
+#: Shingles that are hashed in one row.
+STRIDE = 8
+#: A pair that lies so many shingles from the limit by hashes of 64 bits is not counted by its texts as well.
+SURE = 2
 #: How many different shingles the lines x and y have together.
 SIZES = "x_n + y_n as sizes"
 
@@ -50,19 +54,23 @@ def minhashes(lines: DataFrame, width: int, parts: int) -> DataFrame:
     """(id, m0 to m15) of lines(id, line): the MinHashes of each line's shingles; a line shorter than a shingle is one.
 
     One hash a shingle serves all MinHashes, each under a mask of its own. Rows are dealt by id first,
-    so that all shingles of a line are counted down where they are made. As UTF-32, the place of
-    each character is known without counting.
+    so that all shingles of a line are counted down where they are made, STRIDE of them a row; a row at
+    the end has the last one again, which changes no minimum. As UTF-32, the place of each character is
+    known without counting.
     """
-    starts = F.expr(f"sequence(0, greatest(0, cast(octet_length(u) div 4 as int) - {width}))")
     raw = lines.repartition(parts, "id").select("id", F.encode("line", "UTF-32").alias("u"))
-    each = raw.select("id", "u", F.explode(starts).alias("at"))
-    hashed = each.select("id", F.xxhash64(F.substring(F.col("u"), 4 * F.col("at") + 1, F.lit(4 * width))).alias("h"))
-    return hashed.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(SLOTS))))
+    last = F.greatest(F.lit(0), F.shiftright(F.octet_length("u"), 2) - width)
+    each = raw.select("id", "u", last.alias("last")).withColumn("at", F.explode(F.expr(f"sequence(0, last, {STRIDE})")))
+    hashes = [F.xxhash64(F.substring(F.col("u"), 4 * F.least(F.col("at") + j, F.col("last")) + 1, F.lit(4 * width))).alias(f"h{j}") for j in range(STRIDE)]
+    least = [F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STRIDE))) for m in masks(SLOTS)]
+    return each.select("id", *hashes).groupBy("id").agg(*(F.min(x).alias(f"m{k}") for k, x in enumerate(least)))
 
 
-def shingles(line: str, width: int) -> Column:
-    """The different shingles of a line; a line shorter than one has none."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+def shingles(texts: list[str], width: int) -> str:
+    """The different shingles of texts (columns), told apart by 64 bits of a hash; a text shorter than one has none."""
+    places = f"if(octet_length(u) < {4 * width}, array(), sequence(1, octet_length(u) - {4 * width - 1}, 4))"
+    each = f"transform({places}, at -> xxhash64(substring(u, at, {4 * width})))"
+    return f"array_distinct(flatten(transform(array({', '.join(f"encode({x}, 'UTF-32')" for x in texts)}), u -> {each})))"
 
 
 def odd_sketches(lines: DataFrame, width: int) -> DataFrame:
@@ -71,10 +79,14 @@ def odd_sketches(lines: DataFrame, width: int) -> DataFrame:
     Two lines' sketches differ in no more bits than their sets differ in shingles, so that a sketch
     rules out pairs without ever losing one that is similar.
     """
-    each = lines.select("id", F.explode(shingles("line", width)).alias("g")).select("id", F.xxhash64("g").alias("h"))
-    word, bit = F.pmod(F.col("h"), F.lit(WORDS)), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")
+    # dealt by id, so that the words of a line and then the line itself are put together where its shingles are made
+    dealt = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    # the set is a column before it is exploded: a generator that holds a lambda is not compiled
+    each = dealt.select("id", F.expr(shingles(["line"], width)).alias("set")).select("id", F.explode("set").alias("h"))
+    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")
     flip = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    return each.select("id", word.alias("word"), flip.alias("flip")).groupBy("id").agg(F.count("*").alias("n"), *(F.expr(f"bit_xor(flip) filter (where word = {k})").alias(f"o{k}") for k in range(WORDS)))
+    words = each.select("id", word.alias("word"), flip.alias("flip")).groupBy("id", "word").agg(F.count("*").alias("n"), F.bit_xor("flip").alias("o"))
+    return words.groupBy("id").agg(F.sum("n").alias("n"), *(F.max(F.when(F.col("word") == k, F.col("o"))).alias(f"o{k}") for k in range(WORDS)))
 
 
 def plausible(x: str, y: str, least: float) -> Column:
@@ -94,10 +106,12 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, least: float) -> Da
     sizes is how many different shingles both lines have together; lines without any have no pairs.
     """
     both = pairs.join(lines.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(lines.withColumnsRenamed({"id": "b", "line": "y"}), "b")
+    # sizes - either >= least * either; hashes that fall together make either smaller, so beyond most there is no link,
+    # and SURE below it there is one; what lies between is counted by its texts
+    most = f"sizes / (1 + {least}D) + 1e-6D"
     # lines hold no line feed, so that no shingle without one reaches over it: the different ones are the union of both sets
-    either = F.array_distinct(F.regexp_extract_all(F.concat("x", F.lit("\n"), "y"), F.lit(f"(?=([^\\n]{{{width}}}))"), F.lit(1)))
-    # sizes - either >= least * either, with the set made once
-    return both.filter(F.size(either) <= F.col("sizes") / (1 + least) + 1e-6).select("a", "b")
+    exact = f"size(array_distinct(regexp_extract_all(concat(x, '\\n', y), '(?=([^\\\\n]{{{width}}}))', 1)))"
+    return both.filter(f"exists(array(size({shingles(['x', 'y'], width)})), either -> either <= {most} - {SURE} or either <= {most} and {exact} <= {most})").select("a", "b")
 
 
 def within_families(members: DataFrame, least: float) -> DataFrame:
@@ -144,7 +158,7 @@ def similar(lines: DataFrame, width: int, least: float) -> DataFrame:
     already is not compared again.
     """
     state = buckets(lines, width)
-    near = written(lines.select("id", "line").join(state.select("id").distinct(), "id", "left_semi"), "candidates")
+    near = written(lines.select("id", "line").join(state.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "candidates")
     marks = written(odd_sketches(near, width), "sketches")
     lead = state.groupBy("key").agg(F.min("id").alias("a"))
     family = written(state.join(lead, "key").groupBy("id").agg(F.min("a").alias("family")), "families")

@@ -308,6 +308,37 @@ def test_band_keys_are_dealt_once(spark, monkeypatch):
     assert plans[-1][1].count("RepartitionByExpression [key") == 2  # alike, so that Spark deals once and reads twice
 
 
+def test_shingles_are_hashed_many_a_row_and_not_cut_by_patterns(spark):
+    import struct
+
+    import xxhash
+
+    texts = ["", "abc", "abcdefg", "abcdefgh", "\U0001f311\u2028\r" * 5, *("".join(np.random.default_rng(n).choice(list("ab é\U0001f311"), n)) for n in (13, 14, 15, 21, 22, 23, 200))]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    least, marks = linedup.minhashes(lines, 7, 4), linedup.odd_sketches(lines, 7)
+
+    def hashed(g):
+        return xxhash.xxh64_intdigest(g.encode("utf-32-be"), 42)
+
+    def signed(x):
+        return struct.unpack("<q", struct.pack("<Q", x))[0]
+
+    for r in least.collect():
+        x = texts[r.id]
+        h = [signed(hashed(x[k : k + 7])) for k in range(max(1, len(x) - 6))]
+        assert [r[f"m{k}"] for k in range(16)] == [min(v ^ m for v in h) for m in linedup.masks(16)]
+    found = {r.id: r for r in marks.collect()}
+    assert set(found) == {k for k, x in enumerate(texts) if len(x) >= 7}
+    for i, r in found.items():
+        h = {hashed(texts[i][k : k + 7]) for k in range(len(texts[i]) - 6)}
+        bits = [0] * 16
+        for v in h:
+            bits[v % 16] ^= 1 << (v >> 8) % 64
+        assert r.n == len(h) and [(r[f"o{k}"] or 0) % 2**64 for k in range(16)] == bits
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (least, marks)]
+    assert plans[0].count("xxhash64") == linedup.STRIDE > 1 and "regexp_extract_all" not in plans[1]
+
+
 @pytest.mark.parametrize("tile", [8, 256])
 def test_a_bucket_of_several_hundred_near_copies(spark, monkeypatch, tile):
     monkeypatch.setattr(linedup, "TILE", tile)
