@@ -142,6 +142,29 @@ def test_training_in_links(spark, monkeypatch):
     assert np.allclose(got, descent(pairs, 2, 3), atol=1e-12)
 
 
+def test_pairwise_side_by_side(spark, monkeypatch):
+    """Lanes and blocks that begin side by side come to the weights of one step after another, where lanes are too short for that, too."""
+    rng = np.random.default_rng(7)
+    rows = [(float(a), float(b), float(y), int(g)) for a, b, y, g in zip(rng.random(700), rng.integers(0, 3, 700), rng.integers(0, 4, 700) > 0, rng.integers(0, 3, 700), strict=True)]
+    by = defaultdict(list)
+    for a, b, y, g in sorted(rows):
+        by[g].append(((a, b), y))
+    pairs = [(tuple(x - z for x, z in zip(p, n, strict=True)), 1.0) for g in sorted(by) for p, y in sorted(by[g]) if y for n, o in sorted(by[g]) if not o]
+    items, ahead, group = (np.array(x) for x in zip(*[(v, bool(y), g) for g in sorted(by) for v, y in sorted(by[g])], strict=True))
+    monkeypatch.setattr(ranking, "LANES", 2)
+    for lane in (50, 3000):
+        monkeypatch.setattr(ranking, "LANE", lane)
+        head, got = ranking.Pairs(items, ahead, group, 0.05, 0.001).settled([0.5, -2.0], None)
+        want = ranking.Pairs(items, ahead, group, 0.05, 0.001).plain([0.5, -2.0])
+        assert head is not None and np.allclose(got, want, rtol=0, atol=1e-12)
+    monkeypatch.setattr(ranking, "PAIRS", 9000)
+    df = spark.createDataFrame(rows, "a double, b double, y double, g int").repartition(5)
+    for lane in (1000, 1 << 20):
+        monkeypatch.setattr(ranking, "LANE", lane)
+        got = [r.weight for r in ranking.fit_pairwise(df, ["a", "b"], "y", "g", epochs=3).collect()]
+        assert np.allclose(got, descent(pairs, 2, 3), rtol=0, atol=1e-12)
+
+
 def test_betweenness_and_shortest_cycle_of_sparse_graphs(spark):
     rng = np.random.default_rng(2)
     edges = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in rng.integers(0, 30, (70, 2)).tolist()})
