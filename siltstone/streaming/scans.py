@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,54 +24,87 @@ NEEDED = frozenset(("functions", "symbols", "outside", "tokens"))
 _FACTS = [x.split()[0] for x in FACTS.split(", ")]
 
 
-def content_key(text: str, language: str | None) -> str:
+#: Files share the state's keys by a hash of their paths, so that texts of a key are read together; another number makes all files new.
+BUCKETS = 1024
+
+
+@lru_cache(None)
+def head(language: str | None) -> bytes:
+    return f"{VERSION}\n{LANGUAGES.get(language or '')!r}\n".encode()
+
+
+def content_key(raw: bytes, language: str | None) -> str:
     """What an analysis stands for: the text, the definition of its language and the version of the analysis."""
-    h = hashlib.sha256(f"{VERSION}\n{LANGUAGES.get(language or '')!r}\n".encode())
-    h.update(text.encode("utf-8", "surrogatepass"))
-    return h.hexdigest()
+    return hashlib.sha256(head(language) + raw).hexdigest()
 
 
-def analysed(text: str, language: str | None) -> tuple[int, ...]:
-    raw = text.encode("utf-8", "surrogatepass")
-    lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, *_ = code.facts(language or "", raw, lexing.read([raw], LANGUAGES.get(language or ""))[0], NEEDED)
-    return lines, comment, blank, len(functions), outside + sum(s["complexity"] or 0 for s in symbols), len(tokens)
+def analysed(texts: list[bytes], language: str | None) -> Iterator[tuple[int, ...]]:
+    """The facts of texts of one language, read together up to about so many bytes as code.analyze reads."""
+    held, size = [], 0
+    for k, text in enumerate(texts, 1):
+        held.append(text)
+        size += len(text)
+        if size >= code.TOGETHER or k == len(texts):
+            for raw, found in zip(held, lexing.read(held, LANGUAGES.get(language or "")), strict=True):
+                lines, comment, blank, functions, _, _, _, symbols, outside, _, tokens, *_ = code.facts(language or "", raw, found, NEEDED)
+                yield lines, comment, blank, len(functions), outside + sum(s["complexity"] or 0 for s in symbols), len(tokens)
+            held, size = [], 0
 
 
 class FileScan(StatefulProcessor):
-    """The state of a path: its newest version, what its content stands for, and the facts of it.
+    """The state of each path of a bucket: its newest version, what its content stands for, and the facts of it.
 
     A version that is older than the newest is late and changes nothing; one with known content is touched and
-    keeps its facts; a deletion stays in mind, so that what is older than it stays late.
+    keeps its facts; a deletion stays in mind, so that what is older than it stays late. What becomes of
+    versions follows from what contents stand for, so that all that is new is analysed together after that.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.file = handle.getValueState("file", STATE)
+        self.files = handle.getMapState("files", "path string", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        (path,) = key
-        versions = [r for frame in rows for r in frame[["seq", "deleted", "language", "text"]].itertuples(index=False)]
         none = lambda x: None if x is None or x is pd.NA or x != x else x
-        out, known = [], self.file.get() if self.file.exists() else None
-        for r in sorted(versions, key=lambda r: (r.seq, bool(r.deleted))):
-            language, text = none(r.language), none(r.text) or ""
-            if known is not None and r.seq <= known[0]:
-                out.append((path, r.seq, "late", known[3], *[None] * len(_FACTS)))
-            elif r.deleted:
-                known = (int(r.seq), None, True, known[3] if known else 0, *[0] * len(_FACTS))
-                out.append((path, r.seq, "deleted", known[3], *[None] * len(_FACTS)))
-            else:
-                mark = content_key(text, language)
-                if known is not None and not known[2] and known[1] == mark:
-                    known = (int(r.seq), *known[1:])
-                    out.append((path, r.seq, "touched", *known[3:]))
+        of: dict[str, list[tuple]] = {}
+        for frame in rows:
+            for path, *version in zip(*(frame[c].tolist() for c in ("path", "seq", "deleted", "language", "text")), strict=True):
+                of.setdefault(path, []).append(version)
+        nothing: tuple = (None,) * len(_FACTS)
+        out: list[tuple] = []  # (path, seq, action, analysed, facts or the number of new ones)
+        new: list[tuple] = []  # facts that are to be found
+        asked: dict[str | None, list[tuple[int, bytes]]] = {}
+        changed: dict[str, tuple] = {}  # (seq, key, deleted, analysed, facts or the number of new ones)
+        for path, versions in of.items():
+            was = self.files.getValue((path,))
+            known = before = None if was is None else (*was[:4], tuple(was[4:]))
+            for seq, deleted, language, text in sorted(versions, key=lambda r: (r[0], bool(r[1]))):
+                if known is not None and seq <= known[0]:
+                    out.append((path, seq, "late", known[3], nothing))
+                elif deleted:
+                    known = (int(seq), None, True, known[3] if known else 0, (0,) * len(_FACTS))
+                    out.append((path, seq, "deleted", known[3], nothing))
                 else:
-                    action = "added" if known is None or known[2] else "changed"
-                    known = (int(r.seq), mark, False, (known[3] if known else 0) + 1, *analysed(text, language))
-                    out.append((path, r.seq, action, *known[3:]))
-        if known is not None:
-            self.file.update(known)
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in CHANGES.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("seq", "analysed", *_FACTS)})
+                    language, raw = none(language), (none(text) or "").encode("utf-8", "surrogatepass")
+                    mark = content_key(raw, language)
+                    if known is not None and not known[2] and known[1] == mark:
+                        known = (int(seq), *known[1:])
+                        out.append((path, seq, "touched", *known[3:]))
+                    else:
+                        action = "added" if known is None or known[2] else "changed"
+                        asked.setdefault(language, []).append((len(new), raw))
+                        known = (int(seq), mark, False, (known[3] if known else 0) + 1, len(new))
+                        new.append(nothing)
+                        out.append((path, seq, action, *known[3:]))
+            if known is not None and known is not before:
+                changed[path] = known
+        for language, texts in asked.items():
+            for (k, _), found in zip(texts, analysed([raw for _, raw in texts], language), strict=True):
+                new[k] = found
+        facts = lambda x: new[x] if isinstance(x, int) else x
+        for path, (*known, found) in changed.items():
+            self.files.updateValue((path,), (*known, *facts(found)))
+        columns = zip(*((*row, *facts(found)) for *row, found in out), strict=True)
+        names = [x.split() for x in CHANGES.split(", ")]
+        yield pd.DataFrame({c: pd.array(v, "Int64") if kind == "long" else list(v) for (c, kind), v in zip(names, columns, strict=True)})
 
     def close(self) -> None:
         pass
@@ -87,7 +121,8 @@ def changes(versions: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = versions.select("path", "language", F.col("text").cast("string").alias("text"), F.col("seq").cast("long").alias("seq"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
     rows = rows.filter("path is not null and seq is not null")
-    return rows.groupBy("path").transformWithStateInPandas(FileScan(), outputStructType=CHANGES, outputMode="append", timeMode="none")
+    bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return rows.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(FileScan(), outputStructType=CHANGES, outputMode="append", timeMode="none")
 
 
 def scan(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, files_per_trigger: int = 1000) -> None:
